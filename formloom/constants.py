@@ -201,3 +201,15 @@ PASSAGE_KEYWORDS = {
     "attorney_fee": ("ค่าทนายความ",),
 }
 INTEREST_TAILS = ("ดอก", "พร้อมดอก", "บาทร้อมดอก", "บาทพร้อมดอก", "ดอกเบี้ย", "อัตรา", "ร้อยละ")
+
+# fixed values: wording of the filing date
+NEXT_DAY_PATTERNS = (
+    r"นับถัดจากวันฟ้อง\s*\(\s*ฟ้องวันที่\s*([^)]{4,80})\s*\)",
+    r"นับถัดจากวันฟ้อง\s*ฟ้องวันที่\s*([^()]{4,80})",
+    r"นับถัดจากวันฟ้อง\s*\(?([^()]{4,80})\)?\s*เป็นต้นไป",
+)
+SAME_DAY_PATTERNS = (
+    r"วันฟ้อง\s*\(\s*ฟ้องวันที่\s*([^)]{4,80})\s*\)",
+    r"ฟ้องวันที่\s*([^()]{4,80})\s*(?:เป็นต้นไป|$)",
+    r"วันฟ้อง\s*\(?([^()]{4,80})\)?\s*เป็นต้นไป",
+)

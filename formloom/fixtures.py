@@ -153,3 +153,154 @@ EVENTS_SQL = _select(EVENT_COLUMNS, "events")
 
 def state_events(spark: SparkSession, sf: str) -> DataFrame:
     return _project(table(spark, sf, "events"), EVENT_COLUMNS)
+
+
+# --- Thai residence forms: one page per order, invented names ------------------
+
+GIVEN = ["ใจดี", "มีสุข", "ทองใส", "รุ่งฟ้า", "สายลม", "นาดี", "บุญมา", "เพชรใส", "แก้วตา", "ดาวเด่น", "ขวัญใจ", "ฟ้าใส"]
+SURNAME = ["ทุ่งเมฆ", "สายธาร", "ดอยทอง", "ลมเย็น", "ป่างาม", "บัวบาน", "ไพรสน", "หาดทราย", "นาข้าว", "เนินแก้ว"]
+MOTHER = ["สมใจ", "ละมุน", "บัวใส", "จันทร์ดี", "มะลิ", "ทองดี", "ดี", "แก้วมา"]
+FATHER = ["บุญชู", "ทองสุข", "แสงดี", "สมหวัง", "ดำรง", "มั่นคง", "เพียร", "ก้าน"]
+MONTHS = ["มกราคม", "กุมภาพันธ์", "มีนาคม", "เมษายน", "พฤษภาคม", "มิถุนายน",
+          "กรกฎาคม", "สิงหาคม", "กันยายน", "ตุลาคม", "พฤศจิกายน", "ธันวาคม"]
+SUBDISTRICTS = ["บ้านสวน", "หนองบัว", "ทุ่งใหญ่", "โคกสูง", "ห้วยแก้ว", "ป่าไผ่", "นาเหนือ", "ดอนกลาง", "ศาลาแดง"]
+DISTRICTS = ["เมืองเหนือ", "ฟ้าหลวง", "สองแคว", "ท่าน้ำ", "พรุใน"]
+PROVINCES = ["นครเมฆ", "ธารทิพย์", "ผาตะวัน"]
+
+
+def _check_digit(d: str) -> str:
+    total = " + ".join(f"CAST(substr({d}, {i}, 1) AS INT) * {14 - i}" for i in range(1, 13))
+    return f"CAST((11 - ({total}) % 11) % 10 AS STRING)"
+
+
+def _shape_id(d: str) -> str:
+    return (f"concat(substr({d}, 1, 1), '-', substr({d}, 2, 4), '-', substr({d}, 6, 5), '-',"
+            f" substr({d}, 11, 2), '-', substr({d}, 13, 1))")
+
+
+def _text_date(day: str, month: str, year: str) -> str:
+    return f"concat(CAST({day} AS STRING), ' ', {pick(month, MONTHS)}, ' ', CAST({year} AS STRING))"
+
+
+NL = "chr(10)"
+
+
+def _page_lines(parts: list[str]) -> str:
+    return "concat(" + f", {NL}, ".join(parts) + ")"
+
+
+def _cells(pairs: list[tuple[str, str]]) -> str:
+    return ", ".join(f"'<td>{label}</td><td>', {value}, '</td>'" for label, value in pairs)
+
+
+_LABELLED = _page_lines([
+    "'เลขประจำตัวประชาชน ', person_id", "'เลขรหัสประจำบ้าน ', house_code", "'ชื่อ ', person_name",
+    "'เพศ ', gender, ' สัญชาติ ', nationality", "'เกิดเมื่อ ', birth_date", "'อายุ ', age", "'สถานภาพ ', house_status",
+    "'มารดาชื่อ ', mother_name, ' ', mother_id", "'สัญชาติ ', mother_nationality",
+    "'บิดาชื่อ ', father_name, ' ', father_id", "'สัญชาติ ', father_nationality", "'ที่อยู่ ', address",
+    "'เข้ามาอยู่เมื่อวันที่ ', move_in_date", "'บันทึกเพิ่มเติม ', remark", "'ปรับปรุงครั้งสุดท้าย ', update_date",
+])
+_TABLE = (
+    "concat('<table><tbody><tr>', " + _cells([("เลขประจำตัวประชาชน", "person_id"), ("เลขรหัสประจำบ้าน", "house_code")])
+    + ", '</tr>', chr(10), '<tr>', " + _cells([("ชื่อ", "person_name"), ("เพศ", "concat(gender, ' สัญชาติ ', nationality)")])
+    + ", '</tr><tr>', " + _cells([("เกิดเมื่อ", "concat(birth_date, ' อายุ ', age)"), ("สถานภาพ", "house_status")])
+    + ", '</tr><tr>', " + _cells([("มารดาชื่อ", "concat(mother_name, ' ', mother_id)"), ("สัญชาติ", "mother_nationality")])
+    + ", '</tr><tr>', " + _cells([("บิดาชื่อ", "concat(father_name, ' ', father_id)"), ("สัญชาติ", "father_nationality")])
+    + ", '</tr></tbody></table>', chr(10), 'ที่อยู่ ', address, chr(10), 'เข้ามาอยู่เมื่อวันที่ ', move_in_date, chr(10),"
+      " 'บันทึกเพิ่มเติม ', remark, chr(10), 'ปรับปรุงครั้งสุดท้าย ', update_date)"
+)
+_HORIZONTAL = _page_lines([
+    "person_id, ' ', house_code", "person_name, ' ', gender, ' ', nationality", "birth_date, ' ', age, ' ', house_status",
+    "mother_name, ' ', mother_id, ' ', mother_nationality", "father_name, ' ', father_id, ' ', father_nationality",
+    "address", "move_in_date", "remark", "update_date",
+])
+_VERTICAL = _page_lines([
+    "person_id", "person_name", "nationality", "birth_date", "age", "house_code", "house_status", "nationality",
+    "mother_name", "mother_id", "mother_nationality", "father_name", "father_id", "father_nationality",
+    "address", "move_in_date", "remark", "update_date",
+])
+
+_FORM_BASE = f"""SELECT o_orderkey AS k, o_custkey AS cust,
+ CAST(110203000000 + (o_orderkey * 90001) % 799999999 AS STRING) AS p12,
+ CAST(312405000000 + (o_orderkey * 70003) % 799999999 AS STRING) AS m12,
+ CAST(345601000000 + (o_orderkey * 50021) % 799999999 AS STRING) AS f12,
+ 1 + o_orderkey % 28 AS bd, o_orderkey % 12 AS bm, 2490 + o_orderkey % 60 AS byr,
+ 1 + (o_orderkey * 3) % 28 AS ud, (o_orderkey * 5) % 12 AS um, 2560 + o_orderkey % 8 AS uy
+ FROM {{orders}}"""
+_FORM_IDS = f"""SELECT *, concat(p12, {_check_digit('p12')}) AS p13, concat(m12, {_check_digit('m12')}) AS m13,
+ concat(f12, {_check_digit('f12')}) AS f13,
+ uy - byr - CASE WHEN um < bm OR (um = bm AND ud < bd) THEN 1 ELSE 0 END AS true_age FROM ({_FORM_BASE}) b"""
+_FORM_FIELDS = f"""SELECT k, cust, k % 4 AS layout, true_age,
+ CASE WHEN k % 19 = 3 THEN {_shape_id("concat(p12, CAST((CAST(substr(p13, 13, 1) AS INT) + 1) % 10 AS STRING))")}
+  ELSE {_shape_id('p13')} END AS person_id,
+ concat('10', lpad(CAST(k % 97 AS STRING), 2, '0'), '-', lpad(CAST((k * 37) % 1000000 AS STRING), 6, '0'), '-', CAST(k % 10 AS STRING)) AS house_code,
+ concat(CASE WHEN k % 2 = 0 THEN 'นาย' ELSE 'นางสาว' END, {pick('k', GIVEN)}, ' ', {pick('k', SURNAME)}) AS person_name,
+ CASE WHEN k % 2 = 0 THEN 'ชาย' ELSE 'หญิง' END AS gender,
+ CASE WHEN k % 29 = 0 THEN 'ลาว' ELSE 'ไทย' END AS nationality,
+ {_text_date('bd', 'bm', 'byr')} AS birth_date, CAST(true_age + CASE WHEN k % 17 = 1 THEN 1 ELSE 0 END AS STRING) AS age,
+ CASE WHEN k % 3 = 0 THEN 'เจ้าบ้าน' ELSE 'ผู้อาศัย' END AS house_status,
+ {pick('k', MOTHER)} AS mother_name,
+ CASE WHEN k % 13 = 6 THEN '-' WHEN k % 31 = 7 THEN {_shape_id('p13')} ELSE {_shape_id('m13')} END AS mother_id,
+ CASE WHEN k % 27 = 1 THEN 'จีน' ELSE 'ไทย' END AS mother_nationality,
+ CASE WHEN k % 37 = 9 THEN {pick('k', MOTHER)} ELSE {pick('k', FATHER)} END AS father_name,
+ CASE WHEN k % 11 = 4 THEN '-' ELSE {_shape_id('f13')} END AS father_id,
+ CASE WHEN k % 25 = 1 THEN 'พม่า' ELSE 'ไทย' END AS father_nationality,
+ concat(CAST(1 + k % 300 AS STRING), CASE WHEN k % 3 = 1 THEN concat('/', CAST(1 + k % 20 AS STRING)) ELSE '' END, ' หมู่ ', CAST(1 + k % 12 AS STRING),
+  CASE WHEN k % 6 = 2 THEN ' ถนน สายเมฆ' ELSE '' END,
+  ' ต.', {pick('k', SUBDISTRICTS)}, ' อ.', {pick('k', DISTRICTS)}, ' จ.', {pick('k', PROVINCES)}) AS address,
+ {_text_date('1 + (k * 11) % 28', '(k * 7)', '2550 + k % 9')} AS move_in_date,
+ CASE WHEN k % 21 = 8 THEN concat('บุคคลนี้ตาย วันที่ ', {_text_date('1 + k % 27', 'k', '2564')})
+  WHEN k % 21 = 9 THEN concat('บุคคลนี้ไม่ได้ตาย ตรวจเมื่อ ', {_text_date('1 + k % 27', 'k', '2564')})
+  ELSE 'บุคคลนี้มีภูมิลำเนาอยู่ในบ้านนี้' END AS remark,
+ {_text_date('ud', 'um', 'uy')} AS update_date FROM ({_FORM_IDS}) i"""
+_FORM_TEXT = f"""SELECT *, CASE layout WHEN 0 THEN {_LABELLED} WHEN 1 THEN {_TABLE} WHEN 2 THEN {_HORIZONTAL} ELSE {_VERTICAL} END AS text
+ FROM ({_FORM_FIELDS}) f"""
+
+FORMS_SQL = _FORM_TEXT.replace("{orders}", "orders")
+
+
+def forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Field values and the page text rendered from them, one row per order."""
+    return spark.sql(_FORM_TEXT, orders=table(spark, sf, "orders"))
+
+
+# field name in the review data -> column of ``forms``
+FORM_FIELDS = {
+    "personId": "person_id", "houseCode": "house_code", "personName": "person_name", "gender": "gender",
+    "nationality": "nationality", "birthDate": "birth_date", "age": "age", "status": "house_status",
+    "motherName": "mother_name", "motherId": "mother_id", "motherNationality": "mother_nationality",
+    "fatherName": "father_name", "fatherId": "father_id", "fatherNationality": "father_nationality",
+    "address": "address", "moveInDate": "move_in_date", "remark": "remark", "updateDate": "update_date",
+}
+LONG_SQL = "SELECT k, t.field, t.value FROM frm, LATERAL (VALUES " + ", ".join(
+    f"('{f}', {c})" for f, c in FORM_FIELDS.items()
+) + ") t(field, value)"
+
+
+def form_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Long form (k, field, value) of the rendered values."""
+    pairs = ", ".join(f"'{f}', {c}" for f, c in FORM_FIELDS.items())
+    return forms(spark, sf).selectExpr("k", f"stack({len(FORM_FIELDS)}, {pairs}) AS (field, value)")
+
+
+# --- page readings: one row per document, with the kinds of damage readers produce ----
+
+READING_COLUMNS: list[tuple[str, str]] = [
+    ("doc_id", "doc_id"),
+    ("lang", "lang"),
+    ("source", "source"),
+    ("raw", "CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN concat('## Page 1', chr(10), chr(10), text)"
+            " WHEN 2 THEN concat('<figure>', chr(10), text, chr(10), '</figure>', chr(10), text)"
+            " WHEN 3 THEN concat(repeat(concat('สำหรับเรียกดูข้อมูลเท่านั้น', chr(10)), 7), text)"
+            " WHEN 4 THEN concat('ภาพนี้มีรายละเอียดและลักษณะ ', text)"
+            " WHEN 5 THEN concat('<b>', chr(10), text, chr(10), '<i>')"
+            " WHEN 6 THEN '   ' ELSE concat(text, chr(10), chr(10), text, chr(10), '- -') END"),
+    ("corrected", "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '  ' ELSE concat('Fixed: ', text) END"),
+    ("selected", "CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN text ELSE NULL END"),
+    ("text", "text"),
+]
+READINGS_SQL = _select(READING_COLUMNS, "documents")
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "documents"), READING_COLUMNS)

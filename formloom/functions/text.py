@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,15 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``.
+
+    Catalyst inlines Column objects wherever they are mentioned; binding the
+    value to a lambda variable keeps the generated code small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(c: Column | str) -> Column:
     """NULL for text that is empty after trimming; other text is kept as is."""
     c = _c(c)
@@ -145,21 +154,25 @@ def unwrap_response(c: Column | str) -> Column:
 
     A broken object falls back to the text behind the first known key.
     """
-    raw = _c(c)
-    body = unwrap_fence(raw)
-    keys = K.RESPONSE_KEYS
-    strict = F.coalesce(*[blank_to_null(F.get_json_object(body, f"$.{k}")) for k in keys])
-
-    def lenient(key: str) -> Column:
-        tail = F.regexp_extract(body, rf'(?s)"{key}"[^:]*:(.*)\z', 1)
-        tail = F.regexp_replace(F.regexp_replace(trimmed(tail), r"\}\z", ""), r"(?U)\s+\z", "")
-        tail = F.regexp_replace(F.regexp_replace(tail, r'\A"', ""), r'"\z', "")
+    raw, keys = _c(c), K.RESPONSE_KEYS
+
+    def tail(body: Column, key: str) -> Column:
+        rest = F.regexp_extract(body, rf'(?s)"{key}"[^:]*:(.*)\z', 1)
+        rest = F.regexp_replace(F.regexp_replace(trimmed(rest), r"\}\z", ""), r"(?U)\s+\z", "")
+        rest = F.regexp_replace(rest, r'\A"|"\z', "")
         for escaped, plain in (("\\r\\n", "\n"), ("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")):
-            tail = F.replace(tail, F.lit(escaped), F.lit(plain))
-        return blank_to_null(trimmed(tail))
+            rest = F.replace(rest, F.lit(escaped), F.lit(plain))
+        return trimmed(rest)
+
+    def texts(body: Column) -> Column:
+        strict = F.transform(F.array(*[F.get_json_object(body, f"$.{k}") for k in keys]), lambda x: x)
+        return F.concat(strict, F.array(*[tail(body, k) for k in keys]))
+
+    def pick(body: Column) -> Column:
+        found = F.filter(texts(body), lambda x: F.coalesce(compact(x), F.lit("")) != "")
+        return let(F.coalesce(F.get(found, F.lit(0)), raw), lambda t: let(drop_figures(t), repair_garbled))
 
-    text = F.coalesce(strict, *[lenient(k) for k in keys], raw)
-    return F.when(body == "", raw).otherwise(repair_garbled(drop_figures(text)))
+    return let(unwrap_fence(raw), lambda body: F.when(body == "", raw).otherwise(pick(body)))
 
 
 def candidate_lines(c: Column | str) -> Column:

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formloom import constants as K
+
+
+def actionable_reasons(reasons: Column) -> Column:
+    """Any reason that is not one of the benign kinds."""
+    return F.exists(
+        reasons,
+        lambda r: (r != "") & ~reduce(lambda a, b: a | b, [r.startswith(p) for p in K.BENIGN_REASON_PREFIXES]),
+    )
+
 
 def stage_timings(records: DataFrame) -> DataFrame:
     """Time per processing stage and batch from a map of stage -> ms."""
