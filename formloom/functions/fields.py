@@ -102,34 +102,56 @@ def apply_pairs(value: Column, pairs: Pairs | Column) -> Column:
     return value
 
 
-def clean_value(key: str, value: Column | str, names: Pairs | Column = (), places: Pairs = ()) -> Column:
-    """F22 for one known field: markup, labels, trims, then repairs by kind."""
-    v = F.regexp_replace(X.strip_markup(value), r"(?U)^#+\s*", "")
-    v = X.replace_all(v, K.FIELD_LABEL_NOISE.get(key, ()), " ")
-    v = F.regexp_replace(F.regexp_replace(v, X.SPACE, " "), r"^[ :.\-]+|[ :.\-]+$", "")
+STRAY = r"^[ :.\-]+|[ :.\-]+$"
+
+
+def _trim_marks(v: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(v, X.SPACE, " "), STRAY, "")
+
+
+def _unmarked(value: Column | str) -> Column:
+    return F.regexp_replace(X.strip_markup(value), r"(?U)^#+\s*", "")
+
+
+def repair_kind(key: str, v: Column, names: Pairs | Column = (), places: Pairs = ()) -> Column:
+    """Last step of F22 for one kind of field."""
     if key in K.NAME_FIELDS:
-        v = apply_pairs(apply_pairs(X.norm_ws(v), K.NAME_GLYPH_REPAIRS), names)
-    elif key == "address":
-        v = apply_pairs(X.norm_ws(v), places)
-        v = F.regexp_replace(v, rf"(?U)({K.D})\s*-\s*({K.D})", "$1-$2")
-    elif key in K.DATE_FIELDS:
-        v = apply_pairs(X.norm_ws(v), K.DATE_TOKEN_CORRECTIONS)
-    elif key in K.ID_FIELDS or key == "houseCode":
-        v = F.regexp_replace(v, r"(?U)\s*[-+]\s*", "-")
-    elif key == "postalCode":
-        v = T.digits(v)
-    elif key == "remark":
-        v = repair_remark(v)
+        return apply_pairs(apply_pairs(X.norm_ws(v), K.NAME_GLYPH_REPAIRS), names)
+    if key == "address":
+        return F.regexp_replace(apply_pairs(X.norm_ws(v), places), rf"(?U)({K.D})\s*-\s*({K.D})", "$1-$2")
+    if key in K.DATE_FIELDS:
+        return apply_pairs(X.norm_ws(v), K.DATE_TOKEN_CORRECTIONS)
+    if key in K.ID_FIELDS or key == "houseCode":
+        return F.regexp_replace(v, r"(?U)\s*[-+]\s*", "-")
+    if key == "postalCode":
+        return T.digits(v)
+    if key == "remark":
+        return repair_remark(v)
     return v
 
 
+def clean_value(key: str, value: Column | str, names: Pairs | Column = (), places: Pairs = ()) -> Column:
+    """F22 for one known field: markup, labels, trims, then repairs by kind."""
+    v = X.replace_all(_unmarked(value), K.FIELD_LABEL_NOISE.get(key, ()), " ")
+    return repair_kind(key, _trim_marks(v), names, places)
+
+
 def clean_field(key: Column | str, value: Column | str, names: Pairs | Column = (), places: Pairs = ()) -> Column:
-    """F22 over the long table: one CASE on the field key."""
-    key, value = _c(key), _c(value)
-    out = F
-    for k in K.FIELD_LABEL_NOISE:
-        out = out.when(key == k, clean_value(k, value, names, places))
-    return out.otherwise(clean_value("", value))
+    """F22 over the long table: labels come from a map, one CASE picks the repair kind."""
+    key = _c(key)
+    labels = F.create_map(*[
+        x for k, words in K.FIELD_LABEL_NOISE.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in words]))
+    ])
+    noise = F.coalesce(F.try_element_at(labels, key), F.array().cast("array<string>"))
+    bare = F.aggregate(noise, _unmarked(value), lambda v, w: F.replace(v, w, F.lit(" ")))
+
+    def repaired(v: Column) -> Column:
+        out = F
+        for group in (K.NAME_FIELDS, ("address",), K.DATE_FIELDS, (*K.ID_FIELDS, "houseCode"), ("postalCode",), ("remark",)):
+            out = out.when(key.isin(*group), repair_kind(group[0], v, names, places))
+        return out.otherwise(v)
+
+    return X.let(_trim_marks(bare), repaired)
 
 
 def cut_at_markers(c: Column, markers: Sequence[str]) -> Column:

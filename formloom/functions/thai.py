@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from formloom import constants as K
-from formloom.functions.text import SPACE, _c, blank_to_null, compact, norm_ws, trimmed
+from formloom.functions.text import _c, blank_to_null, compact, let, norm_ws, trimmed
 
 WORD_LEFT, WORD_RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 DATE = "(?U)" + K.THAI_DATE
@@ -203,37 +203,49 @@ def _tidy_date(c: Column) -> Column:
 LOOSE_DATE = rf"(?U)({K.D}{{1,2}})\s*([^\d๐-๙\s]+)\s*({K.D}{{4}})"
 
 
+def _shifted(tidy: Column, days: int) -> Column:
+    def parts(t: Column) -> Column:
+        day, year = (ascii_digits(F.regexp_extract(t, LOOSE_DATE, i)).try_cast("int") for i in (1, 3))
+        month = month_number(F.regexp_replace(F.lower(F.regexp_extract(t, LOOSE_DATE, 2)), r"\.+$", ""))
+        return F.struct(
+            day.alias("d"), month.alias("m"), year.alias("y"), F.when(year >= 2400, 543).otherwise(0).alias("era"),
+            F.regexp_extract(t, LOOSE_DATE, 0).rlike("[๐-๙]").alias("thai"),
+        )
+
+    def moved(p: Column) -> Column:
+        # a day past the month end rolls over, as calendar arithmetic on day numbers does
+        first = F.try_make_timestamp(p["y"] - p["era"], p["m"], F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+        return F.struct(F.date_add(first, p["d"] - 1 + F.lit(days)).alias("on"), p["era"].alias("era"), p["thai"].alias("thai"))
+
+    def text(q: Column) -> Column:
+        name = F.get(F.array(*[F.lit(m) for m in K.MONTHS]), F.month(q["on"]) - 1)
+        plain = F.concat_ws(" ", F.dayofmonth(q["on"]).cast("string"), name, (F.year(q["on"]) + q["era"]).cast("string"))
+        styled = F.when(q["thai"], thai_digits(plain)).otherwise(plain)
+        return F.when(q["on"].isNotNull(), styled)
+
+    return let(parts(tidy), lambda p: let(moved(p), text))
+
+
 def shift_thai_date(c: Column | str, days: int) -> Column:
     """move a text date, keeping era and digit style; NULL when unreadable."""
-    tidy = _tidy_date(_c(c))
-    whole = F.regexp_extract(tidy, LOOSE_DATE, 0)
-    day, year = (ascii_digits(F.regexp_extract(tidy, LOOSE_DATE, i)).try_cast("int") for i in (1, 3))
-    month = month_number(F.regexp_replace(F.lower(F.regexp_extract(tidy, LOOSE_DATE, 2)), r"\.+$", ""))
-    era = F.when(year >= 2400, 543).otherwise(0)
-    # a day past the month end rolls over, as calendar arithmetic on day numbers does
-    first = F.try_make_timestamp(year - era, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    moved = F.date_add(first, day - 1 + F.lit(days))
-    name = F.element_at(F.array(*[F.lit(m) for m in K.MONTHS]), F.month(moved))
-    text = F.concat_ws(
-        " ", F.dayofmonth(moved).cast("string"), name, (F.year(moved) + era).cast("string")
-    )
-    text = F.when(whole.rlike("[๐-๙]"), thai_digits(text)).otherwise(text)
-    return F.when(moved.isNotNull(), text)
+    return let(_tidy_date(_c(c)), lambda t: _shifted(t, days))
 
 
 def thai_date_display(c: Column | str) -> Column:
     """canonical text of a date, or the tidied input."""
-    return F.coalesce(shift_thai_date(c, 0), _tidy_date(_c(c)))
+    return let(_tidy_date(_c(c)), lambda t: F.coalesce(_shifted(t, 0), t))
 
 
 def filing_start_date(c: Column | str) -> Column:
     """date interest starts; "from the day after filing" wording adds a day."""
-    c = _c(c)
 
-    def first(patterns: tuple[str, ...]) -> Column:
-        return F.coalesce(*[blank_to_null(F.regexp_extract(c, "(?U)" + p, 1)) for p in patterns])
+    def first(text: Column, patterns: tuple[str, ...]) -> Column:
+        return F.coalesce(*[blank_to_null(F.regexp_extract(text, "(?U)" + p, 1)) for p in patterns])
 
-    next_day, same_day = first(K.NEXT_DAY_PATTERNS), first(K.SAME_DAY_PATTERNS)
-    return F.when(next_day.isNotNull(), F.coalesce(shift_thai_date(next_day, 1), thai_date_display(next_day))).when(
-        same_day.isNotNull(), thai_date_display(same_day)
-    )
+    def read(text: Column) -> Column:
+        found = F.struct(first(text, K.NEXT_DAY_PATTERNS).alias("next"), first(text, K.SAME_DAY_PATTERNS).alias("same"))
+        return let(found, lambda f: F.when(
+            f["next"].isNotNull(), F.coalesce(shift_thai_date(f["next"], 1), thai_date_display(f["next"]))
+        ).when(f["same"].isNotNull(), thai_date_display(f["same"])))
+
+    return let(_c(c), read)

@@ -8,6 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom import constants as K
+from formloom.functions import text as X
+from formloom.functions import thai as T
+from formloom.functions.text import _c
+
+
+def eval_norm(field: Column | str, value: Column | str) -> Column:
+    """digits for identifiers and house codes, else folded digits and whitespace."""
+    field = _c(field)
+    return F.when(F.lower(field).endswith("id") | (field == "houseCode"), T.digits(F.coalesce(_c(value), F.lit("")))).otherwise(
+        T.ascii_digits(X.norm_ws(F.coalesce(_c(value), F.lit(""))))
+    )
+
+
+def json_field(payload: Column | str, key: str) -> Column:
+    """a review field given as a scalar or as an object with ``value``."""
+    p = _c(payload)
+    whole, inner = F.get_json_object(p, f"$.fields.{key}"), F.get_json_object(p, f"$.fields.{key}.value")
+    return X.blank_to_null(X.norm_ws(F.when(whole.startswith("{"), inner).otherwise(whole)))
+
 
 
 def actionable_reasons(reasons: Column) -> Column:
