@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm import chat, fingerprints, mixing
+from formloom.llm import chat, decontam, fingerprints, jaccard, mixing, tokens
 from formloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,46 @@ FROM o
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and their edited texts, with likenesses."""
     return fingerprints.edit_probe(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates (five-word runs, similarity of 0.8 or more): each document's group and links."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT text, min(doc_id) AS rep, count(*) AS copies FROM d GROUP BY text),
+w AS (SELECT rep, copies, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM c),
+sh AS (
+  SELECT DISTINCT rep, unnest(CASE WHEN len(ws) >= 5
+      THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+      ELSE [array_to_string(ws, ' ')] END) AS g
+  FROM w WHERE len(ws) > 0),
+n AS (SELECT rep, count(*) AS k FROM sh GROUP BY rep),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS shared FROM sh a JOIN sh b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
+l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.rep = x JOIN n ny ON ny.rep = y
+  WHERE 5 * shared >= 4 * (nx.k + ny.k - shared)),
+reach(x, y) AS (SELECT rep, rep FROM c UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+grp AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+tot AS (SELECT l.x, count(*) AS texts, sum(c.copies) AS docs FROM l JOIN c ON c.rep = l.y GROUP BY l.x)
+SELECT d.doc_id, grp.class_id, c.rep AS copy_id,
+  (coalesce(tot.docs, 0) + c.copies - 1)::BIGINT AS n_links, coalesce(tot.texts, 0)::BIGINT AS n_text_links
+FROM d JOIN c ON d.text = c.text JOIN grp ON grp.x = c.rep LEFT JOIN tot ON tot.x = c.rep
+"""
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item, substitutions tolerated."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids stand in the shards, and their checksum, read back from the files."""
+    path = tokens.new_shard_folder(spark)
+    tokens.write_shards(table(spark, sf_dir, "documents"), path)
+    return tokens.document_digests(spark, path)
