@@ -139,18 +139,22 @@ def edit_probe(docs: DataFrame) -> DataFrame:
     (a null id orders last).
     """
     text = text_or_empty()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("_id"), F.col("doc_id"), text.alias("_text"), F.char_length(text).alias("_n"))
-    ids = rows.groupBy("_id").agg(F.max(F.floor(F.col("_n") / 2)).alias("_need"), F.count(F.lit(1)).alias("_rows"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("_id"), text.alias("_text"))
+    ids = rows.groupBy("_id").agg(F.max(F.floor(F.char_length("_text") / 2)).alias("_need"), F.count(F.lit(1)).alias("_rows"))
     order = next_in_order(ids.select("_id", "_need"))
-    signed = rows.select("_id", "doc_id", "_text", "_n", signature(F.col("_text")).alias("_sig"))
-    heads = signed.select(F.col("_id").alias("_next"), F.col("_text").alias("_t"), F.col("_sig").alias("_next_sig"))
+    # both uses below need the same three columns by _id, so that Spark shuffles (and signs) the texts once
+    signed = rows.withColumn("_sig", signature(F.col("_text")))
+    own, after = signed.alias("own"), signed.alias("after")
     if ids.filter("_rows > 1").limit(1).count():
-        heads = heads.groupBy("_next").agg(F.min(F.struct("_t", "_next_sig")).alias("_h")).select("_next", "_h.*")
-    heads = heads.join(order, "_next").select("_id", F.substring("_t", F.lit(1), F.col("_ask").cast("int")).alias("_head"), "_next_sig")
+        after = signed.groupBy("_id").agg(F.min(F.struct("_text", "_sig")).alias("_h")).select("_id", "_h.*").alias("after")
+    heads = after.join(order.alias("o"), F.col("after._id") == F.col("o._next")).select(
+        F.col("o._id").alias("_for"), F.substring("after._text", F.lit(1), F.col("o._ask").cast("int")).alias("_head"), F.col("after._sig").alias("_next_sig")
+    )
     half = F.floor(F.col("_n") / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), F.col("_n") - half), F.substring("_head", F.lit(1), half))
-    both = signed.join(heads, "_id").select("doc_id", "_n", "_sig", "_next_sig", edited.alias("_edited"))
-    both = both.withColumn("_edited_sig", signature(F.col("_edited")))
+    both = own.join(heads, F.col("own._id") == F.col("_for")).select("own._id", "_text", "own._sig", "_head", "_next_sig", F.char_length("_text").alias("_n"))
+    both = both.withColumn("_edited", edited).withColumn("_edited_sig", signature(F.col("_edited")))
+    both = both.withColumn("doc_id", F.when(F.col("_id") != LEAST_ID, F.col("_id")))
     return both.select(
         "doc_id", F.col("_n").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
         as_string(F.col("_sig")).alias("fingerprint"), as_string(F.col("_edited_sig")).alias("edited_fingerprint"),
