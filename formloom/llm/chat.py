@@ -77,13 +77,12 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
         .select("tree", F.col("node").alias("leaf"), "rank", "depth", "node")
     )
+    paths = cut(paths)
     for k in reversed(range(len(jumps))):
         moved = paths.join(jumps[k], ["tree", "node"]).select(
             "tree", "leaf", "rank", (F.col("depth") - 2**k).alias("depth"), F.col("up").alias("node")
         )
-        paths = paths.unionByName(moved)
-        if k % 8 == 0 and k:
-            paths = cut(paths)
+        paths = cut(paths.unionByName(moved))  # else each round would work out all earlier ones twice
     return paths
 
 
