@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm import chat, decontam, fingerprints, jaccard, mixing, tokens
+from formloom.llm import chat, decontam, fingerprints, html, jaccard, mixing, pii, quality, secrets, tokens
 from formloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,41 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.new_shard_folder(spark)
     tokens.write_shards(table(spark, sf_dir, "documents"), path)
     return tokens.document_digests(spark, path)
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior, score and decision for every document."""
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts and digest, all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_form", "best_bits")
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op5_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '') AS body FROM pages),
+b AS (SELECT page_id, url, unnest(regexp_split_to_array(body, '</?(?:p|h1)>')) AS block, generate_subscripts(regexp_split_to_array(body, '</?(?:p|h1)>'), 1) AS i FROM a),
+c AS (
+  SELECT page_id, url, i, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(block, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&quot;?', '"', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b)
+SELECT page_id, url, coalesce(string_agg(regexp_replace(t, '&amp$', '&'), chr(10) ORDER BY i) FILTER (t <> ''), '') AS text,
+  length(coalesce(string_agg(regexp_replace(t, '&amp$', '&'), chr(10) ORDER BY i) FILTER (t <> ''), ''))::BIGINT AS n_chars
+FROM c GROUP BY page_id, url
+"""
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, all spans."""
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
