@@ -52,7 +52,7 @@ COORDINATES = 48
 FANOUT = 3
 #: A pair at the threshold agrees in fewer coordinates than this with a chance of 1e-7.
 AGREE = 24
-BUCKET_SETS = 500
+BUCKET_SETS = 400
 BUCKET_SHINGLES = 1_000_000
 MOST_LEVELS = 12
 #: Representatives up to this number are sent to all tasks to pick their texts; more are joined.
@@ -164,38 +164,77 @@ def _blocked(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other"), "own": F.col("_own")}).drop("_own", "_other")
 
 
-def _not_earlier(pdf: pd.DataFrame, bucket: int) -> np.ndarray:
+def _not_earlier(bucket: int, lo: int, hi: int, own: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
     """Pairs of the group that this bucket answers for: no smaller bucket holds both, and they are of the two blocks."""
-    n = len(pdf)
+    n = len(own)
     mine = np.triu(np.ones((n, n), bool), 1)
-    if pdf.lo.iat[0] != pdf.hi.iat[0]:
-        own = pdf.own.to_numpy()
+    if lo != hi:
         mine &= own[:, None] != own[None, :]
-    elsewhere: dict[int, list[int]] = {}
-    for i, bs in enumerate(pdf.buckets):
-        for b in bs:
-            if b < bucket:
-                elsewhere.setdefault(b, []).append(i)
-    for members in elsewhere.values():
-        if len(members) > 1:
-            mine[np.ix_(members, members)] = False
+    member = np.repeat(np.arange(n), [len(b) for b in buckets])
+    at = np.concatenate(buckets)
+    member, at = member[at < bucket], at[at < bucket]
+    order = np.argsort(at, kind="stable")
+    member, at = member[order], at[order]
+    edges = np.flatnonzero(np.diff(at, prepend=np.nan, append=np.nan) != 0)
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        if j - i > 1:
+            mine[np.ix_(member[i:j], member[i:j])] = False
     return mine
 
 
-def _plausible(pdf: pd.DataFrame) -> pd.DataFrame:
-    mine = _not_earlier(pdf, pdf.bucket.iat[0])
-    sig = np.frombuffer(b"".join(pdf.sig), ">u4").reshape(len(pdf), COORDINATES).astype(np.uint32)
-    agree = np.zeros(mine.shape, np.uint8)
-    for c in range(COORDINATES):
-        agree += sig[:, c, None] == sig[None, :, c]
-    pair = mine & (agree >= AGREE)
-    return pdf.loc[pair.any(axis=0) | pair.any(axis=1), ["key", "bucket", "lo", "hi", "own", "buckets", "copies"]]
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, from rows sorted by the keys, with the groups' borders."""
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+        columns = [now.column(k).to_numpy() for k in keys]
+        new = np.zeros(len(now), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(new)]) if len(now) else np.zeros(0, np.int64)
+        if len(edges) > 1:
+            yield now.slice(0, edges[-1]), edges
+            held = now.slice(edges[-1])
+        elif len(now):
+            held = now
+    if held is not None:
+        yield held, np.array([0, len(held)])
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of each group that agree with some other in enough coordinates, in a pair the group answers for."""
+    for rows, edges in _whole_groups(batches, ["bucket", "lo", "hi"]):
+        rows = rows.combine_chunks()
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u4").reshape(len(rows), COORDINATES).astype(np.uint32)
+        bucket, lo, hi, own = (rows.column(c).to_numpy() for c in ("bucket", "lo", "hi", "own"))
+        lists = rows.column("buckets").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        offset, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        keep = np.zeros(len(rows), bool)
+        size = np.diff(edges)
+        two = edges[:-1][size == 2]
+        likely = two[(sig[two] == sig[two + 1]).sum(axis=1) >= AGREE]
+        many = edges[:-1][size > 2]
+        for a, n in [*((x, 2) for x in likely), *zip(many, size[size > 2], strict=True)]:
+            s = sig[a : a + n]
+            if n <= 64:
+                agree = (s[:, None] == s[None]).sum(axis=2)
+            else:
+                agree = np.zeros((n, n), np.uint8)
+                for c in range(COORDINATES):
+                    agree += s[:, c, None] == s[None, :, c]
+            pair = np.triu(agree >= AGREE, 1)
+            if pair.any():
+                pair &= _not_earlier(bucket[a], lo[a], hi[a], own[a : a + n], [flat[offset[i] : offset[i + 1]] for i in range(a, a + n)])
+                keep[a : a + n] = pair.any(axis=0) | pair.any(axis=1)
+        yield from rows.filter(pa.array(keep)).select(["key", "bucket", "lo", "hi", "own", "buckets", "copies"]).to_batches()
 
 
 def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of each member that this bucket answers for, and the least member it is connected to."""
     pdf = pdf.sort_values("key", ignore_index=True)
-    n, mine = len(pdf), _not_earlier(pdf, pdf.bucket.iat[0])
+    n, mine = len(pdf), _not_earlier(pdf.bucket.iat[0], pdf.lo.iat[0], pdf.hi.iat[0], pdf.own.to_numpy(), list(pdf.buckets))
     sets = [np.frombuffer(x, np.uint64) for x in pdf.shingles]
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(n), size)
@@ -205,14 +244,14 @@ def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
     owner, at = owner[shared[at]], number[at[shared[at]]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    both = np.zeros((n, n), np.int64)
-    step = 2048
+    both = np.zeros((n, n), np.float32)  # whole numbers below 2 ** 24
+    step = 1024
     for low in range(0, int(shared.sum()), step):
         a, b = np.searchsorted(at, [low, low + step])
         has = np.zeros((n, step), np.float32)
         has[owner[a:b], at[a:b] - low] = 1
-        both += (has @ has.T).astype(np.int64)
-    link = mine & (DEN * both >= NUM * (size[:, None] + size[None, :] - both))
+        both += has @ has.T
+    link = mine & (DEN * both.astype(np.float64) >= NUM * (size[:, None] + size[None, :] - both))
     link |= link.T
     copies = pdf["copies"].to_numpy()
     root = np.arange(n)
@@ -240,7 +279,10 @@ def links(docs: DataFrame, reps: DataFrame, recall: float = TARGET_RECALL) -> Da
     lists = members.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
     rows = _blocked(members.join(lists, "key").join(reps.select("key", "sig", "copies"), "key"))
     group = ["bucket", "lo", "hi"]
-    some = cut(rows.groupBy(*group).applyInPandas(_plausible, "key binary, bucket long, lo long, hi long, own long, buckets array<long>, copies long"))
+    # tens of thousands of tiny groups: whole batches of them at a time
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*group, "own", "key", "sig", "buckets", "copies").repartition(parts, *group).sortWithinPartitions(*group)
+    some = cut(dealt.mapInArrow(_plausible, "key binary, bucket long, lo long, hi long, own long, buckets array<long>, copies long"))
     wanted = cut(some.select("key").distinct().join(reps.select("key", "rep"), "key"))
     if wanted.count() <= SENT_KEYS:
         wanted = F.broadcast(wanted)
