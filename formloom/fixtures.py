@@ -42,10 +42,15 @@ RECORD_COLUMNS: list[tuple[str, str]] = [
     ("original_filename",
      "CASE WHEN l_orderkey % 3 = 0 THEN concat(lpad(CAST(1 + l_orderkey % 28 AS STRING), 2, '0'), '072567',"
      " lpad(CAST(l_orderkey % 24 AS STRING), 2, '0'), '3015_form.pdf')"
+     # two runs of over 20 digits that differ in the last ones
+     " WHEN l_orderkey % 13 = 5 THEN concat('scan 00', repeat('9', 20), lpad(CAST(l_orderkey % 100000 AS STRING), 5, '0'), '.pdf')"
      " ELSE concat('Form ', CAST(l_orderkey AS STRING), '.pdf') END"),
     ("selected_document_type", "'TR'"),
     ("record_no",
      "CASE WHEN l_partkey % 5 = 0 THEN '' WHEN l_partkey % 7 = 0 THEN NULL"
+     # spells the number that another position of the batch may be given
+     " WHEN l_partkey % 11 = 3 THEN concat('TR-', upper(substr(concat('b', CAST(o_custkey AS STRING), 'x'), 1, 6)), '-',"
+     " lpad(CAST(1 + l_partkey % 9 AS STRING), 4, '0'))"
      " ELSE concat('TR-OLD-', lpad(CAST(l_partkey % 50 AS STRING), 4, '0')) END"),
     ("ocr_status",
      "CASE WHEN l_returnflag = 'A' THEN 'succeeded' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'pending'"
@@ -63,10 +68,12 @@ RECORD_COLUMNS: list[tuple[str, str]] = [
      " WHEN l_partkey % 9 = 0 THEN '  ' ELSE NULL END"),
     ("assigned_to_user_id",
      "CASE WHEN o_orderstatus = 'O' AND l_partkey % 10 <> 1 THEN NULL"
-     " WHEN o_orderstatus = 'O' THEN ' ' ELSE concat('u', CAST(l_suppkey AS STRING)) END"),
+     " WHEN o_orderstatus = 'O' THEN ' ' WHEN l_partkey % 10 = 4 THEN NULL WHEN l_partkey % 10 = 6 THEN concat('staff', CAST(l_suppkey AS STRING))"
+     " ELSE concat('u', CAST(l_suppkey AS STRING)) END"),
     ("assigned_to_username",
      "CASE WHEN o_orderstatus = 'O' AND l_partkey % 12 = 1 THEN 'held'"
-     " WHEN o_orderstatus = 'O' THEN NULL ELSE concat('staff', CAST(l_suppkey AS STRING)) END"),
+     " WHEN o_orderstatus = 'O' THEN NULL WHEN l_partkey % 10 = 6 THEN concat('u', CAST(l_suppkey AS STRING))"
+     " ELSE concat('staff', CAST(l_suppkey AS STRING)) END"),
     ("assigned_at", "CASE WHEN o_orderstatus = 'O' THEN NULL ELSE l_shipdate END"),
     ("save_btn", "CASE WHEN o_orderstatus = 'F' THEN 'y' WHEN l_partkey % 6 = 0 THEN NULL ELSE 'N' END"),
     ("created_at", "o_orderdate"),
@@ -96,7 +103,7 @@ FILE_COLUMNS: list[tuple[str, str]] = [
     ("content_type", "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'application/pdf'"
                      " WHEN 2 THEN 'Application/X-PDF' ELSE 'application/octet-stream' END"),
     ("document_type", "CASE WHEN o_custkey % 31 = 7 THEN 'invoice' WHEN o_custkey % 2 = 0 THEN ' tr ' ELSE 'TR' END"),
-    ("page_count", "CAST(1 + (o_orderkey * 7) % 53 AS INT)"),
+    ("page_count", "CASE WHEN o_orderkey % 89 = 4 THEN 0 WHEN o_orderkey % 83 = 5 THEN NULL ELSE CAST(1 + (o_orderkey * 7) % 53 AS INT) END"),
     ("error_message", "CASE WHEN o_orderkey % 41 = 3 THEN 'unreadable' ELSE NULL END"),
     ("created_at", "o_orderdate"),
 ]

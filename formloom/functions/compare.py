@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as TY
 
 from formloom import constants as K
 from formloom.functions import fields as FL
@@ -15,17 +13,6 @@ from formloom.functions import text as X
 from formloom.functions.text import _c
 
 
-@F.pandas_udf(TY.DoubleType())
-def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """matching-block ratio 2M/T; give it distinct pairs only."""
-    return pd.Series(
-        [
-            0.0 if not x or not y else 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
-            for x, y in zip(a, b, strict=True)
-        ]
-    )
-
-
 def edit_ratio(a: Column | str, b: Column | str) -> Column:
     """F30, edit-distance form: 1 - levenshtein over the longer length, all in the JVM."""
     a, b = _c(a), _c(b)
@@ -84,16 +71,20 @@ def line_in_passage(passage: Column | str, line: Column | str) -> Column:
     return F.coalesce(X.let(both, fits), F.lit(False))
 
 
-def accept_correction(raw: Column | str, new: Column | str, ratio: Column) -> Column:
-    """keep a corrected line unless script, similarity or length speak against it."""
+def accept_correction(raw: Column | str, new: Column | str, ratio: Column, least: float = 0.16, least_long: float = 0.26) -> Column:
+    """keep a corrected line unless script, similarity or length speak against it.
+
+    The thresholds are the caller's: those given here were set for a
+    matching-block ratio, and are this library's own rule with an edit ratio.
+    """
     raw, new = _c(raw), _c(new)
     thai_raw, thai_new = (F.regexp_count(c, F.lit(r"[฀-๿]")) for c in (raw, new))
     cyrillic, latin = F.regexp_count(new, F.lit(r"[Ѐ-ӿ]")), F.regexp_count(new, F.lit("[A-Za-z]"))
     switched = (thai_raw >= 3) & (thai_new == 0) & ((cyrillic >= 2) | (latin >= 4))
     n0, n1 = X.compact_length(raw), X.compact_length(new)
     return (
-        F.when(X.compact(new) == "", False).when(switched, False).when(ratio < 0.16, False)
-        .when(~(n1 / n0).between(0.45, 2.8), False).when((ratio < 0.26) & (n0 >= 18), False).otherwise(True)
+        F.when(X.compact(new) == "", False).when(switched, False).when(ratio < least, False)
+        .when(~(n1 / n0).between(0.45, 2.8), False).when((ratio < least_long) & (n0 >= 18), False).otherwise(True)
     )
 
 
@@ -113,15 +104,16 @@ def soft_name_match(a: Column | str, b: Column | str) -> Column:
     )
 
 
-def accept_reader_value(field: Column | str, current: Column | str, new: Column | str) -> Column:
-    """one token for parent names; a person name must not just grow at its end."""
+def accept_reader_value(field: Column | str, current: Column | str, new: Column | str, ungrown: Sequence[str] = ()) -> Column:
+    """one token for parent names; a value of the ``ungrown`` fields must not just grow at its end."""
     field, current, new = _c(field), F.coalesce(_c(current), F.lit("")), X.norm_ws(new)
     cur_words, new_words = F.split(X.norm_ws(current), " "), F.split(new, " ")
     head = F.array_join(F.slice(new_words, 1, F.size(cur_words)), " ")
     grown = (F.size(new_words) > F.size(cur_words)) & (head == current)
+    gated = field.isin(*ungrown) if ungrown else F.lit(False)
     return (
         F.when(field.isin(*K.PARENT_NAMES) & (F.size(new_words) > 1), False)
-        .when(~field.isin(*K.NAME_FIELDS) | (current == ""), True)
+        .when(~gated | (current == ""), True)
         .otherwise(~grown)
     )
 

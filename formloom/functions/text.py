@@ -291,12 +291,20 @@ def punctuation_only(c: Column | str) -> Column:
 
 def single_line(c: Column | str) -> Column:
     """fence, known prefixes and a quote pair removed, one line."""
-    c = F.trim(F.regexp_replace(unwrap_fence(c), r"\R", " "))
-    for prefix in K.LINE_PREFIXES:
-        c = F.when(c.startswith(prefix), trimmed(F.substr(c, F.lit(len(prefix) + 1)))).otherwise(c)
-    quoted = (F.length(c) >= 2) & (F.left(c, F.lit(1)) == F.right(c, F.lit(1))) & F.left(c, F.lit(1)).isin('"', "'")
-    c = F.when(quoted, trimmed(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
-    return norm_ws(c)
+
+    def without_prefixes(line: Column, prefixes: Sequence[str]) -> Column:
+        if not prefixes:
+            return unquoted(line)
+        first, *rest = prefixes
+        cut = F.when(line.startswith(first), trimmed(F.substr(line, F.lit(len(first) + 1)))).otherwise(line)
+        return let(cut, lambda v: without_prefixes(v, rest))
+
+    def unquoted(line: Column) -> Column:
+        ends = F.left(line, F.lit(1))
+        quoted = (F.length(line) >= 2) & (ends == F.right(line, F.lit(1))) & ends.isin('"', "'")
+        return norm_ws(F.when(quoted, trimmed(F.substring(line, F.lit(2), F.length(line) - 2))).otherwise(line))
+
+    return let(F.trim(F.regexp_replace(unwrap_fence(c), r"\R", " ")), lambda v: without_prefixes(v, K.LINE_PREFIXES))
 
 
 def name_token_ok(c: Column | str) -> Column:

@@ -43,3 +43,9 @@ def stage_timings(records: DataFrame) -> DataFrame:
     return long.groupBy("batch_id", "stage").agg(
         F.count("*").alias("n"), F.round(F.sum("ms"), 4).alias("total_ms"), F.max("ms").alias("max_ms")
     )
+
+
+def record_timings(records: DataFrame) -> DataFrame:
+    """Time of all stages of each record, before it is written."""
+    total = F.aggregate(F.map_values("stages_ms"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return records.select("record_id", F.round(total, 4).alias("total_ms"))

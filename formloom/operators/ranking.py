@@ -50,9 +50,3 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last"))
     return picked.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest]).select(*df.columns)
-
-
-def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str) -> DataFrame:
-    """First ``n`` rows per key; the rank limit is applied before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, rank).filter(F.col(name) <= n)

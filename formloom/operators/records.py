@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from formloom import constants as K
 from formloom.functions import text as X
-from formloom.operators.ranking import latest, numbered, sum_before, top_per_group
+from formloom.operators.ranking import latest, numbered, sum_before
+from formloom.session import checkpointed
 
 # --- predicates ---------------------------------------------------------------
 
@@ -150,8 +151,10 @@ def document_filter(df: DataFrame, needle: str = "", status: str | None = None)
 # --- queues and listings ---------------------------------------------------------
 
 
-def list_documents(df: DataFrame, category: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest documents of one category; ``limit`` is held to 1..500."""
+def list_documents(df: DataFrame, category: str | None, limit: int) -> DataFrame:
+    """The ``limit`` newest documents of one category (1 to 500, as the listing allows)."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be between 1 and 500")
     raw = (category or "").strip()
     if raw and raw.lower() != "all":
         import re
@@ -162,11 +165,11 @@ def list_documents(df: DataFrame, category: str | None = None, limit: int = 50)
             df = df.filter(F.coalesce(F.nullif(col, F.lit("")), F.lit(wanted)) == wanted)
         else:
             df = df.filter(col == wanted)
-    return df.orderBy(F.desc_nulls_last("updated_at"), "seq").limit(max(1, min(limit, 500)))
+    return df.orderBy(F.desc_nulls_last("updated_at"), "seq").limit(limit)
 
 
-def pending_queue(df: DataFrame, limit: int = 100) -> DataFrame:
-    """Oldest unfinished documents; interrupted ones go back to the queue."""
+def pending_queue(df: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` oldest unfinished documents; interrupted ones go back to the queue."""
     return (
         df.filter(F.col("status").isin(*K.PENDING_STATUSES))
         .orderBy(F.asc_nulls_first("updated_at"), "seq")
@@ -175,8 +178,8 @@ def pending_queue(df: DataFrame, limit: int = 100) -> DataFrame:
     )
 
 
-def latest_jobs(df: DataFrame, limit: int = 12) -> DataFrame:
-    """Newest jobs."""
+def latest_jobs(df: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` newest jobs."""
     return df.orderBy(F.desc("created_at"), "seq").limit(limit)
 
 
@@ -194,30 +197,24 @@ def stale_reviews(df: DataFrame) -> DataFrame:
 def validate_batch(files: DataFrame) -> DataFrame:
     """Reasons to refuse a batch, with the first file that breaks the record cap.
 
-    The running page sum only needs the files up to the first breach, so the
-    ordered part keeps at most ``MAX_RECORDS_PER_BATCH + 1`` files per batch:
-    every file has at least one page.
+    The running page sum is over all files of a batch, in stretches of file
+    numbers, so that files without pages may stand anywhere. A NULL page count
+    adds nothing.
     """
     ext = F.lower(F.regexp_extract(X.safe_basename("original_filename"), r"(\.[^.]+)$", 1))
     is_pdf = (ext == ".pdf") & F.lower(F.coalesce(F.col("content_type"), F.lit(""))).isin(*K.PDF_CONTENT_TYPES)
     wrong_type = F.upper(X.trimmed(F.coalesce(F.col("document_type"), F.lit("")))) != "TR"
-    marked = files.select("batch_id", "file_id", "file_seq", "page_count", is_pdf.alias("is_pdf"), wrong_type.alias("wt"))
-    sums = marked.groupBy("batch_id").agg(
+    pages = F.coalesce("page_count", F.lit(0))
+    marked = files.select("batch_id", "file_id", "file_seq", pages.alias("page_count"), is_pdf.alias("is_pdf"), wrong_type.alias("wt"))
+    placed = sum_before(marked, ["batch_id"], ["file_seq"], F.floor(F.col("file_seq") / FILES_A_STRETCH), "page_count", "before")
+    over = F.col("before") + F.col("page_count") > K.MAX_RECORDS_PER_BATCH
+    sums = placed.groupBy("batch_id").agg(
         F.count("*").alias("file_count"),
         F.sum("page_count").alias("total_pages"),
         F.max("page_count").alias("max_pages"),
         F.bool_and("is_pdf").alias("all_pdf"),
         F.bool_or("wt").alias("wrong_type"),
-    )
-    head = top_per_group(marked, ["batch_id"], ["file_seq"], K.MAX_RECORDS_PER_BATCH + 1, "rn")
-    running = F.sum("page_count").over(
-        Window.partitionBy("batch_id").orderBy("file_seq").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    breach = (
-        head.withColumn("running", running)
-        .filter(F.col("running") > K.MAX_RECORDS_PER_BATCH)
-        .groupBy("batch_id")
-        .agg(F.min_by("file_id", "file_seq").alias("first_over"))
+        F.min_by(F.when(over, F.col("file_id")), F.when(over, F.col("file_seq"))).alias("first_over"),
     )
     reasons = F.array_compact(
         F.array(
@@ -228,9 +225,7 @@ def validate_batch(files: DataFrame) -> DataFrame:
             F.when(F.col("total_pages") > K.MAX_RECORDS_PER_BATCH, "too_many_records"),
         )
     )
-    return sums.join(breach, "batch_id", "left").select(
-        "batch_id", "file_count", "total_pages", "max_pages", F.array_join(reasons, ",").alias("reasons"), "first_over"
-    )
+    return sums.select("batch_id", "file_count", "total_pages", "max_pages", F.array_join(reasons, ",").alias("reasons"), "first_over")
 
 
 def my_records(df: DataFrame, user_id: str, username: str, detail: bool = False) -> DataFrame:
@@ -242,11 +237,17 @@ def my_records(df: DataFrame, user_id: str, username: str, detail: bool = False)
     return df.orderBy(F.desc_nulls_last("assigned_at"))
 
 
+def names_of(id_col: str, name_col: str) -> Column:
+    """The different non-empty values among an id and a name."""
+    both = F.array(F.coalesce(F.col(id_col), F.lit("")), F.coalesce(F.col(name_col), F.lit("")))
+    return F.array_distinct(F.filter(both, lambda v: v != ""))
+
+
 def my_records_by_table(df: DataFrame, users: DataFrame) -> DataFrame:
-    """P13/X03 for many users at once: two equi joins instead of an OR join."""
-    by_id = df.join(users, df.assigned_to_user_id == users.user_id)
-    by_name = df.join(users, df.assigned_to_username == users.username)
-    return by_id.unionByName(by_name).dropDuplicates(["record_id", "user_id"])
+    """P13/X03 for many users at once: an id or name on either side meets an id or name on the other."""
+    held = df.withColumn("_who", F.explode(names_of("assigned_to_user_id", "assigned_to_username")))
+    asked = users.withColumn("_who", F.explode(names_of("user_id", "username")))
+    return held.join(asked, "_who").drop("_who").dropDuplicates(["record_id", "user_id"])
 
 
 def select_for_rerun(df: DataFrame, pages: Sequence[int] | None = None) -> DataFrame:
@@ -321,6 +322,22 @@ def dashboard_totals(records: DataFrame) -> DataFrame:
     return records.rollup("batch_id").agg(F.countDistinct("file_id").alias("file_count"), *record_counters())
 
 
+def dashboard_summary(records: DataFrame, files: DataFrame) -> DataFrame:
+    """The dashboard's one row of totals over all batches that have records or files."""
+    mine = records.groupBy("batch_id").agg(*record_counters())
+    pages = files.groupBy("batch_id").agg(F.count("*").alias("file_count"), F.sum(F.coalesce("page_count", F.lit(0))).alias("total_pages"))
+    both = mine.join(pages, "batch_id", "full_outer")
+    return both.agg(F.count("*").alias("batch_count"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns if c != "batch_id"])
+
+
+def dashboard_records(records: DataFrame) -> DataFrame:
+    """The dashboard's records, newest first."""
+    return records.select(
+        "record_id", "record_no", "batch_id", "file_id", "original_filename", "selected_document_type", "page_number", "ocr_status",
+        "review_status", "ocr_error", "assigned_to_user_id", "assigned_to_username", "assigned_at", "created_at",
+    ).orderBy(F.desc_nulls_last("created_at"), "record_id")
+
+
 def staff_stats(records: DataFrame) -> DataFrame:
     """Total, open and completed records per assignee."""
     done = F.col("review_status") == "completed"
@@ -356,49 +373,78 @@ def record_number(batch: Column, position: Column) -> Column:
 
 
 def record_numbers(records: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
-    """Keep the first use of a given number per batch, rewrite blanks and repeats."""
-    placed = numbered(records, ["batch_id"], order, bucket, "pos")
-    given = F.coalesce(X.trimmed("record_no"), F.lit(""))
-    placed = placed.withColumn("given", given)
-    first_use = placed.filter(F.col("given") != "").groupBy("batch_id", "given").agg(F.min("pos").alias("first_pos"))
-    kept = placed.join(first_use, ["batch_id", "given"], "left")
-    number = F.when(F.col("pos") == F.col("first_pos"), F.col("given")).otherwise(
-        record_number(F.col("batch_id"), F.col("pos"))
-    )
-    return kept.withColumn("record_no", number).drop("given", "first_pos")
+    """Keep the first use of a given number per batch, rewrite blanks and repeats.
 
-
-def assign_first_n(records: DataFrame, n: int, user_id: str, username: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """First ``n`` ready rows per batch, and the batches too small for ``n``."""
+    A rewritten number counts as used for the rows after it. A given number can
+    equal the number of an earlier position only if it spells that position, so
+    each row depends on one earlier row at most; such rows look up whether it
+    was rewritten, and chains of them are followed until none is open.
+    """
+    placed = numbered(records, ["batch_id"], order, bucket, "pos").withColumn("given", F.coalesce(X.trimmed("record_no"), F.lit("")))
+    blank = F.col("given") == ""
+    # blank numbers never meet: each is a group of its own
+    same = Window.partitionBy("batch_id", "given", F.when(blank, F.col("pos")))
+    spelled = F.regexp_extract("given", r"-(\d{4,18})$", 1).try_cast("long")
+    links = (F.col("given") == record_number(F.col("batch_id"), spelled)) & (spelled < F.col("pos"))
+    placed = placed.withColumn("_new", blank | (F.min("pos").over(same) < F.col("pos")))
+    placed = placed.withColumn("_at", F.when(~F.col("_new") & links, spelled))
+    open_ = placed.filter("_at is not null").select("batch_id", "pos", "_at")
+    told = placed.select("batch_id", F.col("pos").alias("_at"), F.col("_new").alias("_hit"), F.col("_at").alias("_next"))
+    taken = None
+    while open_.limit(1).count():
+        seen = checkpointed(open_.join(told, ["batch_id", "_at"]))
+        hits = seen.filter("_hit").select("batch_id", "pos", F.lit(True).alias("_taken"))
+        taken = hits if taken is None else taken.unionByName(hits)
+        open_ = seen.filter(~F.col("_hit") & F.col("_next").isNotNull()).select("batch_id", "pos", F.col("_next").alias("_at"))
+    new = F.col("_new")
+    if taken is not None:
+        placed = placed.join(taken, ["batch_id", "pos"], "left")
+        new = new | F.coalesce("_taken", F.lit(False))
+    number = F.when(new, record_number(F.col("batch_id"), F.col("pos"))).otherwise(F.col("given"))
+    return placed.withColumn("record_no", number).drop("given", "_new", "_at", "_taken")
+
+
+def assign_first_n(records: DataFrame, n: int, user_id: str, username: str, order: Sequence[str], bucket: Column) -> DataFrame:
+    """The first ``n`` ready rows of each batch that has as many; one refusal row for each other batch.
+
+    ``outcome`` is ``assigned`` or the refusal; a refused batch has no record.
+    """
     if n < 1:
         raise ValueError("n must be at least 1")
-    ready = records.filter(ready_to_assign())
-    picked = top_per_group(ready, ["batch_id"], order, n, "rn")
-    size = picked.groupBy("batch_id").agg(F.count("*").alias("ready_found"))
-    short = size.filter(F.col("ready_found") < n)
-    enough = size.filter(F.col("ready_found") >= n).select("batch_id")
-    assigned = picked.join(enough, "batch_id", "left_semi").withColumns(
+    ready = F.coalesce(ready_to_assign(), F.lit(False))
+    sizes = records.groupBy("batch_id").agg(F.count_if(ready).alias("ready_found"))
+    first = numbered(records.filter(ready), ["batch_id"], order, bucket, "rn").filter(F.col("rn") <= n)
+    assigned = first.join(sizes.filter(F.col("ready_found") >= n), "batch_id").withColumns(
         {
             "review_status": F.lit("assigned"),
             "assigned_to_user_id": F.lit(user_id or username),
             "assigned_to_username": F.lit(username or user_id),
+            "outcome": F.lit("assigned"),
         }
     )
-    return assigned, short
+    refusal = F.concat(F.lit("rejected: "), F.col("ready_found").cast("string"), F.lit(" ready"))
+    short = sizes.filter(F.col("ready_found") < n).withColumn("outcome", refusal)
+    return assigned.unionByName(short, allowMissingColumns=True).drop("rn")
+
 
+def select_records(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each requested record's outcome and its request's, which is all or nothing.
 
-def select_records(records: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matched, missing and blocked rows for a table of requested ids."""
+    ``wanted(request_id, record_id, seq)``: blank ids are ignored, repeated ones
+    count once. ``outcome`` is ready, blocked or missing; ``accepted`` is true
+    where every record of the request is ready.
+    """
     ids = (
-        wanted.select(X.trimmed("record_id").alias("record_id"), "seq")
+        wanted.select("request_id", X.trimmed("record_id").alias("record_id"), "seq")
         .filter(F.col("record_id") != "")
-        .groupBy("record_id")
+        .groupBy("request_id", "record_id")
         .agg(F.min("seq").alias("seq"))
     )
-    matched = records.join(ids, "record_id")
-    missing = ids.join(records.select("record_id"), "record_id", "left_anti")
-    blocked = matched.filter(~F.coalesce(ready_to_assign(), F.lit(False)))
-    return matched, missing, blocked
+    state = records.select("record_id", F.coalesce(ready_to_assign(), F.lit(False)).alias("_ready"))
+    found = ids.join(state, "record_id", "left")
+    outcome = F.when(F.col("_ready").isNull(), "missing").when(F.col("_ready"), "ready").otherwise("blocked")
+    whole = Window.partitionBy("request_id")
+    return found.withColumn("outcome", outcome).withColumn("accepted", F.bool_and(F.col("outcome") == "ready").over(whole)).drop("_ready")
 
 
 def resolve_assignee(requests: DataFrame, staff: DataFrame, manager_id: str, manager_name: str) -> DataFrame:
@@ -427,7 +473,13 @@ def natural_key(filename: Column | str, page: Column | str) -> Column:
     name = F.col(filename) if isinstance(filename, str) else filename
     page = F.col(page) if isinstance(page, str) else page
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(r)), "")
+
+    def sortable(run: Column) -> Column:
+        """A digit run without leading zeros behind its length, so that any length compares as a number."""
+        bare = F.regexp_replace(run, r"^0+(?=\d)", "")
+        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(bare).cast("string"), 6, "0"), bare)).otherwise(run)
+
+    padded = F.array_join(F.transform(runs, sortable), "")
     stamp = X.filename_timestamp(name)
     return F.concat_ws(
         "|", F.coalesce(F.lpad(stamp.cast("string"), 14, "0"), F.lit("99999999999999")), padded,
@@ -435,11 +487,12 @@ def natural_key(filename: Column | str, page: Column | str) -> Column:
     )
 
 
-def page_of(df: DataFrame, order: Sequence[Column | str], page: int, size: int) -> DataFrame:
-    """One screen page of rows in a total order."""
+def page_of(df: DataFrame, order: Sequence[Column | str], bucket: Column, page: int, size: int) -> DataFrame:
+    """One screen page of rows in a total order; no task sorts or skips the rows before it."""
     if size not in (10, 20, 50, 100):
         raise ValueError("size must be 10, 20, 50 or 100")
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    placed = numbered(df, [], order, bucket, "_place")
+    return placed.filter(F.col("_place").between((page - 1) * size + 1, page * size)).drop("_place")
 
 
 def import_status() -> Column:
@@ -465,28 +518,35 @@ def latest_state(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return latest(events, keys, order)
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str, insert: bool = True) -> DataFrame:
-    """New values win per column; a patch (``insert=False``) of a missing key does nothing."""
-    cols = [c for c in current.columns if c != key]
+def upsert(current: DataFrame, changes: DataFrame, key: str, insert: bool = True, replace: bool = False) -> DataFrame:
+    """A change's columns win, NULLs too; a patch (``insert=False``) of a missing key does nothing.
+
+    With ``replace`` the change is the whole row: columns that it lacks become NULL.
+    """
     new = changes.select(key, *[F.col(c).alias(f"__n_{c}") for c in changes.columns if c != key], F.lit(True).alias("__hit"))
     joined = current.join(new, key, "full_outer" if insert else "left")
-    return joined.select(
-        key,
-        *[
-            F.coalesce(F.col(f"__n_{c}"), F.col(c)).alias(c) if f"__n_{c}" in new.columns else F.col(c)
-            for c in cols
-        ],
-    )
+
+    def value(c: str) -> Column:
+        if c in changes.columns:
+            return F.when(F.col("__hit"), F.col(f"__n_{c}")).otherwise(F.col(c))
+        return F.when(F.col("__hit").isNull(), F.col(c)) if replace else F.col(c)
+
+    return joined.select(key, *[value(c).alias(c) for c in current.columns if c != key])
+
+
+#: File numbers of one stretch of a batch: running sums are made inside a stretch and carried over.
+FILES_A_STRETCH = 65536
 
 
 def page_records(files: DataFrame) -> DataFrame:
     """One pending, unassigned record per file page, numbered through the batch.
 
     The number of a page is the pages of all earlier files plus its own, so the
-    running sum is over files, not over pages.
+    running sum is over files, not over pages. Files without a page, or of
+    unknown length, have no records; ``pageless_files`` lists them.
     """
     counted = sum_before(
-        files, ["batch_id"], ["file_seq"], F.floor(F.col("file_seq") / 65536), "page_count", "before"
+        files.filter("page_count >= 1"), ["batch_id"], ["file_seq"], F.floor(F.col("file_seq") / FILES_A_STRETCH), "page_count", "before"
     )
     pages = counted.withColumn("page_number", F.explode(F.sequence(F.lit(1), F.col("page_count"))))
     pos = (F.col("before") + F.col("page_number")).cast("bigint")
@@ -498,39 +558,65 @@ def page_records(files: DataFrame) -> DataFrame:
     )
 
 
+def pageless_files(files: DataFrame) -> DataFrame:
+    """Files that yield no record, with the reason."""
+    reason = F.when(F.col("page_count").isNull(), "unknown page count").otherwise("no pages")
+    return files.filter(F.coalesce(F.col("page_count") < 1, F.lit(True))).select("batch_id", "file_id", reason.alias("reason"))
+
+
 ACTIONS = ("assign", "save", "complete")
 
 
-def apply_actions(state: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requested actions against current rows -> accepted changes, refusals with a reason.
+def apply_actions(state: DataFrame, actions: DataFrame) -> DataFrame:
+    """Requested actions, decided in order per record; one row each with a reason or its effect.
+
+    ``actions(record_id, seq, action, user_id, username, edits, unresolved)``. A
+    row is assigned once, while it is ready; only its owner (id or name, on
+    either side) may save or complete it, once it has been read; after the first
+    accepted completion nothing changes it. A completion takes its edits, else
+    those saved last (a save may clear them), else the read result or text.
 
-    ``actions(record_id, action, user_id, edits, unresolved)``; a completed row
-    takes no edit, completing again changes nothing, completion needs every field
-    resolved and picks edits, saved edits, then the read text.
+    Each decision needs only the record's first assignment, first valid
+    completion and last save before it, so running windows per record do.
     """
-    joined = actions.join(state, "record_id", "left")
-    saved = save_flag() == "Y"
-    owner = F.coalesce(F.col("assigned_to_user_id"), F.lit("")) == F.col("user_id")
+    joined = actions.join(state.withColumn("_known", F.lit(True)), "record_id", "left")
+    action, seq = F.col("action"), F.col("seq")
+    mine = Window.partitionBy("record_id")
+    before = mine.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ready = F.coalesce(ready_to_assign(), F.lit(False))
+    joined = joined.withColumn("_ready", ready).withColumn(
+        "_given", F.min(F.when(F.col("_ready") & (action == "assign"), F.struct("seq", "user_id", "username"))).over(mine)
+    )
+    given = F.col("_given.seq") < seq
+    holder = F.array_distinct(F.when(given, F.array(F.coalesce("_given.user_id", F.lit("")), F.coalesce("_given.username", F.lit("")))).otherwise(
+        F.array(F.coalesce("assigned_to_user_id", F.lit("")), F.coalesce("assigned_to_username", F.lit("")))))
+    owner = F.arrays_overlap(F.filter(holder, lambda v: v != ""), names_of("user_id", "username"))
+    edit = action.isin("save", "complete")
+    early = (
+        F.when(F.col("_known").isNull(), "record not found")
+        .when(~action.isin(*ACTIONS), "unknown action")
+        .when((action == "assign") & (~F.col("_ready") | given), "not ready to assign")
+        .when(edit & ~F.coalesce(owner, F.lit(False)), "not assigned to user")
+        .when(edit & (F.col("ocr_status") != "succeeded"), "not read yet")
+    )
+    joined = joined.withColumn("_early", early).withColumn("_done", save_flag() == "Y")
+    closes = F.col("_early").isNull() & (action == "complete") & ~F.col("_done") & (F.col("unresolved") == 0)
+    joined = joined.withColumn("_closed", F.min(F.when(closes, seq)).over(mine))
+    done = F.col("_done") | F.coalesce(F.col("_closed") < seq, F.lit(False))
     reason = (
-        F.when(F.col("ocr_status").isNull(), "record not found")
-        .when((F.col("action") == "assign") & ~F.coalesce(ready_to_assign(), F.lit(False)), "not ready to assign")
-        .when(F.col("action").isin("save", "complete") & ~owner, "not assigned to user")
-        .when(F.col("action").isin("save", "complete") & (F.col("ocr_status") != "succeeded"), "not read yet")
-        .when((F.col("action") == "save") & saved, "completed records cannot be edited")
-        .when((F.col("action") == "complete") & saved, "already completed")
-        .when((F.col("action") == "complete") & (F.col("unresolved") > 0), "fields need review")
-        .when(~F.col("action").isin(*ACTIONS), "unknown action")
+        F.when(F.col("_early").isNotNull(), F.col("_early"))
+        .when((action == "save") & done, "completed records cannot be edited")
+        .when((action == "complete") & done, "already completed")
+        .when((action == "complete") & (F.col("unresolved") > 0), "fields need review")
     )
-    judged = joined.withColumn("reason", reason)
-    accepted = judged.filter(F.col("reason").isNull()).select(
-        "record_id", "action",
-        F.when(F.col("action") == "assign", "assigned").when(F.col("action") == "save", "in_review")
-        .otherwise("completed").alias("review_status"),
-        F.when(F.col("action") == "assign", F.col("user_id")).otherwise(F.col("assigned_to_user_id"))
-        .alias("assigned_to_user_id"),
-        F.when(F.col("action") == "complete", F.coalesce("edits", "saved_edits", "ocr_text"))
-        .when(F.col("action") == "save", F.col("edits")).otherwise(F.col("saved_edits")).alias("result"),
-        F.when(F.col("action") == "complete", "Y").otherwise(save_flag()).alias("save_btn"),
+    joined = joined.withColumn("reason", reason)
+    saves = F.when((action == "save") & F.col("reason").isNull(), F.struct("edits"))
+    kept = F.last(saves, ignorenulls=True).over(before)
+    saved = F.when(kept.isNotNull(), kept["edits"]).otherwise(F.col("saved_edits"))
+    ok = F.col("reason").isNull()
+    return joined.select(
+        "record_id", "seq", "action", "reason",
+        F.when(ok, F.when(action == "assign", "assigned").when(action == "save", "in_review").otherwise("completed")).alias("review_status"),
+        F.when(ok, F.when(action == "assign", F.coalesce(F.nullif("user_id", F.lit("")), "username")).when(given, F.col("_given.user_id")).otherwise(F.col("assigned_to_user_id"))).alias("assigned_to_user_id"),
+        F.when(ok, F.when(action == "complete", F.coalesce("edits", saved, "ocr_result", "ocr_text")).when(action == "save", F.col("edits")).otherwise(saved)).alias("result"),
     )
-    refused = judged.filter(F.col("reason").isNotNull()).select("record_id", "action", "reason")
-    return accepted, refused

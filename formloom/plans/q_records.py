@@ -49,6 +49,20 @@ def a03(spark, sf):
     return R.dashboard_totals(fx.review_records(spark, sf))
 
 
+@query("A03_dashboard_summary", f"""WITH rec AS ({fx.RECORDS_SQL}), fil AS ({fx.FILES_SQL}),
+ b AS (SELECT batch_id FROM rec UNION SELECT batch_id FROM fil)
+ SELECT (SELECT count(*) FROM b) AS batch_count, (SELECT count(*) FROM fil) AS file_count, (SELECT sum(page_count) FROM fil)::BIGINT AS total_pages, r.*
+ FROM (SELECT {COUNTERS} FROM rec) r""")
+def a03s(spark, sf):
+    return R.dashboard_summary(fx.review_records(spark, sf), fx.uploaded_files(spark, sf))
+
+
+@query("A03_dashboard_records", REC + """SELECT record_id, record_no, batch_id, file_id, original_filename, selected_document_type, page_number,
+ ocr_status, review_status, ocr_error, assigned_to_user_id, assigned_to_username, assigned_at, created_at FROM rec""")
+def a03r(spark, sf):
+    return R.dashboard_records(fx.review_records(spark, sf))
+
+
 @query("A04_staff_stats", REC + """SELECT assigned_to_user_id, count(*) AS total,
  count(*) FILTER (review_status <> 'completed') AS in_progress, count(*) FILTER (review_status = 'completed') AS completed
  FROM rec WHERE trim(coalesce(assigned_to_user_id, '')) <> '' GROUP BY 1""")
@@ -82,6 +96,15 @@ def a19(spark, sf):
     return stage_timings(rec.select("batch_id", stages.alias("stages_ms")))
 
 
+@query("A19_record_timings", REC + "SELECT record_id, round(coalesce(read_ms, 0) + coalesce(parse_ms, 0) + coalesce(validate_ms, 0), 4) AS total_ms FROM rec")
+def a19r(spark, sf):
+    from formloom.operators.quality import record_timings
+
+    rec = fx.review_records(spark, sf)
+    stages = F.create_map(F.lit("read"), "read_ms", F.lit("parse"), "parse_ms", F.lit("validate"), "validate_ms")
+    return record_timings(rec.select("record_id", stages.alias("stages_ms")))
+
+
 @query("P01_match", DOC + """SELECT id, status, document_category FROM doc
  WHERE status IN ('checked','ocr_failed') AND (document_category = 'tr' OR document_category IS NULL OR document_category = '')
    AND ocr_markdown IS NOT NULL""")
@@ -103,18 +126,18 @@ def p02(spark, sf):
 @query("P03_list_documents", DOC + """SELECT id, document_category, updated_at FROM doc
  WHERE coalesce(nullif(document_category, ''), 'uncategorized') = 'uncategorized' ORDER BY updated_at DESC, seq LIMIT 50""")
 def p03(spark, sf):
-    return R.list_documents(fx.import_documents(spark, sf), " Uncategorized").select("id", "document_category", "updated_at")
+    return R.list_documents(fx.import_documents(spark, sf), " Uncategorized", 50).select("id", "document_category", "updated_at")
 
 
 @query("P04_pending_queue", DOC + """SELECT id, CASE WHEN status IN ('cleaning','ocr_running') THEN 'ocr_queued' ELSE status END AS status,
  updated_at FROM doc WHERE status IN ('uploaded','ocr_queued','cleaning','ocr_running') ORDER BY doc.updated_at, seq LIMIT 100""")
 def p04(spark, sf):
-    return R.pending_queue(fx.import_documents(spark, sf)).select("id", "status", "updated_at")
+    return R.pending_queue(fx.import_documents(spark, sf), 100).select("id", "status", "updated_at")
 
 
 @query("P05_latest_jobs", DOC + "SELECT id, created_at FROM doc ORDER BY created_at DESC, seq LIMIT 12")
 def p05(spark, sf):
-    return R.latest_jobs(fx.import_documents(spark, sf)).select("id", "created_at")
+    return R.latest_jobs(fx.import_documents(spark, sf), 12).select("id", "created_at")
 
 
 NEEDS = f"""CASE WHEN status IN ('cleaning','ocr_running') THEN false
@@ -138,8 +161,8 @@ def p07(spark, sf):
 @query("P08_validate_batch", FIL + """, base AS (SELECT *, regexp_extract(lower(original_filename), '(\\.[^./]+)$', 1) = '.pdf'
    AND lower(content_type) IN ('','application/pdf','application/x-pdf','application/octet-stream') AS is_pdf,
    upper(trim(document_type)) <> 'TR' AS wt,
-   sum(page_count) OVER (PARTITION BY batch_id ORDER BY file_seq) AS running FROM fil),
- agg AS (SELECT batch_id, count(*) AS file_count, CAST(sum(page_count) AS BIGINT) AS total_pages, max(page_count) AS max_pages,
+   sum(coalesce(page_count, 0)) OVER (PARTITION BY batch_id ORDER BY file_seq) AS running FROM fil),
+ agg AS (SELECT batch_id, count(*) AS file_count, CAST(coalesce(sum(page_count), 0) AS BIGINT) AS total_pages, max(coalesce(page_count, 0)) AS max_pages,
    bool_and(is_pdf) AS all_pdf, bool_or(wt) AS wt, min(file_seq) FILTER (running > 100) AS fo FROM base GROUP BY batch_id)
  SELECT batch_id, file_count, total_pages, max_pages, concat_ws(',', CASE WHEN wt THEN 'type' END,
    CASE WHEN file_count > 20 THEN 'too_many_files' END, CASE WHEN NOT all_pdf THEN 'not_pdf' END,
@@ -183,7 +206,7 @@ def p12(spark, sf):
 
 @query("P13_my_records", """WITH rec AS (%s), usr AS (SELECT 'u' || CAST(s_suppkey AS VARCHAR) AS user_id,
  'staff' || CAST(CASE WHEN s_suppkey %% 5 = 0 THEN s_suppkey + 1 ELSE s_suppkey END AS VARCHAR) AS username FROM supplier)
- SELECT DISTINCT user_id, record_id FROM usr JOIN rec ON user_id = assigned_to_user_id OR username = assigned_to_username""" % fx.RECORDS_SQL)
+ SELECT DISTINCT user_id, record_id FROM usr JOIN rec ON user_id IN (assigned_to_user_id, assigned_to_username) OR username IN (assigned_to_user_id, assigned_to_username)""" % fx.RECORDS_SQL)
 def p13(spark, sf):
     users = table(spark, sf, "supplier").selectExpr(
         "concat('u', CAST(s_suppkey AS STRING)) AS user_id",
@@ -216,26 +239,29 @@ ORDER = ["file_seq", "page_number", "part_seq", "staff_seq"]
 ORDER_SQL = "file_seq, page_number, part_seq, staff_seq"
 
 
-@query("W01_record_numbers", REC + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY {ORDER_SQL}) AS pos,
+@query("W01_record_numbers", f"""WITH RECURSIVE rec AS ({fx.RECORDS_SQL}), placed AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY {ORDER_SQL}) AS pos,
    trim(coalesce(record_no, '')) AS given FROM rec),
- seen AS (SELECT *, row_number() OVER (PARTITION BY batch_id, given ORDER BY pos) AS use_no FROM placed)
- SELECT record_id, pos, CASE WHEN given <> '' AND use_no = 1 THEN given ELSE 'TR-' ||
-   upper(substr(regexp_replace(batch_id, '[^A-Za-z0-9]+', '', 'g'), 1, 6)) || '-' || lpad(CAST(pos AS VARCHAR), CAST(greatest(4, length(CAST(pos AS VARCHAR))) AS INT), '0') END AS record_no FROM seen""")
+ gen AS (SELECT *, 'TR-' || upper(substr(regexp_replace(batch_id, '[^A-Za-z0-9]+', '', 'g'), 1, 6)) || '-' ||
+   lpad(CAST(pos AS VARCHAR), CAST(greatest(4, length(CAST(pos AS VARCHAR))) AS INT), '0') AS made FROM placed),
+ walk AS (
+   SELECT batch_id, record_id, pos, CASE WHEN given = '' THEN made ELSE given END AS no, [CASE WHEN given = '' THEN made ELSE given END] AS seen FROM gen WHERE pos = 1
+   UNION ALL
+   SELECT g.batch_id, g.record_id, g.pos, CASE WHEN given = '' OR list_contains(seen, given) THEN made ELSE given END,
+     list_append(seen, CASE WHEN given = '' OR list_contains(seen, given) THEN made ELSE given END)
+   FROM walk JOIN gen g ON g.batch_id = walk.batch_id AND g.pos = walk.pos + 1)
+ SELECT record_id, pos, no AS record_no FROM walk""")
 def w01(spark, sf):
     numbered = R.record_numbers(fx.review_records(spark, sf), ORDER, F.floor(F.col("file_seq") / 4096))
     return numbered.select("record_id", "pos", "record_no")
 
 
-@query("W02_assign_first_n", REC + f""", ready AS (SELECT record_id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY {ORDER_SQL}) AS rn,
-   count(*) OVER (PARTITION BY batch_id) AS n FROM rec WHERE {READY})
- SELECT batch_id, record_id, 'assigned' AS outcome FROM ready WHERE n >= 3 AND rn <= 3
- UNION ALL SELECT DISTINCT batch_id, CAST(NULL AS VARCHAR), 'rejected: ' || CAST(n AS VARCHAR) || ' ready' FROM ready WHERE n < 3""")
+@query("W02_assign_first_n", REC + f""", n AS (SELECT batch_id, count(*) FILTER (coalesce({READY}, false)) AS n FROM rec GROUP BY batch_id),
+ ready AS (SELECT record_id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY {ORDER_SQL}) AS rn FROM rec WHERE {READY})
+ SELECT ready.batch_id, record_id, 'assigned' AS outcome FROM ready JOIN n ON n.batch_id = ready.batch_id WHERE n >= 3 AND rn <= 3
+ UNION ALL SELECT batch_id, CAST(NULL AS VARCHAR), 'rejected: ' || CAST(n AS VARCHAR) || ' ready' FROM n WHERE n < 3""")
 def w02(spark, sf):
-    assigned, short = R.assign_first_n(fx.review_records(spark, sf), 3, "u7", "staff7", ORDER)
-    return assigned.selectExpr("batch_id", "record_id", "review_status AS outcome").unionByName(
-        short.selectExpr("batch_id", "CAST(NULL AS STRING) AS record_id",
-                         "concat('rejected: ', CAST(ready_found AS STRING), ' ready') AS outcome")
-    )
+    done = R.assign_first_n(fx.review_records(spark, sf), 3, "u7", "staff7", ORDER, F.floor(F.col("file_seq") / 4096))
+    return done.select("batch_id", "record_id", "outcome")
 
 
 @query("W04_latest_state", EVT + """SELECT record_id, ts, seq, status FROM evt
@@ -249,7 +275,7 @@ def w04(spark, sf):
   CASE WHEN regexp_matches(original_filename, '^[0-9]{14}') THEN substr(original_filename,5,4) || substr(original_filename,3,2)
     || substr(original_filename,1,2) || substr(original_filename,9,6) ELSE '99999999999999' END,
   array_to_string(list_transform(regexp_extract_all(lower(original_filename), '([0-9]+|[^0-9]+)', 1),
-    lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE r END), ''),
+    lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(CAST(length(regexp_replace(r, '^0+([0-9])', '\\1')) AS VARCHAR), 6, '0') || regexp_replace(r, '^0+([0-9])', '\\1') ELSE r END), ''),
   lpad(CAST(page_number AS VARCHAR), 10, '0')) AS sort_key FROM rec""")
 def w10(spark, sf):
     return fx.review_records(spark, sf).select("record_id", R.natural_key("original_filename", "page_number").alias("sort_key"))
@@ -257,34 +283,33 @@ def w10(spark, sf):
 
 @query("W11_page_of", REC + f"SELECT record_id, file_seq, page_number FROM rec ORDER BY {ORDER_SQL} OFFSET 40 LIMIT 20")
 def w11(spark, sf):
-    return R.page_of(fx.review_records(spark, sf), ORDER, 3, 20).select("record_id", "file_seq", "page_number")
+    return R.page_of(fx.review_records(spark, sf), ORDER, F.floor(F.col("file_seq") / 4096), 3, 20).select("record_id", "file_seq", "page_number")
 
 
 # --- joins and sets ------------------------------------------------------------------
 
 # requested ids: one per part, some unknown, some padded, some repeated
-WANTED = ("SELECT CASE WHEN l_partkey % 11 = 0 THEN concat('missing-', CAST(l_partkey % 60 AS STRING))"
-          " ELSE concat(' R', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING),"
-          " '-', CAST(l_suppkey AS STRING)) END AS record_id,"
-          " l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem")
+WANTED_COLUMNS = [
+    ("record_id", "CASE WHEN l_partkey % 11 = 0 THEN concat('missing-', CAST(l_partkey % 60 AS STRING))"
+                  " ELSE concat(' R', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING),"
+                  " '-', CAST(l_suppkey AS STRING)) END"),
+    ("seq", "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber"),
+    ("request_id", "l_orderkey * 4 + l_partkey % 4"),
+]
+WANTED = "SELECT " + ", ".join(f"{e} AS {a}" for a, e in WANTED_COLUMNS) + " FROM lineitem"
 
 
 def _wanted(spark, sf):
-    return table(spark, sf, "lineitem").selectExpr(
-        *WANTED.removeprefix("SELECT ").removesuffix(" FROM lineitem").replace(" AS record_id, ", " AS record_id\n").split("\n")
-    )
+    return table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {a}" for a, e in WANTED_COLUMNS])
 
 
 @query("J04_select_records", f"""WITH rec AS ({fx.RECORDS_SQL}), want AS ({WANTED}),
- ids AS (SELECT trim(record_id) AS record_id, min(seq) AS seq FROM want WHERE trim(record_id) <> '' GROUP BY 1)
- SELECT ids.record_id, CASE WHEN rec.record_id IS NULL THEN 'missing' WHEN coalesce({READY}, false) THEN 'ready' ELSE 'blocked' END AS outcome
- FROM ids LEFT JOIN rec ON rec.record_id = ids.record_id""")
+ ids AS (SELECT request_id, trim(record_id) AS record_id, min(seq) AS seq FROM want WHERE trim(record_id) <> '' GROUP BY 1, 2),
+ o AS (SELECT request_id, ids.record_id, CASE WHEN rec.record_id IS NULL THEN 'missing' WHEN coalesce({READY}, false) THEN 'ready' ELSE 'blocked' END AS outcome
+   FROM ids LEFT JOIN rec ON rec.record_id = ids.record_id)
+ SELECT request_id, record_id, outcome, request_id NOT IN (SELECT request_id FROM o WHERE outcome <> 'ready') AS accepted FROM o""")
 def j04(spark, sf):
-    matched, missing, _ = R.select_records(fx.review_records(spark, sf), _wanted(spark, sf))
-    state = F.when(F.coalesce(R.ready_to_assign(), F.lit(False)), "ready").otherwise("blocked")
-    return matched.select("record_id", state.alias("outcome")).unionByName(
-        missing.select("record_id", F.lit("missing").alias("outcome"))
-    )
+    return R.select_records(fx.review_records(spark, sf), _wanted(spark, sf)).select("request_id", "record_id", "outcome", "accepted")
 
 
 STAFF_SQL = ("SELECT concat('u', CAST(s_suppkey AS STRING)) AS user_id, concat('staff', CAST(s_suppkey % 30 AS STRING)) AS username,"
@@ -349,7 +374,7 @@ def f51(spark, sf):
 
 
 @query("H18_page_records", FIL + """, pre AS (SELECT *, coalesce(sum(page_count) OVER (PARTITION BY batch_id ORDER BY file_seq
-   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fil),
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fil WHERE page_count >= 1),
  pg AS (SELECT *, unnest(generate_series(1, page_count)) AS p FROM pre)
  SELECT file_id || '-' || CAST(p AS VARCHAR) AS record_id, 'TR-' || upper(substr(regexp_replace(batch_id, '[^A-Za-z0-9]+', '', 'g'), 1, 6)) || '-' ||
    lpad(CAST(CAST(before + p AS BIGINT) AS VARCHAR), CAST(greatest(4, length(CAST(CAST(before + p AS BIGINT) AS VARCHAR))) AS INT), '0') AS record_no, batch_id, file_id,
@@ -359,33 +384,69 @@ def h18(spark, sf):
     return R.page_records(fx.uploaded_files(spark, sf))
 
 
-ACT_SQL = ("SELECT CASE WHEN l_partkey % 13 = 0 THEN concat('gone-', CAST(l_orderkey AS STRING)) ELSE record_id END AS record_id,"
-           " CASE l_linenumber % 3 WHEN 0 THEN 'assign' WHEN 1 THEN 'save' ELSE 'complete' END AS action,"
-           " CASE WHEN l_suppkey % 5 = 0 THEN 'u0' ELSE concat('u', CAST(l_suppkey AS STRING)) END AS user_id,"
-           " CASE WHEN l_partkey % 3 = 0 THEN concat('edit ', CAST(l_partkey AS STRING)) ELSE NULL END AS edits,"
-           " CASE WHEN l_partkey % 8 = 0 THEN 1 ELSE 0 END AS unresolved")
-STATE_EXTRA = ("CASE WHEN part_seq % 2 = 0 THEN concat('saved ', CAST(part_seq AS STRING)) ELSE NULL END AS saved_edits,"
-               " concat('text ', record_id) AS ocr_text")
-
-
-@query("H17_apply_actions", f"""WITH rec AS (SELECT *, {STATE_EXTRA} FROM ({fx.RECORDS_SQL})),
- act AS ({ACT_SQL} FROM (SELECT *, concat('R', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS record_id FROM lineitem)),
- j AS (SELECT act.*, rec.* EXCLUDE (record_id), upper(trim(coalesce(save_btn,'N'))) = 'Y' AS saved FROM act LEFT JOIN rec ON rec.record_id = act.record_id),
- r AS (SELECT *, CASE WHEN ocr_status IS NULL THEN 'record not found'
-   WHEN action = 'assign' AND NOT coalesce({READY}, false) THEN 'not ready to assign'
-   WHEN action <> 'assign' AND coalesce(assigned_to_user_id, '') <> user_id THEN 'not assigned to user'
-   WHEN action <> 'assign' AND ocr_status <> 'succeeded' THEN 'not read yet'
-   WHEN action = 'save' AND saved THEN 'completed records cannot be edited'
-   WHEN action = 'complete' AND saved THEN 'already completed'
-   WHEN action = 'complete' AND unresolved > 0 THEN 'fields need review' END AS reason FROM j)
- SELECT record_id, action, reason, CASE WHEN reason IS NULL THEN CASE action WHEN 'assign' THEN 'assigned' WHEN 'save' THEN 'in_review' ELSE 'completed' END END AS review_status,
-  CASE WHEN reason IS NULL THEN CASE action WHEN 'complete' THEN coalesce(edits, saved_edits, ocr_text) WHEN 'save' THEN edits ELSE saved_edits END END AS result FROM r""")
+@query("H18_pageless_files", FIL + """SELECT batch_id, file_id, CASE WHEN page_count IS NULL THEN 'unknown page count' ELSE 'no pages' END AS reason
+ FROM fil WHERE page_count IS NULL OR page_count < 1""")
+def h18p(spark, sf):
+    return R.pageless_files(fx.uploaded_files(spark, sf))
+
+
+@query("S06_upsert", DOC + """, chg AS (SELECT 'D' || CAST(doc_id * 2 AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'checked' END AS status FROM documents)
+ SELECT 'upsert' AS how, coalesce(doc.id, chg.id) AS id, CASE WHEN chg.id IS NOT NULL THEN chg.status ELSE doc.status END AS status, total_pages FROM doc FULL JOIN chg ON doc.id = chg.id
+ UNION ALL SELECT 'patch', doc.id, CASE WHEN chg.id IS NOT NULL THEN chg.status ELSE doc.status END, total_pages FROM doc LEFT JOIN chg ON doc.id = chg.id
+ UNION ALL SELECT 'replace', doc.id, CASE WHEN chg.id IS NOT NULL THEN chg.status ELSE doc.status END, CASE WHEN chg.id IS NULL THEN total_pages END FROM doc LEFT JOIN chg ON doc.id = chg.id""")
+def s06(spark, sf):
+    now = fx.import_documents(spark, sf).select("id", "status", "total_pages")
+    changes = table(spark, sf, "documents").selectExpr("concat('D', CAST(doc_id * 2 AS STRING)) AS id", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'checked' END AS status")
+    forms = {"upsert": {}, "patch": {"insert": False}, "replace": {"insert": False, "replace": True}}
+    parts = [R.upsert(now, changes, "id", **how).withColumn("how", F.lit(name)) for name, how in forms.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# four actions on every record, in an order that mixes owners, other users and repeats
+ACT_COLUMNS = [
+    ("record_id", "CASE WHEN l_partkey % 13 = 0 THEN concat('gone-', CAST(l_orderkey AS STRING)) ELSE record_id END"),
+    ("seq", "l_orderkey * 100000000 + l_partkey * 1000 + l_linenumber * 10 + step"),
+    ("action", "CASE (l_linenumber + step * (1 + l_partkey % 2)) % 4 WHEN 0 THEN 'assign' WHEN 1 THEN 'save' WHEN 2 THEN 'complete' ELSE CASE WHEN l_partkey % 7 = 0 THEN 'erase' ELSE 'save' END END"),
+    ("user_id", "CASE WHEN l_suppkey % 5 = 0 THEN 'u0' ELSE concat('u', CAST(l_suppkey AS STRING)) END"),
+    ("username", "CASE WHEN l_suppkey % 4 = 0 THEN concat('staff', CAST(l_suppkey AS STRING)) ELSE 'nobody' END"),
+    ("edits", "CASE WHEN (l_partkey + step) % 3 = 0 THEN concat('edit ', CAST(l_partkey AS STRING), '.', CAST(step AS STRING)) ELSE NULL END"),
+    ("unresolved", "CASE WHEN (l_partkey + step) % 8 = 0 THEN 1 ELSE 0 END"),
+]
+ACT_SQL = "SELECT " + ", ".join(f"{e} AS {a}" for a, e in ACT_COLUMNS)
+LINE_ID = "concat('R', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))"
+STATE_COLUMNS = [
+    ("saved_edits", "CASE WHEN part_seq % 2 = 0 THEN concat('saved ', CAST(part_seq AS STRING)) ELSE NULL END"),
+    ("ocr_result", "CASE WHEN part_seq % 3 = 0 THEN concat('result ', CAST(part_seq AS STRING)) ELSE NULL END"),
+    ("ocr_text", "concat('text ', record_id)"),
+]
+STATE_EXTRA = ", ".join(f"{e} AS {a}" for a, e in STATE_COLUMNS)
+
+
+@query("H17_apply_actions", f"""WITH RECURSIVE rec AS (SELECT *, {STATE_EXTRA} FROM ({fx.RECORDS_SQL}) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY updated_at DESC, read_ms DESC, parse_ms DESC, validate_ms DESC) = 1),
+ act AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS n FROM (SELECT DISTINCT * FROM ({ACT_SQL} FROM (SELECT *, unnest(generate_series(1, 4)) AS step, {LINE_ID} AS record_id FROM lineitem)))),
+ fold(record_id, n, ready, done, uid, uname, saved, ocr_status, fallback, seq, action, reason, result) AS (
+  SELECT record_id, 0::BIGINT, coalesce({READY}, false), upper(trim(coalesce(save_btn,'N'))) = 'Y', coalesce(assigned_to_user_id, ''), coalesce(assigned_to_username, ''),
+   saved_edits, ocr_status, coalesce(ocr_result, ocr_text), NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM rec
+  UNION ALL
+  SELECT record_id, n, ready AND NOT (ok AND action = 'assign'), done OR (ok AND action = 'complete'),
+   CASE WHEN ok AND action = 'assign' THEN user_id ELSE uid END, CASE WHEN ok AND action = 'assign' THEN username ELSE uname END,
+   CASE WHEN ok AND action = 'save' THEN edits ELSE saved END, ocr_status, fallback, seq, action, reason,
+   CASE WHEN ok THEN CASE action WHEN 'complete' THEN coalesce(edits, saved, fallback) WHEN 'save' THEN edits ELSE saved END END
+  FROM (SELECT *, reason IS NULL AS ok FROM (
+   SELECT f.*  EXCLUDE (n, seq, action, reason, result), a.n, a.seq, a.action, a.user_id, a.username, a.edits,
+    CASE WHEN a.action NOT IN ('assign', 'save', 'complete') THEN 'unknown action'
+     WHEN a.action = 'assign' THEN CASE WHEN NOT f.ready THEN 'not ready to assign' END
+     WHEN NOT ((f.uid <> '' AND f.uid IN (a.user_id, a.username)) OR (f.uname <> '' AND f.uname IN (a.user_id, a.username))) THEN 'not assigned to user'
+     WHEN f.ocr_status <> 'succeeded' THEN 'not read yet'
+     WHEN f.done THEN CASE a.action WHEN 'save' THEN 'completed records cannot be edited' ELSE 'already completed' END
+     WHEN a.action = 'complete' AND a.unresolved > 0 THEN 'fields need review' END AS reason
+   FROM fold f JOIN act a ON a.record_id = f.record_id AND a.n = f.n + 1)))
+ SELECT record_id, seq, action, reason, CASE WHEN reason IS NULL THEN CASE action WHEN 'assign' THEN 'assigned' WHEN 'save' THEN 'in_review' ELSE 'completed' END END AS review_status,
+  CASE WHEN reason IS NULL THEN uid END AS assigned_to_user_id, result FROM fold WHERE n > 0
+ UNION ALL SELECT record_id, seq, action, 'record not found', NULL, NULL, NULL FROM act WHERE record_id NOT IN (SELECT record_id FROM rec)""")
 def h17(spark, sf):
-    rec = fx.review_records(spark, sf).selectExpr("*", *[s for s in STATE_EXTRA.replace("saved_edits,", "saved_edits\n").split("\n")])
-    key = "concat('R', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS record_id"
-    lines = table(spark, sf, "lineitem").selectExpr("*", key)
-    act = spark.sql(ACT_SQL + " FROM {lines}", lines=lines)
-    ok, refused = R.apply_actions(rec, act)
-    return ok.select("record_id", "action", F.lit(None).cast("string").alias("reason"), "review_status", "result").unionByName(
-        refused.select("record_id", "action", "reason", F.lit(None).cast("string").alias("review_status"), F.lit(None).cast("string").alias("result"))
-    )
+    # a record id that the tables hold twice counts in its latest state, as its actions count once
+    rec = R.latest_state(fx.review_records(spark, sf), ["record_id"], ["updated_at", "read_ms", "parse_ms", "validate_ms"]).selectExpr("*", *[f"{e} AS {a}" for a, e in STATE_COLUMNS])
+    lines = table(spark, sf, "lineitem").selectExpr("*", "explode(sequence(1, 4)) AS step", f"{LINE_ID} AS record_id")
+    done = R.apply_actions(rec, lines.selectExpr(*[f"{e} AS {a}" for a, e in ACT_COLUMNS]).distinct())
+    return done.withColumn("assigned_to_user_id", F.when(F.col("reason").isNull(), F.coalesce("assigned_to_user_id", F.lit(""))))

@@ -227,7 +227,7 @@ ADDR44 = "concat(address, CASE k % 3 WHEN 0 THEN ' 10110' WHEN 1 THEN '' ELSE ',
 
 @query("F44_split_address", FRM + rf"""SELECT k, regexp_extract(address, '^(\S+ หมู่ [0-9]+)', 1) AS address1, CASE WHEN k % 6 = 2 THEN 'ถนน สายเมฆ' END AS address2,
  CASE WHEN k % 6 = 2 THEN 'สายเมฆ' END AS road, {PLACE['pro']} AS province, {PLACE['dis']} AS district, {PLACE['sub']} AS subdistrict,
- CASE k % 3 WHEN 0 THEN '10110' WHEN 2 THEN '20220' END AS postal_code FROM frm""")
+ CASE k % 3 WHEN 0 THEN '10110' WHEN 2 THEN '20220' END AS postal_code, CAST(NULL AS VARCHAR) AS overflow FROM frm""")
 def f44(spark, sf):
     return fx.forms(spark, sf).select("k", A.split_address(F.expr(ADDR44)).alias("a")).select("k", "a.*")
 
@@ -241,20 +241,12 @@ def f30e(spark, sf):
     return df.select("c_custkey", F.round(C.edit_ratio("a", "b"), 6).alias("ratio"))
 
 
-@query("F30_similarity")
-def f30(spark, sf):
-    """Exact matching-block ratio, computed once per distinct pair of names."""
-    frm = fx.forms(spark, sf).select("k", "mother_name", "father_name")
-    pairs = frm.select("mother_name", "father_name").distinct().withColumn("ratio", F.round(C.gestalt_ratio("mother_name", "father_name"), 6))
-    return frm.join(pairs, ["mother_name", "father_name"]).select("k", "mother_name", "father_name", "ratio")
-
-
-@query("F31_accept_correction", r"""WITH p AS (SELECT conv_id, turn, text AS a, CASE turn % 4 WHEN 0 THEN upper(substr(text, 1, 30)) || 'x' WHEN 1 THEN '' WHEN 2 THEN text || '!' ELSE reverse(text) END AS b FROM conversations),
+@query("F31_accept_correction", r"""WITH p AS (SELECT conv_id, turn, text AS a, CASE turn % 4 WHEN 0 THEN 'x' || text || 'x' WHEN 1 THEN text || ' zz ' || text || ' zz ' || text WHEN 2 THEN text || '!' ELSE reverse(text) END AS b FROM conversations),
  s AS (SELECT *, length(regexp_replace(a, '\s+', '', 'g')) AS n0, length(regexp_replace(b, '\s+', '', 'g')) AS n1, levenshtein(lower(regexp_replace(a, '\s+', '', 'g')), lower(regexp_replace(b, '\s+', '', 'g'))) AS d FROM p)
  SELECT conv_id, turn, n1 > 0 AND NOT coalesce(1 - d / greatest(n0, n1) < 0.16, false) AND n1 / greatest(n0, 1) BETWEEN 0.45 AND 2.8 AND NOT (1 - d / greatest(n0, n1) < 0.26 AND n0 >= 18) AS keep FROM s""")
 def f31(spark, sf):
-    """Edit-distance ratio here, so that SQL can check the rule; the exact ratio plugs in the same way."""
-    new = F.expr("CASE turn % 4 WHEN 0 THEN concat(upper(substr(text, 1, 30)), 'x') WHEN 1 THEN '' WHEN 2 THEN concat(text, '!') ELSE reverse(text) END")
+    """The rule of this library: thresholds set for a matching-block ratio, applied to the edit ratio."""
+    new = F.expr("CASE turn % 4 WHEN 0 THEN concat('x', text, 'x') WHEN 1 THEN text || ' zz ' || text || ' zz ' || text WHEN 2 THEN concat(text, '!') ELSE reverse(text) END")
     df = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("a"), new.alias("b"))
     return df.select("conv_id", "turn", C.accept_correction("a", "b", C.edit_ratio(X.compact_lower("a"), X.compact_lower("b"))).alias("keep"))
 
@@ -270,10 +262,13 @@ def f32(spark, sf):
     return df.select("k", C.soft_name_match("a", "b").alias("soft"))
 
 
-@query("F33_accept_reader_value", LNG + """SELECT k, field, CASE WHEN field IN ('motherName', 'fatherName') THEN k % 3 = 0 WHEN field = 'personName' THEN k % 3 <> 1 ELSE true END AS accept FROM lng""")
+@query("F33_accept_reader_value", LNG + """SELECT k, field, CASE WHEN field IN ('motherName', 'fatherName') THEN k % 3 = 0 ELSE true END AS accept,
+ CASE WHEN field IN ('motherName', 'fatherName') THEN k % 3 = 0 WHEN field = 'personName' THEN k % 3 <> 1 ELSE true END AS accept_gated FROM lng""")
 def f33(spark, sf):
     new = F.expr("CASE k % 3 WHEN 0 THEN CASE WHEN field IN ('motherName', 'fatherName') THEN 'ใหม่' ELSE value END WHEN 1 THEN concat(value, ' เพิ่ม') ELSE concat('ก ', value) END")
-    return fx.form_values(spark, sf).select("k", "field", C.accept_reader_value("field", "value", new).alias("accept"))
+    return fx.form_values(spark, sf).select(
+        "k", "field", C.accept_reader_value("field", "value", new).alias("accept"),
+        C.accept_reader_value("field", "value", new, ungrown=("personName",)).alias("accept_gated"))
 
 
 @query("F42_number_token", FRM + "SELECT k, translate(replace(house_code, '-', ',') || '๑110', '0123456789', '๐๑๒๓๔๕๖๗๘๙') AS token FROM frm")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession, leaf: str) -> str:
-    """A folder every executor sees, below the checkpoint folder of the cluster.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder of the session.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, local runs) gets a
-    folder below the working directory of Spark's own warehouse setting.
+    Only where driver and executors are one process (tests) may that folder be
+    unset; a temporary one is used then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "formloom-shared")
-    return f"{base.rstrip('/')}/{leaf}"
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
