@@ -62,15 +62,19 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     parent = F.when(F.col("_there") & (F.col("_up_place") < F.col("place")), F.col("parent"))
     now = cut(linked.select("tree", "node", parent.alias("up"), "score", F.lit(1).cast("long").alias("depth")))
     leaves = now.select("tree", "node").join(now.select("tree", F.col("up").alias("node")).filter("node is not null"), ["tree", "node"], "left_anti")
-    jumps = []
-    while now.filter("up is not null").limit(1).count():
-        jumps.append(now.filter("up is not null").select("tree", "node", "up"))
-        far = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
-        joined = now.join(far, ["tree", "up"], "left")
-        now = cut(joined.select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+    jumps, rooted = [], now.filter("up is null")
+    now = now.filter("up is not null")
+    while now.limit(1).count():
+        # only messages that haven't reached their root go on; each jump goes twice as far as the one before
+        jumps.append(now.select("tree", "node", "up"))
+        ahead = rooted.unionByName(now)
+        far = ahead.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
+        joined = cut(now.join(far, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("depth") + F.col("_depth")).alias("depth")
         ))
+        rooted = rooted.unionByName(joined.filter("up is null"))
+        now = joined.filter("up is not null")
+    now = rooted
     best = Window.partitionBy("tree").orderBy(F.col("_mean").desc(), "node")
     paths = (
         leaves.join(now, ["tree", "node"]).withColumn("_mean", F.col("score") / F.col("depth"))
