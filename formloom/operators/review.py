@@ -197,3 +197,23 @@ def apply_staff_edits(values: DataFrame, edits: DataFrame) -> DataFrame:
     joined = values.join(new, ["record_id", "field"], "full_outer")
     hit = F.coalesce("_hit", F.lit(False))
     return joined.select("record_id", "field", F.when(hit, F.col("_v")).otherwise(F.col("value")).alias("value"), F.when(hit, F.col("_s")).otherwise(F.col("review_status")).alias("review_status"))
+
+
+def reconcile_age(birth: Column, update: Column, age: Column, crop: Column) -> Column:
+    """struct(action, value, calculated) from the age read, the dates and a differing crop reading; NULL without dates."""
+    text = F.coalesce(X.trimmed(age), F.lit(""))
+    row = F.struct(T.age_at(birth, update).cast("string").alias("c"), text.alias("a"), F.nullif(X.trimmed(F.coalesce(crop, F.lit(""))), F.lit("")).alias("k"))
+
+    def decide(r: Column) -> Column:
+        done = lambda action, value: F.struct(F.lit(action).alias("action"), value.alias("value"), r["c"].alias("calculated"))
+        valid = FL.valid_value("age", r["a"])
+        promoted = r["k"].isNotNull() & (r["a"] != "") & (X.compact(r["a"]) != X.compact(r["k"]))
+        return (
+            F.when(~FL.valid_value("age", F.coalesce(r["c"], F.lit(""))), None)
+            .when(valid & (T.ascii_digits(r["a"]) == r["c"]), done("verified", r["c"]))
+            .when(promoted, done("promoted_crop_ocr_alternative", r["k"]))
+            .when(valid, done("flagged_mismatch_kept_ocr", r["a"]))
+            .otherwise(done("derived_missing", r["c"]))
+        )
+
+    return X.let(row, decide)
