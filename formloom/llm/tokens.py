@@ -13,7 +13,7 @@ ranges (a row each) and one inside each range give every shard's start.
 Byte-level encoders split a text before any single space that precedes a
 non-space and around a lone line break, so pieces between those points encode
 alike wherever they stand; distinct pieces are encoded once per batch and kept
-in a bounded table. Texts with other white space, or with the text of a
+in a bounded table under 128-bit hashes. Texts with other white space, or with the text of a
 special token, are encoded whole.
 
 Defined cases: a null or empty text is just the end id; rows that repeat an id
@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20
 #: Distinct pieces that a worker keeps before it starts anew.
 KEPT_PIECES = 1_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, levels int, doc_ids array<long>, lengths array<long>, "
     "planes binary, zeros array<long>, ranks binary"
@@ -81,15 +82,17 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        """The table of known pieces: 128-bit hashes in order, where each piece's ids start, and how many they are."""
+        self.keys = np.zeros(0, np.uint64)
+        self.checks = np.zeros(0, np.uint64)
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
         """Each piece is encoded behind a line break, which is a token of its own there and marks its start."""
         bare = np.fromiter((p[0] != "\n" for p in pieces), bool, len(pieces))
         units = ["\n " + p if b else p for p, b in zip(pieces, bare, strict=True)]
@@ -100,10 +103,13 @@ class Encoder:
             ids = np.concatenate(each)
             at = np.cumsum([0, *map(len, each)])[:-1]
         length = np.diff(np.append(at, len(ids)))
-        self.first = np.concatenate([self.first, len(self.flat) + at + bare])
-        self.length = np.concatenate([self.length, length - bare])
-        self.flat = np.concatenate([self.flat, ids])
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        order = np.argsort(keys)
+        slot = np.searchsorted(self.keys, keys[order])
+        self.first = np.insert(self.first, slot, (len(self.flat) + at + bare)[order])
+        self.length = np.insert(self.length, slot, (length - bare)[order])
+        self.keys = np.insert(self.keys, slot, keys[order])
+        self.checks = np.insert(self.checks, slot, checks[order])
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without odd white space, and each text's number of ids."""
@@ -111,12 +117,20 @@ class Encoder:
         lists = pc.split_pattern(lines, " ")
         words = lists.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
-        if len(self.known) > KEPT_PIECES:
+        if len(self.keys) > KEPT_PIECES:
             self._clear()
-        if new := [x for x in names if x not in self.known]:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
-        first, length = self.first[at], self.length[at]
+        keys, checks = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), "<u8").reshape(-1, 2).T
+        place = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            self._learn([names[i] for i in new], keys[new], checks[new])
+            place = np.searchsorted(self.keys, keys)
+        if (self.checks[place] != checks).any():  # two pieces with equal halves of their hashes
+            self._clear()
+            ids = self._whole(texts.to_pylist())
+            return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+        at = place[words.indices.to_numpy()]
+        first, length = self.first[at], self.length[at].astype(np.int64)
         # a text's first piece starts with the line break put there above
         opens = np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))
         opens = np.concatenate([[0], opens[:-1]])
