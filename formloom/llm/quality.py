@@ -51,8 +51,8 @@ def _hash(names: list[str], kind: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x, kind) % FEATURES for x in names), np.int64, len(names))
 
 
-def _per_word(words: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Hashed features (a column each) and flags of distinct words."""
+def _hashed(words: pa.Array) -> np.ndarray:
+    """Hashed features (a column each) of distinct words."""
     shape = words
     for a, b in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{N}+", "0")):
         shape = pc.replace_substring_regex(shape, a, b)
@@ -60,20 +60,25 @@ def _per_word(words: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     length = np.asarray(pc.utf8_length(words), np.int64)
     last = pc.utf8_slice_codeunits(words, -1, None).dictionary_encode()
     of = lambda d, kind: _hash(d.dictionary.to_pylist(), kind)[d.indices.to_numpy(zero_copy_only=False)]
-    columns = np.stack([
+    return np.stack([
         _hash(pc.utf8_lower(words).to_pylist(), 1), of(shape, 2), _hash([str(i) for i in range(21)], 3)[np.minimum(length, 20)], of(last, 4)
     ], axis=1)
+
+
+def _per_word(words: pa.Array) -> dict[str, np.ndarray]:
+    """Counts and flags of distinct words."""
+    length = np.asarray(pc.utf8_length(words), np.int64)
     odd = np.asarray(pc.utf8_length(pc.replace_substring_regex(words, r"[\p{L}\p{N}.,;:'\"()\-@+=/]", "")), np.int64)
     letters = np.asarray(pc.utf8_length(pc.replace_substring_regex(words, r"\P{L}", "")), np.int64)
     big = np.asarray(pc.utf8_length(pc.replace_substring_regex(words, r"\P{Lu}", "")), np.int64)
     stops = np.asarray(pc.match_substring_regex(words, r"[.!?]$"))
-    return columns, {"length": length, "odd": odd, "letters": letters, "big": big, "stops": stops, "bare": (letters == 0).astype(np.int64)}
+    return {"length": length, "odd": odd, "letters": letters, "big": big, "stops": stops, "bare": (letters == 0).astype(np.int64)}
 
 
 class Described:
     """Statistics, votes and sparse features of a slice of texts."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, hashed: bool = True):
         texts = pc.fill_null(texts, "")
         lists = pc.utf8_split_whitespace(texts)
         flat = lists.flatten()
@@ -83,7 +88,7 @@ class Described:
         at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n = np.bincount(owner, minlength=len(texts))
         self.n = n
-        columns, word = _per_word(words.dictionary)
+        columns, word = _hashed(words.dictionary) if hashed else None, _per_word(words.dictionary)
         total = lambda v: np.bincount(owner, weights=v[at], minlength=len(texts))
         share = lambda a, b: np.divide(a, b, out=np.zeros(len(texts)), where=b > 0)
         same = np.zeros(len(at), bool)
@@ -188,7 +193,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[str, float]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            made = Described(piece.column("text"))
+            made = Described(piece.column("text"), hashed=False)
             names, n = np.unique(np.array(_pattern(made.votes))[made.n > 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(n, pa.int64())], names=["votes", "n"])
 
