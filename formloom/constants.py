@@ -20,7 +20,6 @@ LEGAL_SIGNALS = (
 PICTURE_SIGNALS = (
     "ภาพนี้", "รายละเอียด", "ตราสัญลักษณ์", "สีดำและสีขาว", "องค์ประกอบ", "ตรงกลางภาพ", "ลักษณะ", "ประกอบด้วย",
 )
-OWN_BLOCK_WORDS = ("โจทก์", "จำเลย", "ระหว่าง", "รายละเอียด", "ความแพ่ง", "เรื่อง", "คำขอ")
 
 ENTITIES = (
     ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -115,8 +114,6 @@ REMARK_CUT_MARKERS = ("สำหรับเจ้าหน้าที่", "Pa
 REMARK_START_MARKERS = ("บุคคลนี้", "มีภูมิลำเนา", "อยู่ในบ้านนี้")
 DOMICILE_REMARK = "บุคคลนี้มีภูมิลำเนาอยู่ในบ้านนี้"
 ADDRESS_CUT_MARKERS = ("ท้องถิ่น", "บุคคลนี้", "Remark", "Update Date")
-LOCALITY_MARKERS = ("ท้องถิ่น", "อำเภอ", "เขต", "เทศบาล", "ตำบล")
-REMARK_LINE_MARKERS = ("บุคคลนี้", "ภูมิลำเนา", "สำหรับเจ้าหน้าที่")
 DATE_TOKEN_CORRECTIONS = (("พวภาคม", "พฤษภาคม"), ("พฤศภาคม", "พฤษภาคม"), ("พฤศจิกาคม", "พฤษภาคม"))
 NAME_GLYPH_REPAIRS = (("ร์อ", "ร่อ"),)
 
@@ -143,8 +140,6 @@ FIELD_TEMPLATES = (
     ("remark", 1, (0.13, 0.56, 0.58, 0.605), None),
     ("updateDate", 1, (0.42, 0.70, 0.86, 0.745), None),
 )
-PARENT_ROWS = {"mother": (0.12, 0.352, 0.72, 0.389), "father": (0.12, 0.390, 0.72, 0.438)}
-FIELD_KEYS = tuple(t[0] for t in FIELD_TEMPLATES)
 NAME_FIELDS = ("personName", "motherName", "fatherName")
 PARENT_NAMES = ("motherName", "fatherName")
 ID_FIELDS = ("personId", "motherId", "fatherId")
@@ -171,13 +166,6 @@ RED_MARKERS = (
     "คดีหมายเลขแดงที่", "คดีหมายเลขแดง", "หมายเลขแดงที่", "หมายเลขแดง", "คดีแดงเลขที่", "คดีแดงที่", "คดีแดง",
 )
 COURT_ONLY_MARK = "สำหรับศาล"
-JUDGMENT_KEYWORDS = ("พิพากษาให้จำเลย", "ชำระเงิน", "ค่าทนายความ")
-JUDGMENT_START = ("คำพิพากษา", "พิพากษาให้จำเลย", "พิพากษาให้จำเลบย")
-END_MARKERS = ("ค่าใช้จ่ายในการดำเนินคดีให้เป็นพับ./", "ให้เป็นพับ./", "เป็นพับ./", "พับ./")
-END_FALLBACKS = (
-    "ค่าใช้จ่ายในการดำเนินคดีให้เป็นพับ", "ให้เป็นพับ", "เป็นพับ", "ให้เป็บพับ", "เป็บพับ",
-)
-STOP_MARKERS = ("ผู้เขียน",)
 AMOUNT = "([0-9๐-๙,\\.]+)"
 PAY_PATTERNS = (
     rf"พิพากษาให้จำเลย(?:ที่\s*{D}+)?\s*ชำระเงิน(?:เป็น)?\s*จำนวน\s*{AMOUNT}",
@@ -193,14 +181,6 @@ FILING_PATTERNS = (
 INTEREST_PATTERNS = (rf"อัตราร้อยละ\s*{AMOUNT}", rf"รายละเอียด\s*{AMOUNT}\s*ต่อปี", rf"{AMOUNT}\s*ต่อปี")
 PRINCIPAL_PATTERNS = (r"(?:ของต้นเงิน|ของเงินต้น)\s*([0-9๐-๙ด,\.]+)",)
 FEE_PATTERNS = (rf"ค่าทนายความ\s*[\/\\|]?\s*{AMOUNT}",)
-PASSAGE_KEYWORDS = {
-    "pay_amount": ("ชำระเงิน", "ใช้ราคาแทนเป็นเงิน", "ราคาแทน"),
-    "interest_rate": ("ดอกเบี้ย", "ร้อยละ"),
-    "principal": ("ต้นเงิน", "เงินต้น"),
-    "filing_date": ("วันฟ้อง", "ฟ้องวันที่", "พ้องวันที่"),
-    "attorney_fee": ("ค่าทนายความ",),
-}
-INTEREST_TAILS = ("ดอก", "พร้อมดอก", "บาทร้อมดอก", "บาทพร้อมดอก", "ดอกเบี้ย", "อัตรา", "ร้อยละ")
 
 # fixed values: wording of the filing date
 NEXT_DAY_PATTERNS = (

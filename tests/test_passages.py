@@ -87,3 +87,13 @@ def test_export_writes_and_refuses(spark, tmp_path):
     (row,) = spark.read.parquet(f"{tmp_path}/out").collect()
     assert len(row) == 31 and row.PIE == "1234567890121" and row.PAhe == 5 and row.PPstalCode == "10110" and row.UpdatedBy is None
     assert [(r.record_id, r.refused) for r in done.filter("refused is not null").collect()] == [("b", "personId,houseCode")]
+
+
+def test_judgment_values(spark):
+    from formloom.functions import judgment as J
+
+    df = spark.createDataFrame([("พิพากษาให้จำเลย ชำระเงิน ๕,๐๐๐. อัตราร้อยละ 7.5 ต่อปี วันฟ้อง ( วันที่ 1 มกราคม 2565 )",), ("ยกฟ้อง",), (None,)], "t string")
+    got = [tuple(r[0]) for r in df.select(J.judgment_values("t")).collect()]
+    assert got == [("๕,๐๐๐", "7.5", None, "1 มกราคม 2565", None), (None,) * 5, (None,) * 5]
+    heads = spark.createDataFrame([("คดีหมายเลขดำที่\nสำหรับศาล 9\n# 12/๒๕๖๗",), ("คดีดำ\nคดีแดงที่ 7/2568",), ("คดีแดง\nz\nx\ny\n5/1",), (None,)], "t string")
+    assert [tuple(r[0]) for r in heads.select(J.case_header("t")).collect()] == [("12/๒๕๖๗", None), (None, "7/2568"), (None, None), (None, None)]
