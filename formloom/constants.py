@@ -21,11 +21,6 @@ PICTURE_SIGNALS = (
     "ภาพนี้", "รายละเอียด", "ตราสัญลักษณ์", "สีดำและสีขาว", "องค์ประกอบ", "ตรงกลางภาพ", "ลักษณะ", "ประกอบด้วย",
 )
 
-ENTITIES = (
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&amp;", "&"),
-)
-
 # code page 874 by byte value 0x80..0xFF: the characters and their Latin-1 twins
 _CP874 = {0x80: 0x20AC, 0x85: 0x2026, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022,
           0x96: 0x2013, 0x97: 0x2014}

@@ -1,8 +1,11 @@
-"""Text expressions: Column in, Column out, all inside whole-stage codegen."""
+"""Text expressions: Column in, Column out; ``let`` and lambdas run interpreted, the rest inside whole-stage codegen."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,12 +119,41 @@ def has_markup(c: Column | str) -> Column:
     )
 
 
+@lru_cache(maxsize=1)
+def _entity_maps() -> tuple[str, str]:
+    """HTML's named characters as JSON objects: those that end in a semicolon, and the old ones that need none."""
+    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return json.dumps(named), json.dumps({k: v for k, v in html5.items() if not k.endswith(";")})
+
+
+def _code_point(n: Column) -> Column:
+    fine = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(fine, n).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+
+
 def unescape_entities(c: Column | str) -> Column:
-    """Common character entities decoded; the ampersand comes last."""
-    c = _c(c)
-    for name, char in K.ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references decoded once: numeric ones by code point, named ones by HTML's table; others stay."""
+    named, old = (F.from_json(F.lit(m), "map<string,string>") for m in _entity_maps())
+    shape = r"^(?:#(\d{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]*))(;?)"
+
+    def decoded(piece: Column) -> Column:
+        found = F.struct(*[F.regexp_extract(piece, shape, i).alias(n) for i, n in ((1, "d"), (2, "x"), (3, "n"), (4, "e"), (0, "all"))])
+
+        def value(r: Column) -> Column:
+            char = (
+                F.when(r["d"] != "", _code_point(r["d"].cast("long")))
+                .when(r["x"] != "", _code_point(F.conv(r["x"], 16, 10).cast("long")))
+                .when(r["n"] == "amp", F.lit("&"))
+                .when((r["n"] != "") & (r["e"] == ";"), F.try_element_at(named, r["n"]))
+                .when(r["n"] != "", F.try_element_at(old, r["n"]))
+            )
+            return F.coalesce(F.concat(char, F.substr(piece, F.length(r["all"]) + 1)), F.concat(F.lit("&"), piece))
+
+        return let(found, value)
+
+    pieces = F.split(_c(c), "&")
+    whole = let(pieces, lambda p: F.concat(p[0], F.array_join(F.transform(F.slice(p, 2, F.size(p)), decoded), "")))
+    return F.when(_c(c).contains("&"), whole).otherwise(_c(c))
 
 
 def strip_markup(c: Column | str) -> Column:

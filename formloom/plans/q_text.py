@@ -72,8 +72,8 @@ def f14(spark, sf):
 
 
 @query("F15_strip_markup", r"""SELECT page_id, regexp_matches(html, '(?i)(<\s*/?\s*(table|tbody|tr|td|th)\b|&lt;\s*/?\s*(table|tbody|tr|td|th)\b|</|/>)') AS noisy,
- trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
- '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '(?i)<\s*/?\s*(table|tbody|tr|td|th)[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM pages""")
+ trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+ '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', chr(1)), '&amp($|[^A-Za-z0-9])', '&\1', 'g'), chr(1), '&'), '(?i)<\s*/?\s*(table|tbody|tr|td|th)[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM pages""")
 def f15(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.has_markup("html").alias("noisy"), X.strip_markup("html").alias("clean"))
 
@@ -192,10 +192,18 @@ def p17(spark, sf):
     return text_variants(df, ["doc_id"])
 
 
-@query("P18_usable_text", RD + """, t AS (SELECT source, CASE WHEN doc_id % 10 < 8 THEN '[OCR failed] ' || lang ELSE raw END AS t, doc_id FROM rd)
+ENTITY_TAIL = "concat(text, ' &#3585;&ndash;&#x0E02; &eacute;&Eacute &nosuch; &#0; a&b &amp;lt;', lang)"
+
+
+@query("F15_unescape_entities", "SELECT doc_id, text || ' ก–ข éÉ &nosuch; ' || chr(65533) || ' a&b &lt;' || lang AS text FROM documents")
+def f15e(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.unescape_entities(F.expr(ENTITY_TAIL)).alias("text"))
+
+
+@query("P18_usable_text", RD + """, t AS (SELECT source, CASE WHEN doc_id % 10 < 8 THEN '[OCR failed] ' || raw ELSE raw END AS t, doc_id FROM rd)
  SELECT source, bool_or(trim(t) <> '' AND NOT starts_with(t, '[OCR failed')) AS usable FROM t GROUP BY source""")
 def p18(spark, sf):
-    t = F.when(F.col("doc_id") % 10 < 8, F.concat(F.lit("[OCR failed] "), "lang")).otherwise(F.col("raw"))
+    t = F.when(F.col("doc_id") % 10 < 8, F.concat(F.lit("[OCR failed] "), "raw")).otherwise(F.col("raw"))
     ok = (X.trimmed(t) != "") & ~X.trimmed(t).startswith(K.FAILED_PAGE_PREFIX)
     return fx.readings(spark, sf).groupBy("source").agg(F.bool_or(ok).alias("usable"))
 
@@ -207,12 +215,10 @@ REASONS = ("CASE doc_id % 4 WHEN 0 THEN 'OCR quality looked usable after compari
 @query("P19_actionable_reasons", f"""WITH r AS (SELECT source, {REASONS} AS r FROM documents)
  SELECT source, bool_or(r <> '' AND NOT starts_with(r, 'OCR quality looked usable') AND NOT starts_with(r, 'The pipeline compared')) AS actionable FROM r GROUP BY source""")
 def p19(spark, sf):
-    """Reasons of one group are a small fixed set, so they are collected as a set."""
     from formloom.operators.quality import actionable_reasons
 
     df = table(spark, sf, "documents").selectExpr("source", f"{REASONS} AS r")
-    return df.groupBy("source").agg(F.collect_set("r").alias("reasons")).select(
-        "source", actionable_reasons(F.col("reasons")).alias("actionable"))
+    return df.groupBy("source").agg(F.bool_or(actionable_reasons(F.array("r"))).alias("actionable"))
 
 
 @query("A21_distinct_values", FRM + """SELECT k, concat_ws(',', person_id, CASE WHEN mother_id <> '-' AND mother_id <> person_id THEN mother_id END, CASE WHEN father_id <> '-' THEN father_id END) AS ids,
