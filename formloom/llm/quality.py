@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formloom.llm.common import slices, text_or_empty
+from formloom.llm.common import give_back, slices, text_or_empty
 
 TRAIN_DOCS = 6000
 FEATURES = 2048
@@ -169,15 +169,19 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels by accelerated gradient steps; the last weight is the constant."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
-    scale = np.maximum(np.sqrt((x**2).mean(axis=0)), 1e-3)
+    """Logistic regression on soft labels by accelerated gradient steps.
+
+    The last column of ``x`` is the constant. ``x`` is scaled in place: the
+    driver holds the sample once.
+    """
+    square = np.einsum("ij,ij->j", x, x) / len(x)
+    scale = np.maximum(np.sqrt(square), 1e-3)
     x /= scale
     w = ahead = np.zeros(x.shape[1], np.float32)
-    rate = 4.0 / max(float((x**2).sum(axis=1).mean()), 1e-6)
+    rate = 4.0 / max(float((square / scale**2).sum()), 1e-6)
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        step = ahead - rate * (x.T @ (p - y) / len(y) + ridge * ahead)
+        step = ahead - rate * ((p - y) @ x / len(y) + ridge * ahead)
         ahead = step + t / (t + 3) * (step - w)
         w = step
     return (w / scale).astype(np.float64)
@@ -212,19 +216,25 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[str, float]
             used = [np.flatnonzero(v) for v in x]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": piece.column("doc_id"), "votes": pa.array(_pattern(made.votes), pa.string()),
-                "at": pa.array(used, pa.list_(pa.int32())), "x": pa.array([v[u] for v, u in zip(x, used, strict=True)], pa.list_(pa.float32())),
+                "at": pa.array([u.astype("<u2").tobytes() for u in used], pa.binary()),
+                "x": pa.array([v[u].astype("<f4").tobytes() for v, u in zip(x, used, strict=True)], pa.binary()),
             })
 
     chance = min(1.0, train_docs / counts.sum())
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) < int(chance * (1 << 30))
-    sample = rows.filter(draw & (F.col("text") != "")).mapInArrow(featured, "doc_id long, votes string, at array<int>, x array<float>")
-    pdf = sample.toPandas().sort_values(["doc_id", "votes"], ignore_index=True, kind="stable")
-    pdf = pdf[pdf.votes.isin(posterior)]
-    x = np.zeros((len(pdf), FEATURES), np.float32)
-    for i, (at, v) in enumerate(zip(pdf["at"], pdf.x, strict=True)):
-        x[i, at] = v
-    y = np.array([posterior[v] for v in pdf.votes], np.float32)
-    return posterior, train(x, y) if len(pdf) else np.zeros(FEATURES + 1)
+    sample = rows.filter(draw & (F.col("text") != "")).mapInArrow(featured, "doc_id long, votes string, at binary, x binary")
+    rows = sorted(sample.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.votes, bytes(r["at"]), bytes(r.x)))
+    rows = [r for r in rows if r.votes in posterior]
+    x = np.zeros((len(rows), FEATURES + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r.x, "<f4")
+    x[:, FEATURES] = 1
+    y = np.array([posterior[r.votes] for r in rows], np.float32)
+    del rows
+    weights = train(x, y) if len(x) else np.zeros(FEATURES + 1)
+    del x
+    give_back()
+    return posterior, weights
 
 
 def judged(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
