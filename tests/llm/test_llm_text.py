@@ -164,6 +164,24 @@ def test_article_text():
     assert html.extract("<div>" * 5000 + "deep", {}) == "deep"
 
 
+def test_furniture_by_whole_names():
+    for kind in ("class='has-sidebar'", "class='no-sidebar'", "class=search", "id=header", "hidden", "style='display:none'"):
+        assert html.extract(f"<html><body {kind}><p>one</p></body></html>", {}) == "one"
+    for kind in ("id='related-work'", "id='search-algorithms'", "id=search", "class='header-image'", "class='content-with-sidebar'", "title='The Hidden Fortress'", "data-id=sidebar", "data-hidden=1"):
+        for tag in ("h2", "div"):
+            assert html.extract(page(f"<article><{tag} {kind}>kept</{tag}><p>text</p></article>"), {}) == "kept\ntext"
+    for kind in ("class='box sidebar'", "role=navigation", "hidden", "HIDDEN=''", "style='color:red; display : none'"):
+        assert html.extract(page(f"<article><div {kind}>gone</div><p>text</p></article>"), {}) == "text"
+    drawn = "<article><p>a</p><svg width='1' a=\">\"/><p>b</p><svg><path d='x'/></svg><p>c</p></article>"
+    assert html.extract(page(drawn), {}) == "a\nb\nc"
+
+
+def test_furniture_by_constant_ids():
+    make = lambda i: page(f"<article><div id=share>share this</div><section id=search><h2>search {i}</h2></section><p>text {i}</p></article>")
+    pages = [make(i) for i in range(5)]
+    assert html.extract(pages[1], html.induce(pages)) == "search 1\ntext 1"
+
+
 def test_wrapper_without_marks():
     rng = random.Random(3)
     make = lambda: f"<html><body><div id=top>Site name</div><table><tr><td>Always here<td><div class=x><span>By us</span>{''.join(f'<p>{chr(32).join(words(rng, 9))}</p>' for _ in range(rng.randint(2, 5)))}</div></table><div id=end>All rights</div></body></html>"
