@@ -193,6 +193,48 @@ def test_wrapper_without_marks():
     assert text.count("\n") + 1 == pages[0].count("<p>")
 
 
+def test_wrapper_keeps_all_slots():
+    rng = random.Random(5)
+    said = lambda n: " ".join(words(rng, n))
+    make = lambda body: f"<html><body><div id=top>Site name</div><div class=all>{body}</div><p>All <b>rights</b> kept</p></body></html>"
+    titled = [make(f"<h1>{said(2)}</h1><div class=body><p>{said(90)}</p><p>{said(60)}</p></div>") for _ in range(5)]
+    one_paragraph = [make(f"<p><span>{said(200)}</span></p>")] + [make(f"<h2>{said(3)}</h2><p><span>{said(60)}</span></p><ul><li>{said(4)}</ul><table><tr><td>{said(5)}</table>") for _ in range(4)]
+    for pages in (titled, sorted(one_paragraph), one_paragraph[1:]):
+        wrapper = html.induce(pages)
+        assert wrapper["path"][-1] == "div.all"
+        for p in one_paragraph + titled if pages is not titled else titled:
+            inner = re.search("<div class=all>(.*)</div><p>All", p)[1]
+            assert html.extract(p, wrapper).split() == re.sub("<[^>]*>", " ", inner).split()
+    beside = titled[0].replace("<div class=all>", "<div class=lead>A lead of its own</div><div class=all>")
+    assert html.extract(beside, html.induce(titled)).startswith("A lead of its own\n")
+
+
+def test_wrapper_of_large_pages():
+    rng = random.Random(6)
+    links = "".join(f"<div class=x><b>Link {i}</b></div>" for i in range(2100))
+    pages = [f"<html><body><div id=top>Site name</div>{links}<div class=y>{''.join(f'<p>{chr(32).join(words(rng, 9))}</p>' for _ in range(rng.randint(2, 5)))}</div></body></html>" for _ in range(3)]
+    wrapper = html.induce(pages)
+    assert wrapper["path"][-1] == "div.y"
+    for p in pages:
+        assert html.extract(p, wrapper) == "\n".join(re.findall("<p>(.*?)</p>", p))
+
+
+def test_large_pairs_keep_parents_and_order():
+    rng = random.Random(8)
+    def make(deep):
+        return "".join(f"<{t}>{make(deep - 1) if deep else rng.randrange(5)}</{t}>" for t in rng.choices(["div", "section", "b"], k=rng.randint(0, 4)))
+    for _ in range(200):
+        a, b = html.parse(make(3)), html.parse(make(3))
+        got = list(html.large_pairs(a, b))
+        mate = {id(x): y for x, y in got}
+        assert len({id(y) for _, y in got}) == len(mate) == len(got) <= html.match(a, b, {})
+        for x, y in got:
+            inner = [mate[id(c)] for c in x.nodes() if id(c) in mate]
+            order = [next(i for i, c in enumerate(y.nodes()) if c is m) for m in inner]
+            assert x.label == y.label and order == sorted(order)
+        assert len(list(html.large_pairs(a, a))) == html._size(a)
+
+
 def test_tree_matching_by_brute_force():
     a, b = html.parse("<ul><li>1<b>x</b></li><li>2</li><p>q</p></ul>"), html.parse("<ul><li>1</li><p>r</p><li>2<b>y</b></li></ul>")
     assert html.match(a, b, {}) == 4  # html, ul, one li with its b, and the p or the other li
