@@ -4,11 +4,14 @@ Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone
 numbers. The random field labels words: a word that holds a digit, an ``@`` or
 a ``+`` is a variable (O or one of the four kinds); every other word is fixed
 at O. A variable has hashed features of its own shape and of its neighbours;
-variables that stand side by side share a chain potential; those whose letters
-and digits are the same, however far apart, are linked occurrence to
-occurrence by a skip potential, so that evidence at one of them reaches all.
-Sum-product messages run over all edges of a slice of documents at once for
-``ROUNDS`` rounds; documents are separate components and don't mix.
+variables whose words stand side by side share a chain potential; those whose
+letters and digits are the same, however far apart, share a skip potential: two
+of them directly, more of them with a hidden variable of their own (their common
+label), so that evidence at one reaches all in two steps. Sum-product messages
+run over all edges of a slice of documents at once until a document's messages
+change by less than ``STILL``; documents are separate components and don't mix.
+Messages that still swing when evidence could have crossed the whole document
+are damped more and more.
 
 The field is trained piece by piece on base labels of about ``TRAIN_DOCS``
 documents picked by hash: the features by logistic regression on at most
@@ -24,7 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 TRAIN_DOCS = 100_000
 TRAIN_WORDS = 20_000
 FEATURES = 512
-ROUNDS = 25
+STILL = 1e-5
 SURE = 0.97
 
 
@@ -114,23 +117,31 @@ def _features(words: list[str], i: int) -> list[int]:
 
 @dataclass
 class Graph:
-    """Variables of some texts: their text, span, features; chain and skip edges between them."""
+    """Variables of some texts: their text, span, features; chain and skip edges between them.
+
+    ``shared`` links variables to the hidden variable of their key; ``twins``
+    are all next occurrences of a key without a chain edge (training pairs).
+    """
 
     owner: list[int]
     spans: list[tuple[int, int]]
     features: list[list[int]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    shared: list[tuple[int, int]] = field(default_factory=list)
+    twins: list[tuple[int, int]] = field(default_factory=list)
 
     @classmethod
     def of(cls, texts: list[str]) -> Graph:
         g = cls([], [], [], [], [])
+        known = hubs = 0
         for t, text in enumerate(texts):
             if not DIGIT.search(text) and "@" not in text and "+" not in text:
                 continue
             found = list(WORD.finditer(text))
             words = [m[0] for m in found]
-            last, seen = -2, {}
+            last = -2
+            seen: dict[str, list[int]] = {}
             for i, w in enumerate(words):
                 if not (DIGIT.search(w) or "@" in w or "+" in w):
                     continue
@@ -140,12 +151,23 @@ class Graph:
                 g.features.append(_features(words, i))
                 if last == i - 1:
                     g.chain.append((me - 1, me))
-                last = i
                 key = re.sub(r"[\W_]+", "", w).lower()
-                if key and seen.get(key, me) != me and seen[key] != me - 1:
-                    g.skip.append((seen[key], me))
                 if key:
-                    seen[key] = me
+                    before = seen.setdefault(key, [])
+                    if before and not (last == i - 1 and before[-1] == me - 1):
+                        g.twins.append((before[-1], me))
+                    before.append(me)
+                last = i
+            apart = {b for _, b in g.twins[known:]}
+            known = len(g.twins)
+            for places in seen.values():
+                if apart.isdisjoint(places):
+                    continue  # alone, or all side by side
+                if len(places) == 2:
+                    g.skip.append((places[0], places[1]))
+                else:
+                    g.shared.extend((v, hubs) for v in places)
+                    hubs += 1
         return g
 
 
@@ -165,30 +187,45 @@ def _labels(g: Graph, base: list[list[tuple[int, int, str]]]) -> np.ndarray:
 
 @dataclass
 class Field:
-    """Weights of the features (FEATURES + constant, by label) and log potentials of the two kinds of edges."""
+    """Weights of the features (FEATURES + constant, by label), log potentials of the two kinds of edges, log shares of common labels."""
 
     unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    common: np.ndarray | None = None
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Chance of each label for each variable, by loopy sum-product."""
-        k = self.unary.shape[1]
+    def marginals(self, g: Graph, rounds: int | None = None) -> np.ndarray:
+        """Chance of each label for each variable, by loopy sum-product; ``rounds`` fixes their number."""
+        k, n = self.unary.shape[1], len(g.owner)
         own = np.array([self.unary[f].sum(axis=0) for f in g.features]).reshape(-1, k) + self.unary[FEATURES]
-        edges = np.array(g.chain + g.skip, np.int64).reshape(-1, 2)
-        table = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
+        hubs = max((h for _, h in g.shared), default=-1) + 1
+        own = np.concatenate([own, np.repeat((np.zeros(k) if self.common is None else self.common)[None], hubs, 0)])
+        links = g.skip + [(v, n + h) for v, h in g.shared]
+        edges = np.array(g.chain + links, np.int64).reshape(-1, 2)
+        table = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(links), 0)])
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        text = np.asarray(g.owner, np.int64)[np.concatenate([edges[:, 0], edges[:, 0]])]  # an edge's first end is never hidden
+        cross = 4 * int(np.bincount(g.owner).max(initial=0)) + 100  # damped messages cross any document in half as many rounds
         said = np.zeros((len(src), k))
-        belief = own
-        for _ in range(rounds if len(src) else 0):
-            rest = belief[src] - said[back]
-            new = _logsum(rest[:, :, None] + table, axis=1)
+        belief = own.copy()
+        live, done = np.arange(len(src)), 0
+        while len(live) and (rounds is None or done < rounds):
+            rest = belief[src[live]] - said[back[live]]
+            new = _logsum(rest[:, :, None] + table[live], axis=1)
             new -= _logsum(new, axis=1)[:, None]
-            said = 0.5 * said + 0.5 * new
-            belief = own.copy()
-            np.add.at(belief, dst, said)
+            step = 0.5 if rounds is not None or done < cross else 0.5 * 0.97 ** (done - cross)
+            moved = step * (new - said[live])
+            said[live] += moved
+            np.add.at(belief, dst[live], moved)
+            done += 1
+            if rounds is None:
+                moves = text[live][np.abs(moved).max(axis=1) >= STILL]
+                live = live[np.isin(text[live], moves)]
+        belief = own.copy()
+        np.add.at(belief, dst, said)
+        belief = belief[:n]
         return np.exp(belief - _logsum(belief, axis=1)[:, None])
 
 
@@ -197,13 +234,18 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _potential(pairs: Counter, k: int) -> np.ndarray:
-    """Log of how much oftener two labels meet than by chance, one count added everywhere."""
+def _meetings(pairs: Counter, k: int) -> np.ndarray:
+    """How often two labels meet, as shares, one count added everywhere."""
     n = np.ones((k, k))
     for (a, b), c in pairs.items():
         n[a, b] += c
         n[b, a] += c
-    n /= n.sum()
+    return n / n.sum()
+
+
+def _potential(pairs: Counter, k: int) -> np.ndarray:
+    """Log of how much oftener two labels meet than by chance."""
+    n = _meetings(pairs, k)
     return np.log(n) - np.log(n.sum(axis=1)[:, None] * n.sum(axis=0)[None, :])
 
 
@@ -239,7 +281,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAI
             g = Graph.of(texts)
             label = _labels(g, [base_spans(t) for t in texts])
             seen: Counter = Counter((("word", int(y), 0, tuple(f)) for y, f in zip(label, g.features, strict=True)))
-            for name, edges in (("chain", g.chain), ("skip", g.skip)):
+            for name, edges in (("chain", g.chain), ("skip", g.twins)):
                 seen.update((name, int(label[a]), int(label[b]), ()) for a, b in edges)
             what, a, b, f = zip(*seen, strict=True) if seen else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -256,7 +298,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAI
     unary = fit_words([list(r.f) for r in words], np.array([r.a for r in words]), np.array([r.n for r in words], float))
     # a skip edge says that equal words agree; one count a label stands for what no document has shown
     pairs["skip"].update({(i, i): 1 for i in range(k)})
-    return Field(unary, _potential(pairs["chain"], k), _potential(pairs["skip"], k))
+    return Field(unary, _potential(pairs["chain"], k), _potential(pairs["skip"], k), np.log(_meetings(pairs["skip"], k).sum(axis=1)))
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], field: Field) -> list[list[tuple[int, int, str]]]:

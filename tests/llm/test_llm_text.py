@@ -294,6 +294,33 @@ def test_skip_edges_carry_evidence(spark, odd_docs, no_docs):
     assert pii.scan(odd_docs).count() == 9 and pii.scan(no_docs).count() == 0
 
 
+def test_skip_edges_between_plain_words():
+    g = pii.Graph.of(["0301234567 tomorrow or 0301234567 again", "12 12 x 7 8 7", "5 5"])
+    assert g.skip == [(0, 1), (4, 6)] and g.twins == g.skip and not g.shared
+    assert g.chain == [(2, 3), (4, 5), (5, 6), (7, 8)]
+    k = len(pii.KINDS) + 1
+    skip = np.full((k, k), -1.0) + 4 * np.eye(k)
+    field = pii.Field(np.zeros((pii.FEATURES + 1, k)), np.zeros((k, k)), skip)
+    for n in (2, 3, 80):
+        g = pii.Graph.of([" ".join(["0301234567 tomorrow or 99 so"] * n)])
+        g.features = [[0] if v == 0 else [1] for v in range(len(g.owner))]
+        field.unary[0] = [0, 0, 0, 0, 9]
+        p = field.marginals(g)
+        assert p[-2, 4] > 0.8 and abs(p[-1, 4] - 1 / k) < 1e-6
+        assert np.allclose(p, field.marginals(g, rounds=400), atol=1e-4)
+
+
+def test_messages_cross_a_long_chain():
+    k = len(pii.KINDS) + 1
+    chain = np.full((k, k), -12.0) + 12 * np.eye(k)
+    field = pii.Field(np.zeros((pii.FEATURES + 1, k)), chain, np.zeros((k, k)))
+    field.unary[0] = [0, 0, 0, 0, 9]
+    g = pii.Graph.of([" ".join(f"{i}x" for i in range(120)), "4 x"])
+    g.features = [[0]] + [[1]] * 120
+    p = field.marginals(g)
+    assert p[119, 4] > 0.9 and abs(p[120, 4] - 1 / k) < 1e-6
+
+
 # ---- decontamination -------------------------------------------------------
 def test_overlaps_with_substitutions(spark, odd_docs, no_docs):
     rng = random.Random(12)
