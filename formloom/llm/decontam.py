@@ -5,18 +5,20 @@ six of up to eight neighbouring words and ignores the rest, so that a hash of
 the picked words still meets its counterpart when an ignored word was
 substituted; the masks leave out every third, fourth or fifth position, or
 none. A hit fixes an alignment of a document with a benchmark item; along it
-the best-scoring run of words (a match adds 1, a mismatch takes 2) is an
-overlap if it matches ``MIN_MATCHED`` words (or ``SHORT_SHARE`` of a shorter
-item) and at least ``DENSITY`` of its length.
+each maximal-scoring run of words (a match adds 1, a mismatch takes 2; disjoint
+runs that no run around them outscores) is an overlap if it matches
+``MIN_MATCHED`` words (or ``SHORT_SHARE`` of a shorter item) and at least
+``DENSITY`` of its length. Items of fewer than ``LEAST_ITEM`` words overlap
+where they stand whole and word for word.
 
 The benchmark is read in chunks of at most ``CHUNK_WORDS`` words (by hash of
 the item id); each chunk's seed index is of bounded size and sent to all
 tasks, and further chunks mean further passes, so that no document is shuffled
 and the benchmark may grow.
 
-Defined cases: null or empty texts overlap nothing; items of fewer than
-``LEAST_ITEM`` words are too short to be evidence; of several overlaps of a
-document with an item the one with most matches counts, the first among equals;
+Defined cases: null or empty texts overlap nothing; a benchmark item of one
+word overlaps each document with that word; of several overlaps of a document
+with an item the one with most matches counts, the first among equals;
 repeated rows are reported each.
 """
 
@@ -76,6 +78,35 @@ class SeedIndex:
             likely[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             self.seeds.append((mask, key, at, likely))
 
+        self.short = []
+        for n in range(1, LEAST_ITEM):
+            at = self.starts[counts == n]
+            if len(at):
+                key = _seed_keys(self.hashes, at, "1" * n)
+                order = np.argsort(key, kind="stable")
+                self.short.append((n, key[order], at[order]))
+
+    def whole_items(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, words) of the first place of each item of under LEAST_ITEM words in each text."""
+        ends = np.cumsum(counts)
+        for n, keys, places in self.short:
+            at, _ = inner_positions(counts, n)
+            key = _seed_keys(hashes, at, "1" * n)
+            low = np.searchsorted(keys, key, "left")
+            many = np.searchsorted(keys, key, "right") - low
+            at, low, many = at[many > 0], low[many > 0], many[many > 0]
+            q = places[np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)]
+            at = np.repeat(at, many)
+            same = np.ones(len(at), bool)
+            for i in range(n):
+                same &= hashes[at + i] == self.hashes[q + i]
+            at, q = at[same], q[same]
+            text = np.searchsorted(ends, at, "right")
+            found = np.stack([text, self.owner[q], at - (ends - counts)[text]], axis=1)
+            _, first = np.unique(found[:, :2], axis=0, return_index=True)  # places rise within a text
+            for t, item, x in found[first].tolist():
+                yield t, item, x, n
+
     def alignments(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct (item, document position of the item's first word) pairs that some seed supports."""
         found = []
@@ -105,28 +136,38 @@ class SeedIndex:
             while low < len(counts) and begins[low] < first + n:
                 a, b = max(first, int(begins[low])), min(first + n, int(ends[low]))
                 same = hashes[a:b] == mine[a - first : b - first]
-                run = _best_run(same)
-                if run is not None:
-                    x, y = run
+                least = min(MIN_MATCHED, int(np.ceil(SHORT_SHARE * n)))
+                for x, y in _best_runs(same) if np.count_nonzero(same) >= least else ():
                     matched = int(same[x:y].sum())
-                    if matched >= min(MIN_MATCHED, int(np.ceil(SHORT_SHARE * n))) and matched >= DENSITY * (y - x):
+                    if matched >= least and matched >= DENSITY * (y - x):
                         new = (matched, a + x - int(begins[low]), a + y - int(begins[low]))
                         old = best.get((low, item))
                         if old is None or (-new[0], new[1]) < (-old[0], old[1]):
                             best[low, item] = new
                 low += 1
+        for text, item, x, n in self.whole_items(hashes, counts):
+            best[text, item] = (n, x, x + n)
         return [(text, item, x, y, m) for (text, item), (m, x, y) in sorted(best.items())]
 
 
-def _best_run(same: np.ndarray) -> tuple[int, int] | None:
-    """The run of largest score (matches less twice the mismatches)."""
-    if not same.any():
-        return None
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return begin, end
+def _best_runs(same: np.ndarray) -> list[tuple[int, int]]:
+    """All maximal-scoring runs (matches less twice the mismatches), by Ruzzo and Tompa's method."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]))).reshape(-1, 2)
+    out: list[tuple[int, int, int, int]] = []  # first word, word past the last, score before and after
+    total = last = 0
+    for x, y in edges.tolist():
+        before = total - 2 * (x - last)
+        total, last = before + y - x, y
+        while True:
+            i = len(out) - 1
+            while i >= 0 and out[i][2] >= before:
+                i -= 1
+            if i < 0 or out[i][3] >= total:
+                break
+            x, before = out[i][0], out[i][2]
+            del out[i:]
+        out.append((x, y, before, total))
+    return [(x, y) for x, y, _, _ in out]
 
 
 def benchmark_chunks(benchmark: DataFrame, chunk_words: int = CHUNK_WORDS) -> Iterator[Broadcast]:

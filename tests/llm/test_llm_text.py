@@ -347,6 +347,24 @@ def test_overlaps_with_substitutions(spark, odd_docs, no_docs):
     assert decontam.overlaps(df, bench.limit(0)).count() == 0 and decontam.without_overlaps(df, bench.limit(0)).count() == df.count()
 
 
+def test_every_run_of_an_alignment(spark):
+    rng = random.Random(14)
+    item = [f"i{j}" for j in range(40)]
+    said = item[:12] + [f"s{j}" for j in range(7)] + [f"s{j}" if j in (23, 28, 33) else x for j, x in enumerate(item)][19:37]
+    for _ in range(300):
+        same = np.array([rng.random() < 0.6 for _ in range(rng.randint(0, 30))], bool)
+        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+        runs = decontam._best_runs(same)
+        assert max([total[y] - total[x] for x, y in runs], default=0) == max(total[j] - total[i] for j in range(len(total)) for i in range(j + 1))
+        assert all(a[1] < b[0] for a, b in zip(runs, runs[1:], strict=False)) and all(any(x <= i < y for x, y in runs) for i in np.flatnonzero(same))
+    docs = [(1, " ".join(words(rng, 30) + said + words(rng, 30))), (2, "we ask: What is the answer? What is THE answer"), (3, "what is answer the"), (4, "lone")]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "what is the answer"), (3, "lone"), (4, "one two three four five six seven")], "item_id long, text string")
+    df = spark.createDataFrame(docs + [(5, "one two three four five six seven"), (6, "one two three four five six eight")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in decontam.overlaps(df, bench).collect())
+    assert got == [(1, 1, 49, 67, 15), (2, 2, 2, 6, 4), (4, 3, 0, 1, 1), (5, 4, 0, 7, 7)]
+    assert sorted(r.doc_id for r in decontam.without_overlaps(df, bench).collect()) == [3, 6]
+
+
 # ---- token shards ----------------------------------------------------------
 def test_wavelet_matrix_by_brute_force():
     rng = np.random.default_rng(3)
