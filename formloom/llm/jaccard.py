@@ -286,7 +286,8 @@ def links(docs: DataFrame, reps: DataFrame, recall: float = TARGET_RECALL) -> Da
     wanted = cut(some.select("key").distinct().join(reps.select("key", "rep"), "key"))
     if wanted.count() <= SENT_KEYS:
         wanted = F.broadcast(wanted)
-    texts = keyed(docs).withColumnRenamed("doc_id", "rep").join(wanted, ["key", "rep"], "left_semi")
+    rows = keyed(docs)
+    texts = rows.join(wanted, (rows["key"] == wanted["key"]) & rows["doc_id"].eqNullSafe(wanted["rep"]), "left_semi")
     sets = texts.mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     return some.join(sets, "key").groupBy(*group).applyInPandas(_exact, "key binary, root binary, texts long, docs long")
 
@@ -319,7 +320,7 @@ def classes(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     labels = components(found, "key", "root").withColumnRenamed("node", "key")
     rows = reps.select("key", "rep", "copies").join(totals, "key", "left").join(labels, "key", "left")
     rows = cut(rows.withColumn("label", F.coalesce("label", "key")))
-    head = rows.groupBy("label").agg(F.min(F.struct(F.col("rep"), F.col("key"))).alias("head"))
+    head = rows.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("key"))).alias("head"))
     return rows.join(head, "label").select("key", "rep", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"), "head")
 
 

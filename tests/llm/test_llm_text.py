@@ -106,6 +106,19 @@ def test_join_odd_rows(odd_docs, no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0 and jaccard.first_of_each_group(no_docs).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    rng = random.Random(21)
+    base = words(rng, 60)
+    near = lambda w, i: " ".join(w[:-1] + [f"x{i}"])
+    other, third = words(rng, 60), words(rng, 60)
+    rows = [(None, near(base, 0)), (None, near(base, 0)), (7, near(base, 1)), (9, near(base, 2)), (None, near(other, 0)), (None, near(other, 1)), (3, " ".join(third))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.n_text_links, r.n_links, r.doc_id or 0, r.class_id or 0) for r in jaccard.near_duplicates(docs).collect())
+    assert got == [(0, 0, 3, 3), (1, 1, 0, 0), (1, 1, 0, 0), (2, 3, 0, 7), (2, 3, 0, 7), (2, 3, 7, 7), (2, 3, 9, 7)]
+    kept = jaccard.first_of_each_group(docs).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 3, 7] and sum(r.text in (rows[4][1], rows[5][1]) for r in kept) == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.node: r.label for r in jaccard.components(edges, "a", "b").collect()}
