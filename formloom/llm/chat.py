@@ -17,7 +17,8 @@ some already; taking one away again gives the text back.
 Defined cases: a null text or role is empty; a link to a missing message, to
 itself or to one that doesn't stand before its reply (``place``) is no link, so
 that the message is a root and cycles cannot arise; equal scores are ranked by
-node; an empty table gives no rows; other columns are ignored.
+node; messages of a null tree are one tree; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +57,15 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
 
     A path's score is the mean score of its messages.
     """
+    return _paths(_keyed(messages), top).withColumn("tree", F.col("tree.of"))
+
+
+def _keyed(messages: DataFrame) -> DataFrame:
+    """The same messages with a tree that is never null, so that joins keep the null tree."""
+    return messages.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.col("tree").alias("of")))
+
+
+def _paths(messages: DataFrame, top: int) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", "place", F.coalesce("score", F.lit(0.0)).alias("score"))
     above = nodes.select("tree", F.col("node").alias("parent"), F.col("place").alias("_up_place"), F.lit(True).alias("_there"))
     linked = nodes.join(above, ["tree", "parent"], "left")
@@ -92,8 +102,9 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
 
 def format_conversations(messages: DataFrame, top: int = 1) -> DataFrame:
     """tree, rank, n_turns, formatted and loss_spans (0-based code points, end exclusive) of each chosen path."""
+    messages = _keyed(messages)
     told = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("said"))
-    rows = reply_paths(messages, top).join(told, ["tree", "node"])
+    rows = _paths(messages, top).join(told, ["tree", "node"])
     named = F.concat(F.lit("[ROLE]"), escape(F.col("role")), F.lit("[/ROLE]"))
     before, after = named, F.lit("")
     for role, (a, b) in WRAPS.items():
@@ -108,7 +119,7 @@ def format_conversations(messages: DataFrame, top: int = 1) -> DataFrame:
     whole = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
     mask = F.transform(F.filter("_turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["_from"].alias("start"), t["_to"].alias("end")))
     return whole.select(
-        "tree", "leaf", "rank", F.size("_turns").cast("long").alias("n_turns"),
+        F.col("tree.of").alias("tree"), "leaf", "rank", F.size("_turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("_turns", lambda t: t["_piece"]), "").alias("formatted"), mask.alias("loss_spans"),
     )
 

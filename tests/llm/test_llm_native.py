@@ -81,6 +81,15 @@ def test_control_strings_and_empty_conversations(spark):
     assert chat.format_conversations(chat.turns_in_order(told.limit(0), "conv_id", "turn")).count() == 0
 
 
+def test_conversation_without_id(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (None, 2, "user", "bye"), (4, 0, "user", "x")]
+    told = chat.turns_in_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "conv_id", "turn")
+    got = {r.tree: r for r in chat.format_conversations(told).collect()}
+    assert set(got) == {None, 4} and got[None].n_turns == 3
+    assert got[None].formatted == "<s>[INST] hi [/INST]</s><s>yes</s><s>[INST] bye [/INST]</s>"
+    assert sorted((r.tree or 0, r.node) for r in chat.reply_paths(told).collect()) == [(0, 1), (0, 2), (0, 3), (4, 1)]
+
+
 # ---- mixing ----------------------------------------------------------------
 def brute_targets(sizes):
     names = sorted((n for n in sizes if n is not None), key=lambda x: x.encode()) + [n for n in sizes if n is None]
