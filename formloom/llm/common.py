@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,6 +54,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written as a table in the shared folder; survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; else left for Spark's shuffled joins."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker outlives its tasks, and its neighbours need the room."""
     pa.default_memory_pool().release_unused()

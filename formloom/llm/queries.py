@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm import chat, decontam, fingerprints, html, jaccard, mixing, pii, quality, secrets, tokens
+from formloom.llm import chat, decontam, exact, fingerprints, html, infill, jaccard, manifest, mixing, pii, quality, secrets, tokens
 from formloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,114 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base counts and digest, all spans."""
     found = pii.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the manifest by source; of half of them a text without line breaks is presented."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    other = manifest.digest(*columns[:4], F.replace("text", F.lit("\n"), F.lit("")))
+    shown = F.when(tampered & F.contains("text", F.lit("\n")), other)
+    return manifest.manifest(docs, columns, "source", "doc_id", shown).withColumnRenamed("key", "doc_id")
+
+
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text,
+    list_reduce([4294967295] || flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1),
+        lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT] || [-1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS crc,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+      lambda x: coalesce(strlen(x) || ':' || x, '-')).array_to_string('') AS head
+  FROM documents),
+e AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    -- the digest ends with all bits turned over, so an even checksum has an odd last state
+    CASE WHEN crc & 1 = 1 AND text IS NOT NULL
+      THEN sha256(head || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')) END AS shown
+  FROM d),
+lv AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM e),
+nodes(source, lvl, pos, node, n) AS (
+  SELECT source, 0, pos, leaf, count(*) OVER (PARTITION BY source) FROM lv
+  UNION ALL
+  SELECT source, any_value(lvl) + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY source, pos // 3),
+subroots AS (SELECT source, lvl AS top, node AS subroot FROM nodes WHERE n = 1),
+ranked AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos FROM subroots),
+upper_nodes(lvl, pos, node, n) AS (
+  SELECT 0, pos, subroot, count(*) OVER () FROM ranked
+  UNION ALL
+  SELECT any_value(lvl) + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM upper_nodes WHERE n > 1 GROUP BY pos // 3),
+root AS (SELECT node AS root FROM upper_nodes WHERE n = 1),
+sides AS (
+  SELECT a.source, a.lvl, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY 1, 2, 3),
+upper_sides AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM upper_nodes a JOIN upper_nodes b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY 1, 2),
+fold(doc_id, source, leaf, start, subroot, top, s, pos, lvl, node, proof) AS (
+  SELECT doc_id, lv.source, leaf, lv.pos, subroot, top, ranked.pos, lv.pos, 0, coalesce(shown, leaf), ''
+  FROM lv JOIN ranked ON lv.source IS NOT DISTINCT FROM ranked.source
+  UNION ALL
+  SELECT doc_id, f.source, leaf, start, subroot, top, s,
+    CASE WHEN f.lvl + 1 = top THEN s ELSE f.pos // 3 END, f.lvl + 1, sha256(sides.l || f.node || sides.r), proof || sides.l || sides.r
+  FROM fold f JOIN sides ON f.source IS NOT DISTINCT FROM sides.source AND f.lvl = sides.lvl AND f.pos = sides.pos
+  WHERE f.lvl < top),
+-- a lone leaf is its subroot: its place among the sources counts from the start
+begun AS (SELECT * REPLACE (CASE WHEN top = 0 THEN s ELSE pos END AS pos) FROM fold WHERE lvl = top),
+up(doc_id, leaf, subroot, start, source, pos, lvl, node, proof) AS (
+  SELECT doc_id, leaf, subroot, start, source, pos, 0, node, proof FROM begun
+  UNION ALL
+  SELECT doc_id, leaf, subroot, start, source, up.pos // 3, up.lvl + 1, sha256(u.l || up.node || u.r), proof || u.l || u.r
+  FROM up JOIN upper_sides u ON up.lvl = u.lvl AND up.pos = u.pos)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM up, root WHERE lvl = (SELECT max(lvl) FROM upper_nodes)
+"""
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays of each group of equal texts, for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return exact.marked(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLES["op12_exact_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for infilling, and the text rebuilt from that."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = infill.restored(F.col("output"), F.col("form"))
+    return infill.fill_in_middle(docs).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+ORACLES["op13_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (
+  SELECT doc_id, t, length(t)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS h FROM d),
+f AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+         WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM g
+"""
