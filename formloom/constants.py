@@ -105,6 +105,20 @@ FIELD_LABEL_NOISE = {
     "remark": ("Remark",),
     "updateDate": ("Update Date", "UpDate"),
 }
+# labels printed on the page and the field that each one opens
+PAGE_LABELS = (
+    ("เลขประจำตัวประชาชน", "personId"), ("เลขรหัสประจำบ้าน", "houseCode"), ("ชื่อ", "personName"), ("เพศ", "gender"),
+    ("สัญชาติ", "nationality"), ("เกิดเมื่อ", "birthDate"), ("อายุ", "age"), ("สถานภาพ", "status"), ("มารดาชื่อ", "motherName"),
+    ("บิดาชื่อ", "fatherName"), ("ที่อยู่", "address"), ("เข้ามาอยู่เมื่อวันที่", "moveInDate"), ("บันทึกเพิ่มเติม", "remark"),
+    ("ปรับปรุงครั้งสุดท้าย", "updateDate"),
+)
+# labels that may follow another label's value on the same line, and those whose value is the rest of the line
+INLINE_LABELS = ("เพศ", "สัญชาติ", "อายุ")
+WHOLE_LINE_LABELS = ("ที่อยู่", "บันทึกเพิ่มเติม")
+# words that an address has right after its house number, and words that end the part about persons
+ADDRESS_OPENERS = ("หมู่", "ซอย", "ถนน", "แขวง", "ต\\.", "ตำบล")
+PERSONS_END = ("ท้องถิ่น", "บุคคลนี้", "สำหรับเจ้าหน้าที่")
+DASHES = ("-", "–", "—")
 REMARK_CUT_MARKERS = ("สำหรับเจ้าหน้าที่", "PageNumber", "Update Date")
 REMARK_START_MARKERS = ("บุคคลนี้", "มีภูมิลำเนา", "อยู่ในบ้านนี้")
 DOMICILE_REMARK = "บุคคลนี้มีภูมิลำเนาอยู่ในบ้านนี้"

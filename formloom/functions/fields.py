@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom import constants as K
@@ -13,10 +13,8 @@ from formloom.functions import thai as T
 from formloom.functions.text import _c
 
 Pairs = Sequence[tuple[str, str]]
-
-
-def _only(c: Column, pattern: str) -> Column:
-    return c.rlike("(?U)^(?:" + pattern + ")$")
+#: Between the kind of a field and its value where both are matched at once.
+SPLIT = "\u0001"
 
 
 def usable_value(v: Column) -> Column:
@@ -27,63 +25,74 @@ def usable_value(v: Column) -> Column:
     )
 
 
-def valid_name(v: Column) -> Column:
-    return (
-        v.rlike(r"[฀-๿]")
-        & ~X.contains_any(F.lower(v), K.NAME_FORBIDDEN_PARTS)
-        & ~F.arrays_overlap(F.split(v, " "), F.array(*[F.lit(w) for w in K.NAME_FORBIDDEN_VALUES]))
-        & ~X.contains_any(v, K.NAME_FORBIDDEN_PLACES)
-        & ~v.rlike(r"(?U)(^|\s)(?:ต\.|อ\.|จ\.)")
-        & ~v.rlike(r"\p{Nd}")
-        & ~X.contains_any(v, K.MONTHS)
-        & F.length(v).between(1, 80)
-    )
+def _any(words: Sequence[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+#: What a value must be like, by kind of field; ``\\w`` and ``\\s`` are Unicode's.
+PATTERNS = {
+    "id": K.PERSON_ID,
+    "house": K.HOUSE_CODE,
+    "postal": K.D + "{5}",
+    "gender": _any(K.GENDERS),
+    "nationality": _any(K.NATIONALITIES),
+    "age": rf"(?=.{{1,3}}$)[0๐]*(?:{K.D}{{1,2}}|[1๑][0-2๐-๒]{K.D}|[1๑][3๓][0๐])",
+    "status": _any(K.HOUSE_STATUSES),
+    "date": rf"{K.D}{{1,2}}\s+\S+\s+{K.D}{{4}}",
+    # Thai letters, no digits, no table tags, no forbidden word by itself, no place, no month
+    "name": rf"(?=.*[฀-๿])(?!.*\p{{Nd}})(?!.*(?i:{'|'.join(K.NAME_FORBIDDEN_PARTS)}))(?!(?:.* )?{_any(K.NAME_FORBIDDEN_VALUES)}(?: |$))"
+            rf"(?!.*{_any(K.NAME_FORBIDDEN_PLACES)})(?!(?:.*\s)?(?:ต\.|อ\.|จ\.))(?!.*{_any(K.MONTHS)}).{{1,80}}",
+    "free": ".*",
+}
+KINDS = {
+    **dict.fromkeys(K.ID_FIELDS, "id"), "houseCode": "house", "postalCode": "postal", "gender": "gender", "age": "age", "status": "status",
+    **dict.fromkeys(K.NATIONALITY_FIELDS, "nationality"), **dict.fromkeys(K.DATE_FIELDS, "date"), **dict.fromkeys(K.NAME_FIELDS, "name"),
+}
+
+
+def _check_digit_right(v: Column) -> Column:
+    """Of a value in the shape of an identifier, whose hyphens are dropped with the change to ASCII digits."""
+    return T.check_digit_ok(F.translate(v, K.THAI_DIGITS + "-", K.ASCII_DIGITS))
+
+
+def field_rule(key: str, v: Column) -> Column:
+    """What F21 asks of one field, of a value whose white space is normal."""
+    kind = KINDS.get(key, "free")
+    shaped = v.rlike(f"(?Us)^(?:{PATTERNS[kind]})$")
+    return shaped & _check_digit_right(v) if kind == "id" else shaped
 
 
 def valid_value(key: str, value: Column | str) -> Column:
     """F21 for one known field."""
     v = X.norm_ws(value)
-    if key in K.ID_FIELDS:
-        rule = T.valid_citizen_id(v)
-    elif key == "houseCode":
-        rule = _only(v, K.HOUSE_CODE)
-    elif key == "postalCode":
-        rule = _only(v, K.D + "{5}")
-    elif key == "gender":
-        rule = v.isin(*K.GENDERS)
-    elif key in K.NATIONALITY_FIELDS:
-        rule = v.isin(*K.NATIONALITIES)
-    elif key == "age":
-        rule = _only(v, K.D + "{1,3}") & T.ascii_digits(v).try_cast("int").between(0, 130)
-    elif key == "status":
-        rule = v.isin(*K.HOUSE_STATUSES)
-    elif key in K.DATE_FIELDS:
-        rule = _only(v, rf"{K.D}{{1,2}}\s+\S+\s+{K.D}{{4}}")
-    elif key in K.NAME_FIELDS:
-        rule = valid_name(v)
-    else:
-        rule = F.lit(True)
-    return F.coalesce(usable_value(v) & rule, F.lit(False))
-
-
-CLASSES = (K.ID_FIELDS, ("houseCode",), ("postalCode",), ("gender",), K.NATIONALITY_FIELDS, ("age",), ("status",),
-           K.DATE_FIELDS, K.NAME_FIELDS)
-
-
-def valid_field(key: Column | str, value: Column | str) -> Column:
-    """F21 over the long table: one CASE on the field key."""
-    key, value = _c(key), _c(value)
-    out = F
-    for group in CLASSES:
-        out = out.when(key.isin(*group), valid_value(group[0], value))
-    return out.otherwise(valid_value("", value))
+    return F.coalesce(usable_value(v) & field_rule(key, v), F.lit(False))
+
+
+def with_valid(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """F21 over the long table as column ``name``.
+
+    The kind of the field stands before the value and one pattern knows all
+    kinds, so that the generated code stays small enough to be compiled.
+    """
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), F.col(key)), F.lit("free"))
+    shapes = "|".join(f"{k}{SPLIT}(?:{p})" for k, p in PATTERNS.items())
+    v = F.col("__v")
+    rows = df.withColumn("__v", X.norm_ws(value)).withColumn("__kind", kind)
+    shaped = F.concat("__kind", F.lit(SPLIT), "__v").rlike(f"(?Us)^(?:{shapes})$")
+    checked = F.when(F.col("__kind") == "id", _check_digit_right(v)).otherwise(True)
+    return rows.withColumn(name, F.coalesce(usable_value(v) & shaped & checked, F.lit(False))).drop("__v", "__kind")
+
+
+def keep(df: DataFrame, flag: str) -> DataFrame:
+    """Rows whose ``flag`` is true. Unlike a filter this isn't pushed below the steps that made the flag, which would repeat them."""
+    return df.withColumn("__keep", F.explode(F.when(F.col(flag), F.array(F.lit(True))))).drop("__keep", flag)
 
 
 def repair_remark(c: Column | str) -> Column:
     """cut at markers, drop codes and role words, canonical domicile sentence."""
     v = X.norm_ws(c)
     for m in K.REMARK_CUT_MARKERS:
-        v = F.when(v.contains(m), F.trim(F.substring_index(v, m, 1))).otherwise(v)
+        v = F.trim(F.substring_index(v, m, 1))
     code = rf"{T.WORD_LEFT}{K.D}{{4}}[-+ ]{K.D}{{6}}[-+ ]{K.D}{T.WORD_RIGHT}"
     role = rf"{T.WORD_LEFT}(?:{'|'.join(K.NAME_FORBIDDEN_VALUES)}){T.WORD_RIGHT}"
     v = F.regexp_replace(F.regexp_replace(v, code, " "), role, " ")
@@ -136,22 +145,18 @@ def clean_value(key: str, value: Column | str, names: Pairs | Column = (), place
     return repair_kind(key, _trim_marks(v), names, places)
 
 
-def clean_field(key: Column | str, value: Column | str, names: Pairs | Column = (), places: Pairs = ()) -> Column:
-    """F22 over the long table: labels come from a map, one CASE picks the repair kind."""
-    key = _c(key)
-    labels = F.create_map(*[
-        x for k, words in K.FIELD_LABEL_NOISE.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in words]))
-    ])
-    noise = F.coalesce(F.try_element_at(labels, key), F.array().cast("array<string>"))
-    bare = F.aggregate(noise, _unmarked(value), lambda v, w: F.replace(v, w, F.lit(" ")))
-
-    def repaired(v: Column) -> Column:
-        out = F
-        for group in (K.NAME_FIELDS, ("address",), K.DATE_FIELDS, (*K.ID_FIELDS, "houseCode"), ("postalCode",), ("remark",)):
-            out = out.when(key.isin(*group), repair_kind(group[0], v, names, places))
-        return out.otherwise(v)
-
-    return X.let(_trim_marks(bare), repaired)
+def with_clean(df: DataFrame, key: str, value: str, name: str, names: Pairs | Column = (), places: Pairs = ()) -> DataFrame:
+    """F22 over the long table as column ``name``, in steps that each read the one before as a column."""
+    k = F.col(key)
+    noise = F
+    for field, words in K.FIELD_LABEL_NOISE.items():
+        noise = noise.when(k == field, F.lit("|".join(words)))
+    bare = F.regexp_replace(F.col("__v"), noise.otherwise(F.lit("(?!)")), F.lit(" "))
+    kinds = F
+    for group in (K.NAME_FIELDS, ("address",), K.DATE_FIELDS, (*K.ID_FIELDS, "houseCode"), ("postalCode",), ("remark",)):
+        kinds = kinds.when(k.isin(*group), repair_kind(group[0], F.col("__v"), names, places))
+    steps = df.withColumn("__v", _unmarked(value)).withColumn("__v", bare).withColumn("__v", _trim_marks(F.col("__v")))
+    return steps.withColumn(name, kinds.otherwise(F.col("__v"))).drop("__v")
 
 
 def cut_at_markers(c: Column, markers: Sequence[str]) -> Column:

@@ -37,7 +37,8 @@ def validation_issues(values: DataFrame) -> DataFrame:
     """
     rows = values.select("record_id", "field", F.coalesce(X.trimmed("value"), F.lit("")).alias("v"), F.coalesce("source", F.lit("")).alias("source"), "review_status")
     rows = rows.withColumn("empty", empty_in_source())
-    needed = rows.filter(F.col("field").isin(*K.REQUIRED_FIELDS) & ~F.col("empty") & ~FL.valid_field("field", "v")).select("record_id", "field", F.lit("missing_or_invalid").alias("issue"))
+    asked_for = FL.with_valid(rows.filter(F.col("field").isin(*K.REQUIRED_FIELDS) & ~F.col("empty")), "field", "v", "valid")
+    needed = FL.keep(asked_for.withColumn("wrong", ~F.col("valid")), "wrong").select("record_id", "field", F.lit("missing_or_invalid").alias("issue"))
     asked = rows.filter("review_status = 'needs_review'").select("record_id", "field", F.lit("needs_review").alias("issue"))
     doubtful = rows.filter(F.col("field").isin(*K.ID_FIELDS) & T.suspicious_id("v")).select("record_id", "field", F.lit("suspicious_id").alias("issue"))
     names = [f for pair in PARENTS for f in pair]

@@ -132,7 +132,7 @@ VALID = rf"""coalesce(v <> '' AND v NOT IN ('-', '#', '##########') AND NOT rege
 @query("F21_valid_field", LNG + f", o AS (SELECT k, field, {ODD} AS value FROM lng), t AS (SELECT *, trim(value) AS v FROM o) SELECT k, field, value, {VALID} AS valid FROM t")
 def f21(spark, sf):
     df = fx.form_values(spark, sf).selectExpr("k", "field", f"{ODD} AS value")
-    return df.select("k", "field", "value", FL.valid_field("field", "value").alias("valid"))
+    return FL.with_valid(df, "field", "value", "valid")
 
 
 DIRTY = {k: v[0] for k, v in K.FIELD_LABEL_NOISE.items()}
@@ -147,7 +147,7 @@ def f22(spark, sf):
     for k, v in DIRTY.items():
         label = F.when(F.col("field") == k, F.lit(v)).otherwise(label)
     dirty = F.concat(F.lit("## "), label, F.lit(" : <td>"), F.col("value"), F.lit("</td>  . "))
-    return df.select("k", "field", FL.clean_field("field", dirty).alias("value"))
+    return FL.with_clean(df.select("k", "field", dirty.alias("dirty")), "field", "dirty", "value").drop("dirty")
 
 
 @query("F23_repair_remark", FRM + "SELECT k, CASE k % 3 WHEN 0 THEN 'บุคคลนี้มีภูมิลำเนาอยู่ในบ้านนี้' WHEN 1 THEN 'ย้ายมาจาก ' || mother_name ELSE 'หมายเหตุ เพิ่ม' END AS remark FROM frm")
