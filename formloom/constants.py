@@ -14,6 +14,9 @@ RESPONSE_KEYS = ("natural_text", "markdown", "text", "content", "result")
 LINE_PREFIXES = ("Corrected line:", "Line:", "Text:", "OCR hint:")
 STAMP_PHRASE = ("สำหรับเรียก", "เท่านั้น")
 
+# white space and marks that don't count where a line is compared with a passage
+PASSAGE_MARKS = "(?U)[\\s\u200b.,/#!$%^&*;:{}=\\-_`~()'\"\u201c\u201d\u2018\u2019\\[\\]<>?|\\\\\u2026]"
+
 LEGAL_SIGNALS = (
     "พิพากษา", "จำเลย", "โจทก์", "ให้ชำระ", "ดอกเบี้ย", "ค่าเสียหาย", "ค่าขาดประโยชน์", "คดี", "ศาล", "บาท",
 )
@@ -149,6 +152,11 @@ FIELD_TEMPLATES = (
     ("remark", 1, (0.13, 0.56, 0.58, 0.605), None),
     ("updateDate", 1, (0.42, 0.70, 0.86, 0.745), None),
 )
+# rows of the parents on the page, whichever of its slots a value is in
+PARENT_ROWS = (("mother", (0.12, 0.352, 0.72, 0.389)), ("father", (0.12, 0.390, 0.72, 0.438)))
+# how far a slot is widened, and which share of a segment has to lie in it
+NAME_SLOT, ADDRESS_SLOT, OTHER_SLOT = (0.003, 0.45), (0.006, 0.45), (0.005, 0.30)
+ROW_PAD, ROW_SLOT_PAD, ROW_SHARE = 0.002, 0.004, 0.35
 NAME_FIELDS = ("personName", "motherName", "fatherName")
 PARENT_NAMES = ("motherName", "fatherName")
 ID_FIELDS = ("personId", "motherId", "fatherId")

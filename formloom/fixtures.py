@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from formloom import constants as K
 from formloom.session import table
 
 
@@ -311,3 +312,25 @@ READINGS_SQL = _select(READING_COLUMNS, "documents")
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     return _project(table(spark, sf, "documents"), READING_COLUMNS)
+
+
+# --- page segments: the rendered values of a form in their slots, moved and cut ---------------
+
+_SLOTS = [(f, box) for f, _, box, _ in K.FIELD_TEMPLATES if box is not None]
+_SLOT_ROWS = ", ".join(f"('{f}', {i}, {', '.join(f'CAST({v} AS DOUBLE)' for v in box)})" for i, (f, box) in enumerate(_SLOTS))
+_SEG_BASE = f"""SELECT v.k, v.field, v.value, t.ord, t.x1, t.y1, t.x2, t.y2,
+ CAST((v.k * 7 + length(v.field)) % 13 - 6 AS DOUBLE) / 1000 AS dx, CAST((v.k * 13 + length(v.field) * 5) % 41 - 20 AS DOUBLE) / 1000 AS dy
+ FROM {{values}} v JOIN (VALUES {_SLOT_ROWS}) t(field, ord, x1, y1, x2, y2) ON t.field = v.field"""
+# whole values, names cut in two, a stray mark, and boxes that are upside down or missing
+_SEG_PARTS = f"""SELECT k, 1 AS page_number, CAST(ord * 4 AS INT) AS seg_no, CASE WHEN k % 3 = 0 THEN split_part(value, ' ', 1) ELSE value END AS text,
+  x1 + dx AS x1, y1 + dy AS y1, CASE WHEN k % 3 = 0 THEN (x1 + x2) / 2 + dx ELSE x2 + dx END AS x2, y2 + dy AS y2 FROM ({_SEG_BASE}) a
+ UNION ALL SELECT k, 1, CAST(ord * 4 + 1 AS INT), split_part(value, ' ', 2), (x1 + x2) / 2 + dx, y1 + dy * CAST(0.5 AS DOUBLE), x2 + dx, y2 + dy FROM ({_SEG_BASE}) b WHERE k % 3 = 0
+ UNION ALL SELECT k, CAST(1 + k % 2 AS INT), CAST(ord * 4 + 2 AS INT), CASE WHEN k % 2 = 0 THEN '-' ELSE ' ' END, x1, y2, x2, CASE WHEN k % 4 = 0 THEN y1 ELSE y2 + CAST(0.004 AS DOUBLE) END FROM ({_SEG_BASE}) c
+  WHERE k % 7 = 0"""
+SEGMENTS_SQL = _SEG_PARTS.replace("{values}", "lng")
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    """k, page_number, seg_no, text, bbox of every form's values."""
+    rows = spark.sql(_SEG_PARTS, values=form_values(spark, sf))
+    return rows.selectExpr("k", "page_number", "seg_no", "text", "array(x1, y1, x2, y2) AS bbox")

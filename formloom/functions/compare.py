@@ -20,11 +20,14 @@ def edit_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when((a == "") | (b == ""), 0.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def _bigrams(s: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1)))
-    return F.array_distinct(
-        F.when(F.length(s) <= 2, F.array(s)).otherwise(F.transform(starts, lambda i: F.substring(s, i, F.lit(2))))
-    )
+def bigrams(s: Column) -> Column:
+    """Distinct pairs of neighbouring characters as numbers; a text of two characters or less is one."""
+    def pairs(codes: Column) -> Column:
+        both = F.transform(codes, lambda c, i: F.shiftleft(c, 21) + F.coalesce(F.get(codes, i + 1), F.lit(0)))
+        return F.array_distinct(F.slice(both, 1, F.greatest(F.size(codes) - 1, F.least(F.size(codes), F.lit(1)))))
+
+    letters = F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+    return X.let(F.transform(letters, lambda x: F.ascii(x).cast("long")), pairs)
 
 
 def bigram_jaccard(a: Column | str, b: Column | str) -> Column:
@@ -40,7 +43,7 @@ def bigram_jaccard(a: Column | str, b: Column | str) -> Column:
             common = F.size(F.array_intersect(g["x"], g["y"]))
             return common / (F.size(g["x"]) + F.size(g["y"]) - common)
 
-        grams = F.struct(_bigrams(x).alias("x"), _bigrams(y).alias("y"))
+        grams = F.struct(bigrams(x).alias("x"), bigrams(y).alias("y"))
         return (
             F.when((x == "") & (y == ""), 1.0).when((x == "") | (y == ""), 0.0).when(x == y, 1.0)
             .otherwise(X.let(grams, shared))
