@@ -12,9 +12,11 @@ ranges (a row each) and one inside each range give every shard's start.
 
 Byte-level encoders split a text before any single space that precedes a
 non-space and around a lone line break, so pieces between those points encode
-alike wherever they stand; distinct pieces are encoded once per batch and kept
-in a bounded table under 128-bit hashes. Texts with other white space, or with the text of a
-special token, are encoded whole.
+alike wherever they stand; distinct pieces are encoded once and kept under
+128-bit hashes in two bounded tables: a piece that is met again moves to the
+young one, and when that is full it becomes the old one, so that pieces met
+only once go and common ones stay. Texts with other white space, or with the
+text of a special token, are encoded whole.
 
 Defined cases: a null or empty text is just the end id; rows that repeat an id
 follow each other by text; an empty table gives no rows and no shards.
@@ -23,6 +25,7 @@ follow each other by text; an empty table gives no rows and no shards.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,18 +34,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm.common import shared_dir, slices, text_or_empty
+from formloom.llm.common import mix64, shared_dir, slices, text_or_empty
 from formloom.llm.wavelet import WaveletMatrix
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-#: Distinct pieces that a worker keeps before it starts anew.
-KEPT_PIECES = 1_000_000
+#: Distinct pieces that a worker's young table takes; the old one has as many. Some 40 bytes each.
+YOUNG_PIECES = 1 << 19
 SLICE_BYTES = 2 << 20
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, levels int, doc_ids array<long>, lengths array<long>, "
@@ -61,10 +63,84 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each text, eight bytes at a time for all of them; the first is never 0."""
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = texts.buffers()[2]
+    data = np.zeros(edges[-1] - edges[0] + 8, np.uint8)
+    if held is not None:
+        data[:-8] = np.frombuffer(held, np.uint8)[edges[0] : edges[-1]]
+    words = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))
+    start, size = edges[:-1] - edges[0], np.diff(edges)
+    a, b = mix64(size.astype(np.uint64) + np.uint64(0x51ED270B)), mix64(size.astype(np.uint64) + np.uint64(0xB492B66F))
+    live = np.flatnonzero(size)
+    at = 0
+    while len(live):
+        word = words[start[live] + at].view(np.uint64)[:, 0]
+        left = size[live] - at
+        word &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * np.maximum(8 - left, 0).astype(np.uint64))
+        a[live] = mix64(a[live] ^ word)
+        b[live] = mix64((b[live] + word) * np.uint64(0xD6E8FEB86659FD93))
+        at += 8
+        live = live[left > 8]
+    return np.maximum(a, np.uint64(1)), b
+
+
+class Pieces:
+    """A hash table of pieces: where each one's ids start and how many they are. Slots are probed in turn, for all pieces at once."""
+
+    def __init__(self, least: int):
+        self.mask = (1 << max(10, (2 * least - 1).bit_length())) - 1
+        self.keys = np.zeros(self.mask + 1, np.uint64)
+        self.checks = np.zeros(self.mask + 1, np.uint64)
+        self.first = np.zeros(self.mask + 1, np.int64)
+        self.length = np.zeros(self.mask + 1, np.int32)
+        self.flat = np.zeros(4 * least, np.uint32)
+        self.count = self.used = 0
+
+    def has_room(self, more: int) -> bool:
+        return 2 * (self.count + more) <= self.mask + 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot, -1 if it isn't there."""
+        out = np.full(len(keys), -1, np.int64)
+        live, at = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(live):
+            held = self.keys[at]
+            same = held == keys[live]
+            out[live[same]] = at[same]
+            on = ~same & (held != 0)
+            live, at = live[on], (at[on] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Distinct new keys, whose ids follow each other in ``ids``."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        first = self.used + np.cumsum(length) - length
+        live, at = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(live):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[live[free]]
+            won = free & (self.keys[at] == keys[live])  # of several for one slot the last one written
+            mine, slot = live[won], at[won]
+            self.checks[slot], self.first[slot], self.length[slot] = checks[mine], first[mine], length[mine]
+            live, at = live[~won], (at[~won] + 1) & self.mask
+        self.used += len(ids)
+        self.count += len(keys)
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids one after the other, and how many each has."""
+        length = self.length[slots].astype(np.int64)
+        return self.flat[np.arange(length.sum()) + np.repeat(self.first[slots] - (np.cumsum(length) - length), length)], length
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -81,13 +157,8 @@ class Encoder:
         self.levels = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self._clear()
 
-    def _clear(self) -> None:
-        """The table of known pieces: 128-bit hashes in order, where each piece's ids start, and how many they are."""
-        self.keys = np.zeros(0, np.uint64)
-        self.checks = np.zeros(0, np.uint64)
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int32)
+    def _clear(self, least: int = YOUNG_PIECES) -> None:
+        self.young, self.old = Pieces(least), Pieces(1)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,42 +173,49 @@ class Encoder:
             each = self._whole(units)
             ids = np.concatenate(each)
             at = np.cumsum([0, *map(len, each)])[:-1]
-        length = np.diff(np.append(at, len(ids)))
-        order = np.argsort(keys)
-        slot = np.searchsorted(self.keys, keys[order])
-        self.first = np.insert(self.first, slot, (len(self.flat) + at + bare)[order])
-        self.length = np.insert(self.length, slot, (length - bare)[order])
-        self.keys = np.insert(self.keys, slot, keys[order])
-        self.checks = np.insert(self.checks, slot, checks[order])
-        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+        length = np.diff(np.append(at, len(ids))) - bare
+        own = np.ones(len(ids), bool)
+        own[at[bare]] = False  # the line break put there isn't the piece's
+        self.young.add(keys, checks, ids[own], length)
+
+    def _known(self, names: pa.Array) -> np.ndarray | None:
+        """The slots of all pieces in the young table, learned where need be; None if two pieces have one key."""
+        keys, checks = piece_hashes(names)
+        if not self.young.has_room(len(names)):
+            self.old, self.young = self.young, Pieces(max(YOUNG_PIECES, 2 * len(names)))
+        new = np.flatnonzero(self.young.find(keys) < 0)
+        before = self.old.find(keys[new])
+        again, slots = new[before >= 0], before[before >= 0]
+        if (self.old.checks[slots] != checks[again]).any():
+            return None
+        self.young.add(keys[again], checks[again], *self.old.ids(slots))
+        new = new[before < 0]
+        if len(new):
+            if len(np.unique(keys[new])) < len(new):
+                return None
+            self._learn(names.take(pa.array(new)).to_pylist(), keys[new], checks[new])
+        slots = self.young.find(keys)
+        return None if (self.young.checks[slots] != checks).any() else slots
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without odd white space, and each text's number of ids."""
         lines = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
         lists = pc.split_pattern(lines, " ")
         words = lists.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(self.keys) > KEPT_PIECES:
-            self._clear()
-        keys, checks = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), "<u8").reshape(-1, 2).T
-        place = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(new):
-            self._learn([names[i] for i in new], keys[new], checks[new])
-            place = np.searchsorted(self.keys, keys)
-        if (self.checks[place] != checks).any():  # two pieces with equal halves of their hashes
+        slots = self._known(words.dictionary)
+        if slots is None:
             self._clear()
             ids = self._whole(texts.to_pylist())
             return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
-        at = place[words.indices.to_numpy()]
-        first, length = self.first[at], self.length[at].astype(np.int64)
+        at = words.indices.to_numpy()
+        first, length = self.young.first[slots][at], self.young.length[slots][at].astype(np.int64)
         # a text's first piece starts with the line break put there above
         opens = np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))
         opens = np.concatenate([[0], opens[:-1]])
         first[opens] += 1
         length[opens] -= 1
         before = np.cumsum(length) - length
-        ids = self.flat[np.arange(length.sum()) + np.repeat(first - before, length)]
+        ids = self.young.flat[np.arange(length.sum()) + np.repeat(first - before, length)]
         return ids, np.add.reduceat(length, opens)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +282,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
         ("lengths", pa.list_(pa.int64())), ("planes", pa.binary()), ("zeros", pa.list_(pa.int64())), ("ranks", pa.binary()),
     ])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the text's head is in the range key, so that rows that share an id, or have none, are dealt to several tasks
+    dealt = rows.repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     written = dealt.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "zstd")
     # a row holds megabytes: the writer looks at its size after each one
     for key in ("parquet.block.size.row.check.min", "parquet.block.size.row.check.max", "parquet.page.size.row.check.min"):

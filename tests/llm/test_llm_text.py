@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,3 +445,42 @@ def test_pipeline_decisions(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     assert sorted(r.doc_id for r in out) == sorted(fourth.doc_id)
     assert sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+
+
+def test_piece_tables_against_a_dict():
+    rng = np.random.default_rng(5)
+    table, held = tokens.Pieces(8), {}
+    for _ in range(30):
+        new = [int(k) for k in np.unique(rng.integers(1, 400, 25).astype(np.uint64) * np.uint64(1024)) if int(k) not in held]  # all want one slot
+        if not new or not table.has_room(len(new)):
+            continue
+        length = rng.integers(0, 5, len(new)).astype(np.int32)
+        ids = rng.integers(0, 50000, length.sum()).astype(np.uint32)
+        table.add(np.array(new, np.uint64), np.array(new, np.uint64), ids, length)
+        for k, a, b in zip(new, np.cumsum(length) - length, np.cumsum(length), strict=True):
+            held[k] = ids[a:b].tolist()
+    asked = np.array([*held, 5, 1 << 40], np.uint64)
+    slots = table.find(asked)
+    assert (slots[-2:] == -1).all() and (slots[:-2] >= 0).all()
+    flat, length = table.ids(slots[:-2])
+    assert flat.tolist() == [i for v in held.values() for i in v] and length.tolist() == [len(v) for v in held.values()]
+
+
+def test_piece_hashes_depend_on_every_byte():
+    texts = ["", "a", "b", "ab", "a\x00", "\x00a", "12345678", "123456781", "123456782", "x" * 100, "x" * 99 + "y", "é", "ê"]
+    a, b = tokens.piece_hashes(pa.array(["skip", *texts]).slice(1))
+    assert len(set(a.tolist())) == len(set(b.tolist())) == len(texts) and (a != 0).all()
+    again = tokens.piece_hashes(pa.array(texts[::-1]))
+    assert again[0].tolist() == a.tolist()[::-1] and again[1].tolist() == b.tolist()[::-1]
+
+
+def test_encoder_with_full_tables(monkeypatch):
+    monkeypatch.setattr(tokens, "YOUNG_PIECES", 64)
+    own = tokens.Encoder(tokens.default_tokenizer())
+    rng = np.random.default_rng(6)
+    words = ["the", "of", "Ünïcode", "中文", "x1", "a,b", "'s"] + [f"w{i}" for i in range(3000)]
+    for _ in range(6):
+        texts = [" ".join(rng.choice(words, rng.integers(1, 300))) + "\nline" for _ in range(20)]
+        ids, counts = own.encode(pa.array(texts))
+        want = [[*x.ids, tokens.END_ID] for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
