@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom import constants as K
@@ -20,6 +22,28 @@ def edit_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when((a == "") | (b == ""), 0.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
+def with_matching_ratio(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """add ``name``, twice the characters in matching blocks over those of both texts.
+
+    The longest common block counts first (of equals the earliest), then what
+    is left of it on both sides, then right of it. 0 where a text is blank, 1
+    where both are equal; only distinct pairs that differ are worked out, in
+    Arrow batches, and joined back.
+    """
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.columns
+            found = [SequenceMatcher(None, m, n).ratio() for m, n in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x, y, pa.array(found, pa.float64())], names=["__a", "__b", "__r"])
+
+    rows = df.withColumns({"__a": F.coalesce(F.col(a), F.lit("")), "__b": F.coalesce(F.col(b), F.lit(""))})
+    pairs = rows.select("__a", "__b").filter("__a <> '' and __b <> '' and __a <> __b").distinct()
+    found = pairs.mapInArrow(ratios, "__a string, __b string, __r double")
+    joined = rows.join(found, ["__a", "__b"], "left")
+    blank = (F.col("__a") == "") | (F.col("__b") == "")
+    return joined.withColumn(name, F.when(blank, 0.0).when(F.col("__a") == F.col("__b"), 1.0).otherwise(F.col("__r"))).drop("__a", "__b", "__r")
+
+
 def bigrams(s: Column) -> Column:
     """Distinct pairs of neighbouring characters as numbers; a text of two characters or less is one."""
     def pairs(codes: Column) -> Column:
@@ -77,8 +101,8 @@ def line_in_passage(passage: Column | str, line: Column | str) -> Column:
 def accept_correction(raw: Column | str, new: Column | str, ratio: Column, least: float = 0.16, least_long: float = 0.26) -> Column:
     """keep a corrected line unless script, similarity or length speak against it.
 
-    The thresholds are the caller's: those given here were set for a
-    matching-block ratio, and are this library's own rule with an edit ratio.
+    ``ratio`` is the matching-block ratio of the compact lower texts
+    (``with_matching_ratio``), which the thresholds are set for.
     """
     raw, new = _c(raw), _c(new)
     thai_raw, thai_new = (F.regexp_count(c, F.lit(r"[฀-๿]")) for c in (raw, new))

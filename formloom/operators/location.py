@@ -22,7 +22,12 @@ def location_dim(provinces: DataFrame, districts: DataFrame, subdistricts: DataF
 
 
 def _grams(name: Column) -> Column:
-    """Bigrams of a name (the whole name if shorter): names as alike as asked here share one."""
+    """Bigrams of a name (the whole name if shorter).
+
+    Names of a matching ratio of GOOD share one: if all matching blocks were
+    single letters, m of them would leave m - 1 letters over, a ratio of at
+    most 2m / (3m - 1), which is 0.8 for two and less for more.
+    """
     starts = F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1)))
     return F.array_distinct(F.transform(starts, lambda i: F.substring(name, i, F.lit(2))))
 
@@ -32,7 +37,7 @@ def _alike(left: DataFrame, right: DataFrame, a: str, b: str, on: list[str]) ->
     x = left.withColumn("_g", F.explode(_grams(F.col(a))))
     y = right.withColumn("_g", F.explode(_grams(F.col(b))))
     pairs = x.join(y, [*on, "_g"]).drop("_g").distinct()
-    return pairs.withColumn("score", C.edit_ratio(a, b))
+    return C.with_matching_ratio(pairs, a, b, "score")
 
 
 def _best(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,7 +63,7 @@ def best_location(addresses: DataFrame, dim: DataFrame) -> DataFrame:
     wanted = keyed.select("ap", "ad").distinct().filter("ad <> ''").join(provinces, "ap")
     districts = _alike(wanted.select("pk", "ad").distinct(), places.select("pk", "dk").distinct(), "ad", "dk", ["pk"])
     districts = _best(wanted.join(districts, ["pk", "ad"]), ["ap", "ad"]).select("ap", "ad", "pk", "dk", "p_score", F.col("score").alias("d_score"))
-    pool = keyed.filter("as <> ''").join(districts, ["ap", "ad"]).join(places, ["pk", "dk"]).withColumn("s_score", C.edit_ratio("as", "sk"))
+    pool = C.with_matching_ratio(keyed.filter("as <> ''").join(districts, ["ap", "ad"]).join(places, ["pk", "dk"]), "as", "sk", "s_score")
     order = Window.partitionBy("p", "d", "s").orderBy(F.desc("s_score"), F.desc("d_score"), F.desc("p_score"), "seq")
     group = Window.partitionBy("p", "d", "s")
     codes = F.size(F.collect_set(F.nullif(F.coalesce("postal_code", F.lit("")), F.lit(""))).over(group))

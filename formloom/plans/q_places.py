@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from formloom import constants as K
 from formloom import fixtures as fx
+from formloom.functions import compare as C
 from formloom.operators import corrections as CO
 from formloom.operators import location as L
-from formloom.plans.q_thai import LNG, PLACE
+from formloom.plans.q_thai import FRM, LNG, PLACE
 from formloom.plans.registry import query
 
 # --- locations: codes follow the forms' own places ------------------------------------
 
+FRM_R = FRM.replace("WITH ", "WITH RECURSIVE ", 1)
 PROVINCE_COLUMNS = [("province_code", "k % 3"), ("province", PLACE["pro"])]
 DISTRICT_COLUMNS = [("province_code", "k % 3"), ("district_code", "(k % 3) * 10 + k % 5"), ("district", PLACE["dis"])]
 SUBDISTRICT_COLUMNS = [
@@ -51,14 +53,27 @@ READ_COLUMNS = [
     ("d", f"CASE k % 7 WHEN 1 THEN concat('ฮ', substr({PLACE['dis']}, 2)) ELSE {PLACE['dis']} END"),
     ("s", f"CASE k % 5 WHEN 1 THEN concat({PLACE['sub']}, 'ๆ') WHEN 2 THEN concat(substr({PLACE['sub']}, 1, length({PLACE['sub']}) - 2), 'ๆๆ') WHEN 3 THEN 'ไม่รู้จัก' ELSE {PLACE['sub']} END"),
 ]
-# DuckDB's distance counts bytes: each Thai letter is given a byte of its own
-_THAI = "".join(chr(0x0E01 + i) for i in range(0x5B))
-_BYTES = "".join(c for c in map(chr, range(33, 127)) if c not in "'\"\\")[: len(_THAI)]
-LIKE = "CASE WHEN {0} = '' OR {1} = '' THEN 0.0 ELSE 1 - levenshtein(translate({0}, '" + _THAI + "', '" + _BYTES.replace("{", "{{").replace("}", "}}") + "'), translate({1}, '" + _THAI + "', '" + _BYTES.replace("{", "{{").replace("}", "}}") + "')) / greatest(length({0}), length({1})) END"
-
-
-@query("J03_best_location", DIM + f""", rd AS (SELECT {_columns(READ_COLUMNS)} FROM frm), a AS (SELECT DISTINCT p, d, s FROM rd),
- x AS (SELECT a.*, dim.*, {LIKE.format('p', 'province')} AS p_score, {LIKE.format('d', 'district')} AS d_score, {LIKE.format('s', 'subdistrict')} AS s_score FROM a CROSS JOIN dim),
+# the longest common block of a[alo:ahi] and b[blo:bhi] as one number: length, then how early it starts in a, in b
+_BLOCK = """list_max(flatten(list_transform(range({0}, {1}), lambda i: list_transform(range({2}, {3}), lambda j:
+  coalesce(list_min(list_filter(range(0, least({1} - i, {3} - j)), lambda t: substr(a, (i + t + 1)::INT, 1) <> substr(b, (j + t + 1)::INT, 1))), least({1} - i, {3} - j)) * 1000000
+  + (999 - i) * 1000 + (999 - j)))))"""
+
+
+def ratio_sql(pairs: str) -> str:
+    """CTEs ``rec`` and ``ratio(a, b, r)`` of the distinct names in the CTE ``pairs(a, b)``; they need WITH RECURSIVE."""
+    first = _BLOCK.format("0", "length(a)", "0", "length(b)")
+    return f"""rec(a, b, alo, ahi, blo, bhi, x) AS (
+  SELECT a, b, 0::BIGINT, length(a)::BIGINT, 0::BIGINT, length(b)::BIGINT, {first} FROM {pairs} WHERE a <> '' AND b <> ''
+  UNION ALL SELECT a, b, lo, hi, lo2, hi2, {_BLOCK.format('lo', 'hi', 'lo2', 'hi2')} FROM (
+   SELECT a, b, CASE side WHEN 0 THEN alo ELSE i + k END AS lo, CASE side WHEN 0 THEN i ELSE ahi END AS hi, CASE side WHEN 0 THEN blo ELSE j + k END AS lo2, CASE side WHEN 0 THEN j ELSE bhi END AS hi2
+   FROM (SELECT *, x // 1000000 AS k, 999 - x // 1000 % 1000 AS i, 999 - x % 1000 AS j FROM rec WHERE x >= 1000000) s CROSS JOIN (VALUES (0), (1)) v(side)) c WHERE lo < hi AND lo2 < hi2),
+ ratio AS (SELECT a, b, 2.0::DOUBLE * sum(x // 1000000) / any_value(length(a) + length(b)) AS r FROM rec GROUP BY a, b)"""
+
+
+@query("J03_best_location", DIM.replace("WITH ", "WITH RECURSIVE ", 1) + f""", rd AS (SELECT {_columns(READ_COLUMNS)} FROM frm), a AS (SELECT DISTINCT p, d, s FROM rd),
+ nm AS (SELECT DISTINCT p AS a, province AS b FROM a, dim UNION SELECT DISTINCT d, district FROM a, dim UNION SELECT DISTINCT s, subdistrict FROM a, dim), {ratio_sql('nm')},
+ x AS (SELECT a.*, dim.*, rp.r AS p_score, rd2.r AS d_score, rs.r AS s_score FROM a CROSS JOIN dim JOIN ratio rp ON rp.a = p AND rp.b = province
+  JOIN ratio rd2 ON rd2.a = d AND rd2.b = district JOIN ratio rs ON rs.a = s AND rs.b = subdistrict),
  y AS (SELECT * FROM x WHERE p_score >= 0.82 QUALIFY p_score >= max(p_score) OVER (PARTITION BY p, d, s) - 0.02),
  z AS (SELECT * FROM y WHERE d_score >= 0.82 QUALIFY d_score >= max(d_score) OVER (PARTITION BY p, d, s) - 0.02),
  r AS (SELECT *, row_number() OVER w AS rn, lead(s_score) OVER w AS second, len(list_distinct(list(postal_code) OVER (PARTITION BY p, d, s))) AS codes FROM z WINDOW w AS (PARTITION BY p, d, s ORDER BY s_score DESC, d_score DESC, p_score DESC, seq)),
@@ -72,6 +87,15 @@ def j03(spark, sf):
     return found.select("k", "province", "district", "subdistrict", *[F.round(c, 6).alias(c) for c in ("s_score", "lead", "confidence")])
 
 
+@query("F30_matching_ratio", FRM_R + f""", nm AS (SELECT DISTINCT person_name AS a, mother_name || father_name AS b FROM frm UNION SELECT DISTINCT person_name, father_name FROM frm), {ratio_sql('nm')}
+ SELECT a, b, round(r, 9) AS r FROM ratio""")
+def f30(spark, sf):
+    """Every distinct pair of names that stand on one form."""
+    forms = fx.forms(spark, sf)
+    pairs = forms.select(F.col("person_name").alias("a"), F.concat("mother_name", "father_name").alias("b")).union(forms.select("person_name", "father_name")).distinct()
+    return C.with_matching_ratio(pairs, "a", "b", "r").withColumn("r", F.round("r", 9))
+
+
 # --- corrections ------------------------------------------------------------------------
 
 CHANGE_COLUMNS = [
