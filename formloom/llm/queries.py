@@ -62,7 +62,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_mixing"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':mix'), 1, 12))::BIGINT + 0.5)::DOUBLE / 281474976710656.0 AS u
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':mix:' || md5(coalesce(text, ''))), 1, 12))::BIGINT + 0.5)::DOUBLE / 281474976710656.0 AS u
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -77,15 +77,21 @@ level(c, stopped) AS (
   FROM level WHERE stopped < (SELECT count(*) FROM s WHERE 2 * source_size < c * w)),
 t AS (
   SELECT source, source_size, least(2.0 * source_size, (SELECT arg_max(c, stopped) FROM level) * w)::DOUBLE AS target FROM s),
-r AS (
-  SELECT d.*, source_size, target, floor(target / source_size) AS k, target - floor(target / source_size) * source_size AS want
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, floor(target / source_size) AS k, target - floor(target / source_size) * source_size AS want FROM t),
+z AS (
+  SELECT k.source, size, want - coalesce(sum(n * size) OVER (PARTITION BY k.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS open,
+    (sum(n * size * size) OVER (PARTITION BY k.source ORDER BY size ROWS UNBOUNDED PRECEDING))::DOUBLE AS rest
+  FROM (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY 1, 2) g JOIN k ON k.source IS NOT DISTINCT FROM g.source),
+c AS (SELECT source, arg_max(open / rest, size) AS per_word FROM z WHERE open * size <= rest GROUP BY 1),
+p AS (
+  SELECT d.*, source_size, target, k, want, least(1.0::DOUBLE, coalesce(per_word * size, 0)) AS chance
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+r AS (SELECT *, CASE WHEN chance >= 1 THEN 0 WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS q FROM p),
 o AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM r)
-SELECT doc_id, size, source_size, target,
-  (k + CASE WHEN want > 0 AND before + size / 2 <= want THEN 1 ELSE 0 END)::INTEGER AS copies,
-  ((k + CASE WHEN want > 0 AND before + size / 2 <= want THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM o
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM r),
+x AS (SELECT *, CASE WHEN want > 0 AND q IS NOT NULL AND before + size / 2 <= want THEN 1 ELSE 0 END AS extra FROM o)
+SELECT doc_id, size, source_size, target, (k + extra)::INTEGER AS copies, ((k + extra) * size)::BIGINT AS taken, chance::DOUBLE AS chance
+FROM x
 """
 
 

@@ -125,7 +125,7 @@ def test_targets_and_taken_words(spark):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 60
     again = mixing.mix_report(docs.repartition(7)).collect()
-    assert sorted(map(tuple, again)) == sorted(tuple(r)[:6] for r in ((x.doc_id, x["size"], x.source_size, x.target, x.taken, x.copies) for x in got))
+    assert sorted(map(tuple, again)) == sorted((x.doc_id, x["size"], x.source_size, x.target, x.taken, x.copies, x.chance) for x in got)
 
 
 def test_mixing_odd_rows(odd_docs, no_docs):
@@ -135,6 +135,50 @@ def test_mixing_odd_rows(odd_docs, no_docs):
     assert mixing.mix_report(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
+def brute_chances(sizes, want):
+    """min(1, c * size) with the c at which chances times sizes add up to ``want``, by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(1, c * s) * s for s in sizes) < want else (low, c)
+    return [min(1, low * s) for s in sizes]
+
+
+def test_chances_are_met(spark):
+    rng = random.Random(12)
+    sizes = [rng.choice([1, 3, 10, 30, 100, 400]) for _ in range(1500)] + [20_000, 0]
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string").cache()
+    hits, total = Counter(), sum(sizes)
+    want = brute_chances(sizes, 0.5 * total)
+    for seed in range(10):
+        got = {r.doc_id: r for r in mixing.mix_report(docs, f"s{seed}").collect()}
+        assert abs(sum(r.taken for r in got.values()) - 1.5 * total) <= 200
+        for i, n in enumerate(sizes):
+            assert abs(got[i].chance - want[i]) < 1e-6
+            hits[n] += got[i].copies - 1
+    assert hits[20_000] == 10
+    for n in {1, 3, 10, 30, 100, 400}:
+        p, rows = want[sizes.index(n)], 10 * sizes.count(n)
+        assert abs(hits[n] / rows - p) < 4 * (p * (1 - p) / rows) ** 0.5 + 0.005, (n, hits[n] / rows, p)
+
+
+def test_mixing_of_rows_without_ids_and_of_repeated_rows(spark):
+    schema = "doc_id long, text string, source string, _q double, target string, _size int, _tie string, source_size long, _edge int, c0 string"
+    rest = (0.5, "t", 1, "x", 2, 3, "c")
+    none = spark.createDataFrame([(None, f"a b w{i}", "s", *rest) for i in range(100)], schema)
+    got = mixing.mix_report(none).collect()
+    assert sum(r.taken for r in got) == 450 and {r.copies for r in got} == {1, 2}
+    same = spark.createDataFrame([(7, "a b", "s", *rest)] * 99 + [(8, "a b c d", "s", *rest)], schema)
+    assert abs(sum(r.taken for r in mixing.mix_report(same).collect()) - 303) <= 1
+    mix = mixing.mixed(same)
+    assert mix.columns == same.columns and sum(len(r.text.split()) for r in mix.collect()) in (302, 304)
+    assert {tuple(r)[3:] for r in mix.collect()} == {rest}
+    # rows that share id and text but not the rest: a part of them, the same in every run
+    part = spark.createDataFrame([(7, "a b", "s", float(i), *rest[1:]) for i in range(99)], schema)
+    runs = [sorted(r._q for r in mixing.mixed(part.repartition(n)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) in (148, 149) and len(set(runs[0])) == 99
+
+
 # ---- fingerprints ----------------------------------------------------------
 def brute_signature(text, k=3, size=2):
     words = re.split(r"[ \t\n\x0b\f\r]+", text.strip(" \t\n\x0b\f\r"))
