@@ -233,26 +233,86 @@ def test_wrapper_of_large_pages():
         assert html.extract(p, wrapper) == "\n".join(re.findall("<p>(.*?)</p>", p))
 
 
-def test_large_pairs_keep_parents_and_order():
+def plain_matching(a, b):
+    """The size of the largest matching that keeps parents and order, by the definition."""
+    if a.label != b.label:
+        return 0
+    row = [0] * (len(b.nodes()) + 1)
+    for x in a.nodes():
+        new = [0]
+        for j, y in enumerate(b.nodes()):
+            new.append(max(row[j + 1], new[j], row[j] + plain_matching(x, y)))
+        row = new
+    return row[-1] + 1
+
+
+@pytest.mark.parametrize("cells", [html.TABLE_CELLS, 1])
+def test_tree_matching_by_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(html, "TABLE_CELLS", cells)
     rng = random.Random(8)
+
     def make(deep):
-        return "".join(f"<{t}>{make(deep - 1) if deep else rng.randrange(5)}</{t}>" for t in rng.choices(["div", "section", "b"], k=rng.randint(0, 4)))
-    for _ in range(200):
+        return "".join(f"<{t}>{make(deep - 1) if deep else rng.randrange(5)}</{t}>" for t in rng.choices(["div", "section", "b"], k=rng.randint(0, 5)))
+
+    for _ in range(150):
         a, b = html.parse(make(3)), html.parse(make(3))
-        got = list(html.large_pairs(a, b))
+        kinds = html.Kinds()
+        kinds.mark(a)
+        kinds.mark(b)
+        got = list(html.pairs(a, b, kinds))
         mate = {id(x): y for x, y in got}
-        assert len({id(y) for _, y in got}) == len(mate) == len(got) <= html.match(a, b, {})
+        assert len({id(y) for _, y in got}) == len(mate) == len(got) == plain_matching(a, b) == kinds.score(a.kind, b.kind)
         for x, y in got:
             inner = [mate[id(c)] for c in x.nodes() if id(c) in mate]
             order = [next(i for i, c in enumerate(y.nodes()) if c is m) for m in inner]
             assert x.label == y.label and order == sorted(order)
-        assert len(list(html.large_pairs(a, a))) == html._size(a)
 
 
-def test_tree_matching_by_brute_force():
-    a, b = html.parse("<ul><li>1<b>x</b></li><li>2</li><p>q</p></ul>"), html.parse("<ul><li>1</li><p>r</p><li>2<b>y</b></li></ul>")
-    assert html.match(a, b, {}) == 4  # html, ul, one li with its b, and the p or the other li
-    assert len(list(html.pairs(a, b, {}))) == html.match(a, b, {})
+def test_deep_pages():
+    deep = 3000
+    make = lambda i: f"<html><body><nav>Menu {i}</nav><article><p>Start {i}</p>{'<div>' * deep}<nav>Menu Home</nav><p>middle {i}</p>{'</div>' * deep}<p>End of article {i}.</p></article></body></html>"
+    pages = [make(i) for i in range(3)]
+    for wrapper in ({}, html.induce(pages)):
+        assert html.extract(pages[1], wrapper) == "Start 1\nmiddle 1\nEnd of article 1."
+
+
+def test_reader_comments_by_id_and_class():
+    for mark in ("id=comments", "id='comment-section'", "class='user-comments'", "class='post-comments wide'", "id=disqus_thread", "id='respond'"):
+        make = lambda i: f"<html><body><div id=main><h1>Title {i}</h1><p>Text of page {i} here</p></div><div {mark}><p>Reader {i} says no</p></div></body></html>"  # noqa: B023, E731
+        pages = [make(i) for i in range(6)]
+        for wrapper in ({}, html.induce(pages[:5])):
+            assert html.extract(pages[5], wrapper) == "Title 5\nText of page 5 here", mark
+    assert html.extract("<div class='has-comments'><p>kept</p></div><h2 id=comments>kept too</h2>", {}) == "kept\nkept too"
+
+
+def test_headers_inside_articles():
+    art = "<header>Site</header><article><header><h1>Title</h1></header><p>text</p><footer><p>Sources</p></footer></article><footer>All rights</footer>"
+    assert html.extract(page(art), {}) == "Title\ntext\nSources"
+    menu = "<article><header><h1>Title</h1><nav>Home</nav></header><p>text</p><header class='page masthead'>x</header></article>"
+    assert html.extract(page(menu), {}) == "text"
+
+
+def test_constant_headings_between_slots_stay():
+    make = lambda i: f"<html><body><div id=top>Site</div><div class=recipe><p>By us</p><h1>Cake {i}</h1><h2>Ingredients</h2><ul><li>{i} eggs</ul><h2>Method</h2><p>Mix {i} times.</p><p>Print this</p></div><div>End</div></body></html>"
+    pages = [make(i) for i in range(5)]
+    wrapper = html.induce(pages)
+    assert wrapper["path"][-1] == "div.recipe"
+    assert html.extract(pages[2], wrapper) == "Cake 2\nIngredients\n2 eggs\nMethod\nMix 2 times."
+
+
+def test_main_around_article():
+    assert html.extract(page("<main><p>Lead</p><article><p>a</p></article></main>"), {}) == "Lead\na"
+    assert html.extract(page("<article><p>a</p></article><article><p>b</p></article>"), {}) == "a\nb"
+
+
+def test_equal_pages_and_ties_of_paths():
+    same = page("<div class=a><p>one</p></div><div class=a><p>two</p></div>")
+    assert html.induce([same] * 5) == {} and html.extract(same, {}) == "one\ntwo"
+    make = lambda i: f"<html><body><div class=a><p>left {i}</p></div><div class=b><p>right {i}</p></div></body></html>"
+    pages = [make(i) for i in range(4)]
+    wrappers = [html.induce(p) for p in (pages, pages[::-1], pages * 2)]
+    assert wrappers[0] == wrappers[1] == wrappers[2] and wrappers[0]["path"] == ["html", "body"]
+    assert html.extract(pages[3], wrappers[0]) == "left 3\nright 3"
 
 
 def test_pages_table(spark):
