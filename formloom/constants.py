@@ -210,3 +210,22 @@ SAME_DAY_PATTERNS = (
     r"ฟ้องวันที่\s*([^()]{4,80})\s*(?:เป็นต้นไป|$)",
     r"วันฟ้อง\s*\(?([^()]{4,80})\)?\s*เป็นต้นไป",
 )
+
+# fixed values: case numbers, evidence for them, and where a judgment's text starts and ends
+CASE_SERIES, MISREAD_SERIES = "ผบ", "พบ"
+METHOD_BONUS = (("full_page_ocr", 0.5), ("ocr_crop", 0.7), ("vision_crop", 0.6))
+PAIR_BONUS = ((("full_page_ocr", "ocr_crop"), 1.3), (("ocr_crop", "vision_crop"), 0.9))
+SUPPORT_BONUS, PREVIEW_BONUS, ORIGINAL_BONUS = 2.3, 1.8, 0.2
+LATIN_CASE_SERIES = r"[A-Za-z][0-9๐-๙]{3,}/[0-9๐-๙]{2,4}"
+JUDGMENT_KEYWORDS = ("พิพากษาให้จำเลย", "ชำระเงิน", "ค่าทนายความ")
+JUDGMENT_STARTS = ("คำพิพากษา", "พิพากษาให้จำเลย", "พิพากษาให้จำเลบย")
+JUDGMENT_ENDS = ("ค่าใช้จ่ายในการดำเนินคดีให้เป็นพับ./", "ให้เป็นพับ./", "เป็นพับ./", "พับ./")
+JUDGMENT_LOOSE_ENDS = (
+    "ค่าใช้จ่ายในการดำเนินคดีให้เป็นพับ", "ค่าใช้จ่ายในการดำเนินคดีให้เป็บพับ", "ให้เป็นพับ", "ให้เป็บพับ", "เป็นพับ", "เป็บพับ",
+)
+JUDGMENT_NOISE = (
+    "สำหรับเรียกตู้ข้อมูลเท่านั้น", "สำหรับเรียกคดีข้อมูลเท่านั้น", "สำหรับเรียกตู้ห้องเตาบั้น", "สำหรับศาลใช้",
+)
+JUDGMENT_STOPS = ("ผู้เขียน",)
+CONTINUATION_NOISE = ("สำหรับ", "ศาลใช้", "สำหรับศาลใช้")
+PASSAGE_SEGMENTS, PASSAGE_CHARS = 18, 1400

@@ -77,3 +77,28 @@ def case_header(c: Column | str) -> Column:
     """struct(black, red) case numbers of a page's heading."""
     lines = F.filter(F.transform(X.lines_of(F.coalesce(_c(c), F.lit(""))), _undecorated), lambda x: x != "")
     return X.let(lines, lambda ls: F.struct(case_number_after(ls, K.BLACK_MARKERS).alias("black"), case_number_after(ls, K.RED_MARKERS).alias("red")))
+
+
+def case_number(c: Column | str) -> Column:
+    """the first token that looks like a case number, from its series on; the misread series is put right."""
+    tokens = F.regexp_extract_all(F.replace(_c(c), F.lit(" "), F.lit("")), F.lit(r"[A-Za-zก-๛0-9๐-๙./-]+"), F.lit(0))
+    bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.,;:\-/]+|[.,;:\-/]+$", ""))
+    opened = F.transform(bare, lambda t: F.regexp_replace(t, f"^(?:.*?(?={K.CASE_SERIES})|(?!.*{K.CASE_SERIES}).*?(?={K.MISREAD_SERIES}))", ""))
+    named = F.transform(opened, lambda t: F.regexp_replace(t, "^" + K.MISREAD_SERIES, K.CASE_SERIES))
+    return F.get(F.filter(named, lambda t: t.contains("/") & t.rlike(r"\p{Nd}")), F.lit(0))
+
+
+def case_number_score(c: Column | str) -> Column:
+    """how much a text looks like a whole case number."""
+    v = F.replace(_c(c), F.lit(" "), F.lit(""))
+    slashes, size = F.length(v) - F.length(F.replace(v, F.lit("/"), F.lit(""))), F.length(v)
+    thai, other = F.regexp_count(v, F.lit("[๐-๙]")), F.regexp_count(v, F.lit(r"(?![๐-๙])\p{Nd}"))
+    marks = (
+        (v.startswith(K.CASE_SERIES), 3.0), (v.startswith(K.CASE_SERIES + "."), 0.5), (v.contains("ศต"), 1.0), (v.contains("E"), 0.8),
+        (slashes == 1, 3.0), (slashes == 2, 1.0), (thai >= 4, 2.0), (other > 0, -0.4), (v.rlike("/๒๕[0-9๐-๙]{2}$"), 3.5), (v.rlike("/25[0-9]{2}$"), 2.5),
+        (v.contains(".") & ~F.substring(v, 1, 4).contains(K.CASE_SERIES), -1.2), ((size < 8) | (size > 22), -1.5),
+    )
+    out = F.lit(0.0)
+    for holds, points in marks:
+        out = out + F.when(holds, points).otherwise(0.0)
+    return out
