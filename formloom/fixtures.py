@@ -291,27 +291,29 @@ def form_values(spark: SparkSession, sf: str) -> DataFrame:
     return forms(spark, sf).selectExpr("k", f"stack({len(FORM_FIELDS)}, {pairs}) AS (field, value)")
 
 
-# --- page readings: one row per document, with the kinds of damage readers produce ----
+# --- page readings: one row per document and some blank ones, with the kinds of damage readers produce ----
 
 READING_COLUMNS: list[tuple[str, str]] = [
     ("doc_id", "doc_id"),
     ("lang", "lang"),
     ("source", "source"),
-    ("raw", "CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN concat('## Page 1', chr(10), chr(10), text)"
+    ("raw", "CASE WHEN doc_id < 0 THEN '   ' ELSE CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN concat('## Page 1', chr(10), chr(10), text)"
             " WHEN 2 THEN concat('<figure>', chr(10), text, chr(10), '</figure>', chr(10), text)"
             " WHEN 3 THEN concat(repeat(concat('สำหรับเรียกดูข้อมูลเท่านั้น', chr(10)), 7), text)"
             " WHEN 4 THEN concat('ภาพนี้มีรายละเอียดและลักษณะ ', text)"
             " WHEN 5 THEN concat('<b>', chr(10), text, chr(10), '<i>')"
-            " WHEN 6 THEN '   ' ELSE concat(text, chr(10), chr(10), text, chr(10), '- -') END"),
-    ("corrected", "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '  ' ELSE concat('Fixed: ', text) END"),
-    ("selected", "CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN text ELSE NULL END"),
+            " WHEN 6 THEN concat('   ', text, ' ') ELSE concat(text, chr(10), chr(10), text, chr(10), '- -') END END"),
+    ("corrected", "CASE WHEN doc_id < 0 OR doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '  ' ELSE concat('Fixed: ', text) END"),
+    ("selected", "CASE WHEN doc_id < 0 OR doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN text ELSE NULL END"),
     ("text", "text"),
 ]
-READINGS_SQL = _select(READING_COLUMNS, "documents")
+# whole texts, and rows of their own for readings that came back blank
+_READING_ROWS = "(SELECT doc_id, lang, source, text FROM {documents} UNION ALL SELECT -1 - doc_id, lang, source, '' FROM {documents} WHERE doc_id % 8 = 6) d"
+READINGS_SQL = _select(READING_COLUMNS, _READING_ROWS.replace("{documents}", "documents"))
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    return _project(table(spark, sf, "documents"), READING_COLUMNS)
+    return spark.sql(_select(READING_COLUMNS, _READING_ROWS), documents=table(spark, sf, "documents"))
 
 
 # --- page segments: the rendered values of a form in their slots, moved and cut ---------------

@@ -34,12 +34,18 @@ def w16(spark, sf):
     return docs.select("doc_id", F.explode(P.keyword_windows("t", "tion")).alias("passage"))
 
 
-@query("A12_join_pages", """WITH p AS (SELECT doc_id // 3 AS d, doc_id AS n, CASE WHEN doc_id % 5 < 2 THEN '  ' ELSE text END AS t FROM documents WHERE doc_id % 9 < 7),
+# three documents are the pages of one; blank pages at the end of some, and documents of blank pages only, are rows of their own
+PAGES = """SELECT CAST(floor(doc_id / 3) AS BIGINT) AS d, doc_id AS n, text AS t FROM {documents}
+ UNION ALL SELECT CAST(floor(doc_id / 3) AS BIGINT), doc_id + 1000000000000, '  ' FROM {documents} WHERE doc_id % 5 < 2
+ UNION ALL SELECT -1 - CAST(floor(doc_id / 30) AS BIGINT), doc_id, ' ' FROM {documents} WHERE doc_id % 7 = 1
+ UNION ALL SELECT 1000000000000 + doc_id, doc_id, text FROM {documents} WHERE doc_id % 9 = 4"""
+
+
+@query("A12_join_pages", "WITH p AS (" + PAGES.replace("{documents}", "documents") + """),
  r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY n) AS i, count(*) OVER (PARTITION BY d) AS c FROM p)
- SELECT d, CASE WHEN max(length(trim(t))) > 0 THEN CASE WHEN max(c) = 1 THEN max(t) ELSE string_agg('## Page ' || i || chr(10) || chr(10) || trim(t), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) END END AS n FROM r GROUP BY d""".replace(" AS n FROM r", " AS text FROM r"))
+ SELECT d, CASE WHEN max(length(trim(t))) > 0 THEN CASE WHEN max(c) = 1 THEN max(t) ELSE string_agg('## Page ' || i || chr(10) || chr(10) || trim(t), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) END END AS text FROM r GROUP BY d""")
 def a12(spark, sf):
-    pages = table(spark, sf, "documents").filter("doc_id % 9 < 7").selectExpr("CAST(floor(doc_id / 3) AS BIGINT) AS d", "doc_id AS n", "CASE WHEN doc_id % 5 < 2 THEN '  ' ELSE text END AS t")
-    joined = P.join_pages(pages, ["d"], "n", "t")
+    joined = P.join_pages(spark.sql(PAGES, documents=table(spark, sf, "documents")), ["d"], "n", "t")
     # trailing blanks of the last page's heading are trimmed with the whole; SQL keeps them
     return joined.withColumn("text", F.when(F.col("text").endswith("\n\n") | ~F.col("text").rlike(r"## Page \d+$"), F.col("text")).otherwise(F.concat("text", F.lit("\n\n"))))
 

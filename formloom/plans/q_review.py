@@ -297,7 +297,7 @@ def s03(spark, sf):
     return ST.ingest_dedup(new, old)
 
 
-STORE_DOC = [("_id", "CASE WHEN seq % 9 = 4 THEN ' ' ELSE concat('k', CAST(seq % 400 AS STRING)) END"), ("id", "CASE WHEN seq % 18 = 4 THEN NULL ELSE id END"),
+STORE_DOC = [("_id", "CASE WHEN seq % 9 = 4 THEN ' ' ELSE concat('k', CAST(CAST(floor(seq / 3) AS BIGINT) AS STRING)) END"), ("id", "CASE WHEN seq % 18 = 4 THEN NULL ELSE id END"),
              ("source_fingerprint", "CASE WHEN seq % 10 = 1 THEN '' ELSE source_fingerprint END"), ("status", "status"), ("document_category", "document_category"),
              ("created_at", "created_at"), ("updated_at", "updated_at"), ("save_btn", "save_btn"), ("total_pages", "total_pages")]
 
@@ -332,22 +332,28 @@ def s07(spark, sf):
     return ST.unique_violations(_rows(spark, sf))
 
 
-SAVES = "SELECT doc_id % 300 AS doc_id, 1 + doc_id % 5 AS page_number, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS markdown, doc_id AS seq FROM documents WHERE doc_id % 2 = 0"
+# every document's pages; every document saves one, half of them twice, and some a page that isn't there yet
+SAVES = """SELECT doc_id, 1 + doc_id % 5 AS page_number, text AS markdown, doc_id AS seq FROM {documents}
+ UNION ALL SELECT doc_id, 1 + doc_id % 5, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat(text, ' again') END, doc_id + 1000000000000 FROM {documents} WHERE doc_id % 2 = 0"""
 
 
-@query("S14_save_pages", f"""WITH pg AS (SELECT doc_id, p AS page_number, source AS markdown FROM documents, range(1, 4) t(p)), sv AS ({SAVES} QUALIFY row_number() OVER (PARTITION BY doc_id % 300, 1 + doc_id % 5 ORDER BY documents.doc_id DESC) = 1)
+@query("S14_save_pages", f"""WITH pg AS (SELECT doc_id, p AS page_number, source AS markdown FROM documents, range(1, 4) t(p)), sv AS (SELECT * FROM ({SAVES.replace('{documents}', 'documents')}) QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY seq DESC) = 1)
  SELECT coalesce(pg.doc_id, sv.doc_id) AS doc_id, coalesce(pg.page_number, sv.page_number) AS page_number, CASE WHEN sv.doc_id IS NOT NULL THEN sv.markdown ELSE pg.markdown END AS markdown, sv.doc_id IS NOT NULL AS replaced
  FROM pg FULL JOIN sv ON pg.doc_id = sv.doc_id AND pg.page_number = sv.page_number""")
 def s14(spark, sf):
     docs = table(spark, sf, "documents")
     pages = docs.selectExpr("doc_id", "explode(sequence(1L, 3L)) AS page_number", "source AS markdown")
-    saved = docs.filter("doc_id % 2 = 0").selectExpr("doc_id % 300 AS doc_id", "1 + doc_id % 5 AS page_number", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS markdown", "doc_id AS seq")
-    return ST.save_pages(pages, saved)
+    return ST.save_pages(pages, spark.sql(SAVES, documents=docs))
 
 
-@query("S14_processed_pages", "SELECT doc_id % 50 AS doc_id, count(*) FILTER (trim(CASE WHEN doc_id % 6 = 0 THEN '  ' ELSE text END) <> '') AS processed_pages, count(*) AS total_pages FROM documents GROUP BY 1")
+# four documents are the pages of one; blank pages are rows of their own
+PROCESSED = """SELECT CAST(floor(doc_id / 4) AS BIGINT) AS doc_id, text AS markdown FROM {documents} UNION ALL SELECT CAST(floor(doc_id / 4) AS BIGINT), '  ' FROM {documents} WHERE doc_id % 6 = 0
+ UNION ALL SELECT -1 - doc_id, NULL FROM {documents} WHERE doc_id % 10 = 3"""
+
+
+@query("S14_processed_pages", f"SELECT doc_id, count(*) FILTER (trim(coalesce(markdown, '')) <> '') AS processed_pages, count(*) AS total_pages FROM ({PROCESSED.replace('{documents}', 'documents')}) GROUP BY 1")
 def s14p(spark, sf):
-    return ST.processed_pages(table(spark, sf, "documents").selectExpr("doc_id % 50 AS doc_id", "CASE WHEN doc_id % 6 = 0 THEN '  ' ELSE text END AS markdown"))
+    return ST.processed_pages(spark.sql(PROCESSED, documents=table(spark, sf, "documents")))
 
 
 # --- candidate union ---------------------------------------------------------------------

@@ -139,14 +139,16 @@ def f20(spark, sf):
     ).select("doc_id", "norm", X.is_form_category("norm").alias("is_form"), X.category_label("norm").alias("label"))
 
 
-@query("F52_single_line", r"""WITH w AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Line: "' || text || '"' WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```'
-  WHEN 2 THEN '-- ... !' ELSE text END AS raw, text FROM conversations)
- SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN '-- ... !' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS line, turn % 4 = 2 AS only_punct FROM w""")
+# every turn whole, and turns of nothing but marks as rows of their own
+SAID = """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat('Line: "', text, '"') WHEN 1 THEN concat('```', chr(10), text, chr(10), '```') ELSE text END AS raw FROM {conversations}
+ UNION ALL SELECT conv_id, -1 - turn, '-- ... !' FROM {conversations} WHERE turn % 4 = 2"""
+
+
+@query("F52_single_line", r"""SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line, false AS only_punct FROM conversations
+ UNION ALL SELECT conv_id, -1 - turn, '-- ... !', true FROM conversations WHERE turn % 4 = 2""")
 def f52(spark, sf):
-    raw = F.expr("CASE turn % 4 WHEN 0 THEN concat('Line: \"', text, '\"') WHEN 1 THEN concat('```', chr(10), text, chr(10), '```')"
-                 " WHEN 2 THEN '-- ... !' ELSE text END")
-    return table(spark, sf, "conversations").select(
-        "conv_id", "turn", X.single_line(raw).alias("line"), X.punctuation_only(raw).alias("only_punct"))
+    said = spark.sql(SAID, conversations=table(spark, sf, "conversations"))
+    return said.select("conv_id", "turn", X.single_line("raw").alias("line"), X.punctuation_only("raw").alias("only_punct"))
 
 
 BEFORE = "concat(mother_name, ' ', father_name, ' ลมหนาว ', gender)"
@@ -200,12 +202,15 @@ def f15e(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.unescape_entities(F.expr(ENTITY_TAIL)).alias("text"))
 
 
-@query("P18_usable_text", RD + """, t AS (SELECT source, CASE WHEN doc_id % 10 < 8 THEN '[OCR failed] ' || raw ELSE raw END AS t, doc_id FROM rd)
- SELECT source, bool_or(trim(t) <> '' AND NOT starts_with(t, '[OCR failed')) AS usable FROM t GROUP BY source""")
+@query("P18_usable_text", RD + """, t AS (SELECT concat(source, '/', CAST(doc_id % 7 AS VARCHAR)) AS pages, raw AS t FROM rd
+  UNION ALL SELECT concat('failed ', source, '/', CAST(doc_id % 7 AS VARCHAR)), concat('[OCR failed] ', raw) FROM rd)
+ SELECT pages, bool_or(trim(t) <> '' AND NOT starts_with(t, '[OCR failed')) AS usable FROM t GROUP BY pages""")
 def p18(spark, sf):
-    t = F.when(F.col("doc_id") % 10 < 8, F.concat(F.lit("[OCR failed] "), "raw")).otherwise(F.col("raw"))
-    ok = (X.trimmed(t) != "") & ~X.trimmed(t).startswith(K.FAILED_PAGE_PREFIX)
-    return fx.readings(spark, sf).groupBy("source").agg(F.bool_or(ok).alias("usable"))
+    """Pages of every source, and the same once more with all of them failed."""
+    read = fx.readings(spark, sf).select(F.concat("source", F.lit("/"), (F.col("doc_id") % 7).cast("string")).alias("pages"), F.col("raw").alias("t"))
+    failed = read.select(F.concat(F.lit("failed "), "pages").alias("pages"), F.concat(F.lit("[OCR failed] "), "t").alias("t"))
+    ok = (X.trimmed("t") != "") & ~X.trimmed("t").startswith(K.FAILED_PAGE_PREFIX)
+    return read.unionByName(failed).groupBy("pages").agg(F.bool_or(ok).alias("usable"))
 
 
 REASONS = ("CASE doc_id % 4 WHEN 0 THEN 'OCR quality looked usable after comparing the readings' WHEN 1 THEN ''"
