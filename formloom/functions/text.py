@@ -87,29 +87,33 @@ def spaced_pattern(keyword: str) -> str:
 # --- page text ----------------------------------------------------------------
 
 
+THAI_BLOCK = "".join(map(chr, range(0x0E00, 0x0E80)))
+CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+
+
 def looks_garbled(c: Column | str) -> Column:
     """F14 test: Thai text whose UTF-8 bytes were read as Thai code page 874."""
-    c = compact(c)
-    size = F.length(c)
-    thai = F.length(F.regexp_replace(c, r"[^\u0E00-\u0E7F]", ""))
 
-    def count(word: str) -> Column:
-        return (size - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)
+    def test(x: Column) -> Column:
+        size = F.length(x)
+        among = lambda chars: size - F.length(F.translate(x, chars, ""))
+        count = lambda word: (size - F.length(F.replace(x, F.lit(word), F.lit("")))) / len(word)
+        marks = count("\u0e40\u0e18") + count("\u0e40\u0e19") + count("\u0e42") + count("\u20ac")
+        return (size > 0) & (marks >= 2) & (among(THAI_BLOCK) >= 4) & ((marks + among(CONTROLS)) / size >= 0.08)
 
-    marks = count("\u0e40\u0e18") + count("\u0e40\u0e19") + count("\u0e42") + count("\u20ac")
-    control = F.length(F.regexp_replace(c, r"[^\u0080-\u009F]", ""))
-    return F.coalesce((size > 0) & (thai >= 4) & (marks >= 2) & ((marks + control) / size >= 0.08), F.lit(False))
+    return F.coalesce(let(compact(c), test), F.lit(False))
 
 
 def repair_garbled(c: Column | str) -> Column:
-    """undo UTF-8 read as code page 874 where the outcome reads better."""
+    """undo UTF-8 read as code page 874 where the outcome reads better; only texts that look garbled are decoded."""
     c = _c(c)
-    narrow = F.translate(c, K.CP874_CHARS, K.CP874_AS_LATIN1)
-    wide = narrow.rlike(r"[^\u0000-\u00FF]")
-    # encode() refuses characters outside Latin-1, so such text is masked and then left alone
-    as_text = F.encode(F.regexp_replace(narrow, r"[^\u0000-\u00FF]", "?"), "ISO-8859-1").cast("string")
-    good = ~wide & F.is_valid_utf8(as_text) & (as_text != "") & ~looks_garbled(as_text)
-    return F.when(looks_garbled(c) & good, trimmed(as_text)).otherwise(c)
+
+    def decoded(narrow: Column) -> Column:
+        # encode() refuses characters outside Latin-1: such text is left alone
+        text = F.when(~narrow.rlike(r"[^\u0000-\u00FF]"), F.encode(narrow, "ISO-8859-1").cast("string"))
+        return let(text, lambda t: F.when(F.is_valid_utf8(t) & (t != "") & ~looks_garbled(t), trimmed(t)))
+
+    return F.coalesce(F.when(looks_garbled(c), let(F.translate(c, K.CP874_CHARS, K.CP874_AS_LATIN1), decoded)), c)
 
 
 def has_markup(c: Column | str) -> Column:

@@ -52,7 +52,7 @@ def person_export(values: DataFrame, updated_by: str, now: Column) -> DataFrame:
     fields = (*K.SUMMARY_FIELDS, "postalCode")
     v = export_value("value")
     wide = values.groupBy("record_id").agg(*[F.coalesce(F.max(F.when(F.col("field") == f, v)), F.lit("")).alias(f) for f in fields])
-    wide = wide.withColumns({"_a": A.split_address("address"), "_dead": F.coalesce(T.deceased_remark("remark"), F.lit(False)), "_died": T.deceased_date("remark")})
+    wide = A.with_split_address(wide, "address", "_a").withColumns({"_dead": F.coalesce(T.deceased_remark("remark"), F.lit(False)), "_died": T.deceased_date("remark")})
     lacking = F.array_compact(F.array(*[F.when(F.col(f) == "", F.lit(f)) for f in K.EXPORT_REQUIRED]))
     number = lambda f: F.nullif(T.digits(f), F.lit(""))
     row = {

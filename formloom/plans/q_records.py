@@ -307,7 +307,7 @@ def _wanted(spark, sf):
  ids AS (SELECT request_id, trim(record_id) AS record_id, min(seq) AS seq FROM want WHERE trim(record_id) <> '' GROUP BY 1, 2),
  o AS (SELECT request_id, ids.record_id, CASE WHEN rec.record_id IS NULL THEN 'missing' WHEN coalesce({READY}, false) THEN 'ready' ELSE 'blocked' END AS outcome
    FROM ids LEFT JOIN rec ON rec.record_id = ids.record_id)
- SELECT request_id, record_id, outcome, request_id NOT IN (SELECT request_id FROM o WHERE outcome <> 'ready') AS accepted FROM o""")
+ SELECT request_id, record_id, outcome, bool_and(outcome = 'ready') OVER (PARTITION BY request_id) AS accepted FROM o""")
 def j04(spark, sf):
     return R.select_records(fx.review_records(spark, sf), _wanted(spark, sf)).select("request_id", "record_id", "outcome", "accepted")
 

@@ -103,7 +103,7 @@ def test_corrections(spark):
 
 
 def test_address_overflow_is_seen(spark):
-    df = spark.createDataFrame([("1 หมู่ 2 ถนน " + "ก" * 40 + " ต.บ้าน อ.เมือง จ.นคร 10110",), (None,)], "a string").select(A.split_address("a").alias("x")).select("x.*")
+    df = spark.createDataFrame([("1 หมู่ 2 ถนน " + "ก" * 40 + " ต.บ้าน อ.เมือง จ.นคร 10110",), (None,)], "a string").transform(lambda d: A.with_split_address(d, "a", "x")).select("x.*")
     a, b = df.collect()
     assert a.overflow == "road" and len(a.road) == 30 and a.province == "นคร" and a.postal_code == "10110" and b.address1 is None and b.overflow is None
 
