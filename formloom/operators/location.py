@@ -76,3 +76,44 @@ def best_location(addresses: DataFrame, dim: DataFrame) -> DataFrame:
         "p", "d", "s", *[F.when(found, F.col(c)).alias(c) for c in ("province", "district", "subdistrict", "postal_code")],
         "p_score", "d_score", s_score.alias("s_score"), gap.alias("lead"), F.when(found, F.least("p_score", "d_score", s_score)).alias("confidence"))
     return addresses.join(picked, ["p", "d", "s"], "left")
+
+
+#: Issues of an address, and what is done with each.
+PARSE_FAILED, MISSING, NOT_FOUND, CORRECTED = (
+    "address_location_parse_failed", "address_reference_missing", "address_location_not_found", "address_location_corrected")
+
+
+def validate_address(addresses: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Key, issue, value, previous_value, postal_code, place names, confidence, action, review_status of every address that isn't blank.
+
+    The place names are read (F26) and looked up (J03). An address whose places
+    all have their reference names is verified; one that meets a place under
+    other spellings gets the reference's names written where it had its own
+    (F28), its text is kept as previous value and somebody looks at it; one
+    that can't be read or meets no place is flagged. Without any reference
+    nothing is said about an address but that.
+    """
+    rows = addresses.select(key, X.trimmed("address").alias("address")).filter("address <> ''")
+    # a generated column, so that filters on the parts don't repeat the parsing below
+    rows = rows.withColumn("_parsed", F.explode(F.array(A.parse_location("address"))))
+    rows = rows.withColumns({"p": F.col("_parsed.province"), "d": F.col("_parsed.district"), "s": F.col("_parsed.subdistrict")}).drop("_parsed")
+    if not dim.limit(1).count():
+        issue = F.when(F.col("p").isNull(), PARSE_FAILED).otherwise(MISSING)
+        none = F.lit(None).cast("string")
+        names = [none.alias(c) for c in ("postal_code", "province", "district", "subdistrict")]
+        action = F.when(F.col("p").isNull(), "flagged_location_reference")
+        return rows.select(key, issue.alias("issue"), F.col("address").alias("value"), none.alias("previous_value"), *names, F.lit(None).cast("double").alias("confidence"),
+                           action.alias("action"), F.when(F.col("p").isNull(), "needs_review").alias("review_status"))
+    met = best_location(rows.filter("p is not null").select("p", "d", "s").distinct(), dim)
+    joined = rows.join(met, ["p", "d", "s"], "left").withColumn("found", F.col("subdistrict").isNotNull())
+    same = lambda a, b: A.location_key(a) == A.location_key(b)
+    joined = joined.withColumn("exact", F.col("found") & same("p", "province") & same("d", "district") & same("s", "subdistrict"))
+    fixed = F.when(F.col("found") & ~F.col("exact"), A.replace_components("address", F.col("subdistrict"), F.col("district"), F.col("province")))
+    joined = joined.withColumn("fixed", fixed)
+    issue = F.when(F.col("p").isNull(), PARSE_FAILED).when(~F.col("found"), NOT_FOUND).when(~F.col("exact"), CORRECTED)
+    action = F.when(F.col("exact"), "verified_location_reference").when(F.col("found"), "corrected_location_reference").otherwise("flagged_location_reference")
+    return joined.select(
+        key, issue.alias("issue"), F.coalesce("fixed", "address").alias("value"), F.when(F.col("fixed").isNotNull(), F.col("address")).alias("previous_value"),
+        F.when(F.col("found"), F.col("postal_code")).alias("postal_code"), "province", "district", "subdistrict", F.when(F.col("found"), F.col("confidence")).alias("confidence"),
+        action.alias("action"), F.when(~F.col("exact"), "needs_review").alias("review_status"),
+    )

@@ -70,15 +70,17 @@ def ratio_sql(pairs: str) -> str:
  ratio AS (SELECT a, b, 2.0::DOUBLE * sum(x // 1000000) / any_value(length(a) + length(b)) AS r FROM rec GROUP BY a, b)"""
 
 
-@query("J03_best_location", DIM.replace("WITH ", "WITH RECURSIVE ", 1) + f""", rd AS (SELECT {_columns(READ_COLUMNS)} FROM frm), a AS (SELECT DISTINCT p, d, s FROM rd),
+BEST = DIM.replace("WITH ", "WITH RECURSIVE ", 1) + f""", rd AS (SELECT {_columns(READ_COLUMNS)} FROM frm), a AS (SELECT DISTINCT p, d, s FROM rd),
  nm AS (SELECT DISTINCT p AS a, province AS b FROM a, dim UNION SELECT DISTINCT d, district FROM a, dim UNION SELECT DISTINCT s, subdistrict FROM a, dim), {ratio_sql('nm')},
  x AS (SELECT a.*, dim.*, rp.r AS p_score, rd2.r AS d_score, rs.r AS s_score FROM a CROSS JOIN dim JOIN ratio rp ON rp.a = p AND rp.b = province
   JOIN ratio rd2 ON rd2.a = d AND rd2.b = district JOIN ratio rs ON rs.a = s AND rs.b = subdistrict),
  y AS (SELECT * FROM x WHERE p_score >= 0.82 QUALIFY p_score >= max(p_score) OVER (PARTITION BY p, d, s) - 0.02),
  z AS (SELECT * FROM y WHERE d_score >= 0.82 QUALIFY d_score >= max(d_score) OVER (PARTITION BY p, d, s) - 0.02),
  r AS (SELECT *, row_number() OVER w AS rn, lead(s_score) OVER w AS second, len(list_distinct(list(postal_code) OVER (PARTITION BY p, d, s))) AS codes FROM z WINDOW w AS (PARTITION BY p, d, s ORDER BY s_score DESC, d_score DESC, p_score DESC, seq)),
- b AS (SELECT *, s_score - coalesce(second, 0) AS gap, s_score < 0.82 AND p_score >= 0.96 AND d_score >= 0.96 AND s_score >= 0.7 AND s_score - coalesce(second, 0) >= 0.2 AND codes = 1 AS rescued FROM r WHERE rn = 1)
- SELECT rd.k, CASE WHEN s_score >= 0.82 OR rescued THEN province END AS province, CASE WHEN s_score >= 0.82 OR rescued THEN district END AS district, CASE WHEN s_score >= 0.82 OR rescued THEN subdistrict END AS subdistrict,
+ b AS (SELECT *, s_score - coalesce(second, 0) AS gap, s_score < 0.82 AND p_score >= 0.96 AND d_score >= 0.96 AND s_score >= 0.7 AND s_score - coalesce(second, 0) >= 0.2 AND codes = 1 AS rescued FROM r WHERE rn = 1)"""
+
+
+@query("J03_best_location", BEST + """ SELECT rd.k, CASE WHEN s_score >= 0.82 OR rescued THEN province END AS province, CASE WHEN s_score >= 0.82 OR rescued THEN district END AS district, CASE WHEN s_score >= 0.82 OR rescued THEN subdistrict END AS subdistrict,
   round(CASE WHEN rescued THEN 0.82 ELSE s_score END, 6) AS s_score, round(gap, 6) AS lead, round(CASE WHEN s_score >= 0.82 OR rescued THEN least(p_score, d_score, CASE WHEN rescued THEN 0.82 ELSE s_score END) END, 6) AS confidence
  FROM rd LEFT JOIN b ON b.p = rd.p AND b.d = rd.d AND b.s = rd.s""")
 def j03(spark, sf):
@@ -87,6 +89,23 @@ def j03(spark, sf):
     return found.select("k", "province", "district", "subdistrict", *[F.round(c, 6).alias(c) for c in ("s_score", "lead", "confidence")])
 
 
+# an address of what was read; some have no places, some are blank
+ADDRESS = "CASE WHEN k % 17 = 5 THEN ' ' WHEN k % 13 = 4 THEN concat(CAST(k AS STRING), ' หมู่ 3') ELSE concat(CAST(k AS STRING), ' หมู่ 3  ต.', s, ' อ.', d, ' จ.', p) END"
+
+
+@query("H11_validate_address", BEST + f""", ad AS (SELECT rd.*, {ADDRESS} AS address FROM rd),
+ m AS (SELECT ad.k, address, ad.p AS rp, ad.d AS rd_, ad.s AS rs, k % 13 = 4 AS unread, NOT k % 13 = 4 AND coalesce(s_score >= 0.82 OR rescued, false) AS found, b.* FROM ad LEFT JOIN b ON b.p = ad.p AND b.d = ad.d AND b.s = ad.s WHERE trim(address) <> ''),
+ e AS (SELECT *, rp = province AND rd_ = district AND rs = subdistrict AS exact, k || ' หมู่ 3 ต.' || subdistrict || ' อ.' || district || ' จ.' || province AS fixed FROM m)
+ SELECT k, CASE WHEN unread THEN 'address_location_parse_failed' WHEN NOT found THEN 'address_location_not_found' WHEN NOT exact THEN 'address_location_corrected' END AS issue,
+  CASE WHEN found AND NOT exact THEN fixed ELSE trim(address) END AS value, CASE WHEN found THEN postal_code END AS postal_code,
+  CASE WHEN found AND exact THEN 'verified_location_reference' WHEN found THEN 'corrected_location_reference' ELSE 'flagged_location_reference' END AS action, CASE WHEN found AND NOT exact THEN trim(address) END AS previous_value,
+  CASE WHEN found THEN round(least(p_score, d_score, CASE WHEN rescued THEN 0.82 ELSE s_score END), 6) END AS confidence FROM e""")
+def h11(spark, sf):
+    read = fx.forms(spark, sf).selectExpr(*[f"{e} AS {a}" for a, e in READ_COLUMNS]).selectExpr("k", f"{ADDRESS} AS address")
+    found = L.validate_address(read, location_dim(spark, sf), "k")
+    return found.select("k", "issue", "value", "postal_code", "action", "previous_value", F.round("confidence", 6).alias("confidence"))
+
+
 @query("F30_matching_ratio", FRM_R + f""", nm AS (SELECT DISTINCT person_name AS a, mother_name || father_name AS b FROM frm UNION SELECT DISTINCT person_name, father_name FROM frm), {ratio_sql('nm')}
  SELECT a, b, round(r, 9) AS r FROM ratio""")
 def f30(spark, sf):
