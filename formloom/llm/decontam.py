@@ -4,7 +4,10 @@ Texts become words (lower case, letters and digits only). Each fixed mask picks
 six of up to eight neighbouring words and ignores the rest, so that a hash of
 the picked words still meets its counterpart when an ignored word was
 substituted; the masks leave out every third, fourth or fifth position, or
-none. A hit fixes an alignment of a document with a benchmark item; along it
+none. Items of under ``SHORT_ITEM`` words have two more, of five words: over
+all placements of substitutions that leave an overlap by the rule below, items
+of 8 to 19 words always have a seed (without those two up to 6 % of some
+lengths had none), longer ones in more than 999 of 1000. A hit fixes an alignment of a document with a benchmark item; along it
 each maximal-scoring run of words (a match adds 1, a mismatch takes 2; disjoint
 runs that no run around them outscores) is an overlap if it matches
 ``MIN_MATCHED`` words (or ``SHORT_SHARE`` of a shorter item) and at least
@@ -12,7 +15,7 @@ runs that no run around them outscores) is an overlap if it matches
 where they stand whole and word for word.
 
 The benchmark is read in chunks of at most ``CHUNK_WORDS`` words (by hash of
-the item id); each chunk's seed index is of bounded size and sent to all
+item id and text); each chunk's seed index is of bounded size and sent to all
 tasks, and further chunks mean further passes, so that no document is shuffled
 and the benchmark may grow.
 
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from formloom.llm.common import inner_positions, mix64, slices, text_or_empty, word_hashes
 
 MASKS = ("111111", "1111011", "1110111", "11011011", "11010111")
+SHORT_MASKS = ("11111", "1101011")
+SHORT_ITEM = 32
 MIN_MATCHED = 13
 SHORT_SHARE = 0.7
 DENSITY = 0.7
@@ -68,9 +73,10 @@ class SeedIndex:
         self.starts = np.cumsum(counts) - counts
         self.owner = np.repeat(np.arange(len(counts)), counts)
         self.seeds = []
-        for mask in MASKS:
+        for mask in (*MASKS, *SHORT_MASKS):
             at, _ = inner_positions(counts, len(mask))
-            at = at[counts[self.owner[at]] >= LEAST_ITEM]
+            size = counts[self.owner[at]]
+            at = at[(size >= LEAST_ITEM) & ((size < SHORT_ITEM) | (mask in MASKS))]
             key = _seed_keys(self.hashes, at, mask)
             order = np.argsort(key, kind="stable")
             key, at = key[order], at[order]
@@ -177,7 +183,7 @@ def benchmark_chunks(benchmark: DataFrame, chunk_words: int = CHUNK_WORDS) -> It
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     chunks = max(1, -(-total // chunk_words))
     for i in range(chunks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == i).orderBy("item_id", "text").collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == i).orderBy("item_id", "text").collect()
         if rows:
             yield sc.broadcast(SeedIndex([r[0] for r in rows], [r[1] for r in rows]))
 

@@ -1,5 +1,6 @@
 """Operators with Python tasks against plain Python, round trips and held-out accuracy."""
 
+import itertools
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from formloom.llm import decontam, html, jaccard, pii, quality, secrets, tokens
+from formloom.llm import decontam, html, jaccard, pii, quality, queries, secrets, tokens
 from formloom.llm.wavelet import WaveletMatrix
 
 DATA = "/root/testdata/sf0.001"
@@ -166,6 +167,79 @@ def test_secret_scan_adds_formats(spark, odd_docs, no_docs):
     assert secrets.scan(odd_docs).count() == 9 and secrets.scan(no_docs).count() == 0
 
 
+def plain_overlaps(docs, items):
+    """All overlaps by the stated rule, over every alignment of every text with every item."""
+    bare = lambda t: [w for w in (re.sub(r"[^\w]|_", "", x.lower()) for x in (t or "").split()) if w]
+    out = set()
+    for d, text in docs:
+        a = bare(text)
+        for i, item in items:
+            b, found = bare(item), []
+            if not b:
+                continue
+            for first in range(1 - len(b), len(a)):
+                lo, hi = max(first, 0), min(first + len(b), len(a))
+                same = np.array([a[k] == b[k - first] for k in range(lo, hi)], bool)
+                if len(b) < decontam.LEAST_ITEM:
+                    found += [(len(b), lo, hi)] if len(same) == len(b) and same.all() else []
+                    continue
+                least = min(decontam.MIN_MATCHED, -int(-decontam.SHORT_SHARE * len(b) // 1))
+                for x, y in decontam._best_runs(same):
+                    n = int(same[x:y].sum())
+                    if n >= least and n >= decontam.DENSITY * (y - x):
+                        found.append((n, lo + x, lo + y))
+            if found:
+                n, x, y = min(found, key=lambda f: (-f[0], f[1]))
+                out.add((d, i, x, y, n))
+    return out
+
+
+def test_decontamination_query_by_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    say = lambda n: rng.choices(vocabulary, k=n)
+    items = [(i, " ".join(say(rng.choice([1, 3, 7, 8, 13, 15, 18, 25, 40])))) for i in range(40)] + [(50, None), (51, ""), (None, "no id of its own at all here"), (3, "another text under one id that is long")]
+    docs = []
+    for d in range(80):
+        words = say(rng.randint(0, 60))
+        item = rng.choice(items)[1]
+        if item:
+            said = [w if rng.random() > 0.12 else "other" for w in item.split()]
+            cut = rng.randint(0, len(words))
+            words = words[:cut] + said + words[cut:]
+        docs.append((d, " ".join(words)))
+    docs += [(90, None), (91, ""), (None, items[4][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = plain_overlaps(docs, items)
+    got = queries.QUERIES["op7_decontamination"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(want) > 60
+    d, b = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "benchmark"))
+    assert {tuple(r) for r in decontam.overlaps(d, b, chunk_words=100).collect()} == want
+    kept = decontam.without_overlaps(d, b).collect()
+    assert sorted(repr(r.doc_id) for r in kept) == sorted(repr(x) for x, _ in docs if x not in {w[0] for w in want})
+
+
+def test_short_items_always_have_a_seed():
+    for n, k in ((8, 2), (13, 3), (14, 4), (17, 5)):
+        for lost in itertools.combinations(range(n), k):
+            same = np.ones(n, bool)
+            same[list(lost)] = False
+            least = min(decontam.MIN_MATCHED, -int(-decontam.SHORT_SHARE * n // 1))
+            if any(same[x:y].sum() >= max(least, decontam.DENSITY * (y - x)) for x, y in decontam._best_runs(same)):
+                assert any(all(same[s + i] for i, c in enumerate(m) if c == "1") for m in (*decontam.MASKS, *decontam.SHORT_MASKS) for s in range(n - len(m) + 1)), (n, lost)
+
+
+def test_first_of_each_group_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 7, "k"), (2, "a b c d e f g", 8, "l"), (3, "other text of its own here", 9, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _key string")
+    assert sorted(map(tuple, jaccard.first_of_each_group(df).collect())) == [rows[0], rows[2]]
+
+
+def test_long_words_keep_their_whole_shape():
+    assert pii.shape("a1" * 30) != pii.shape("a1" * 29 + "b-") and pii.shape("Ab12345") == "Aa0000"
+
+
 # ---- html ------------------------------------------------------------------
 def page(article, menu="a"):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>{menu}</ul></nav>{article}<footer>&copy; x</footer></body></html>"
