@@ -101,7 +101,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def shape(word: str) -> str:
     """Letters to a or A, digits to 0, runs of four and more to four."""
     s = re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word)
-    return re.sub(r"(.)\1{3,}", r"\1\1\1\1", re.sub(r"[0-9]", "0", s))[:40]
+    return re.sub(r"(.)\1{3,}", r"\1\1\1\1", re.sub(r"[0-9]", "0", s))
 
 
 def _features(words: list[str], i: int) -> list[int]:
