@@ -334,9 +334,11 @@ def near_duplicates(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame
 
 
 def first_of_each_group(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """The document of least id of each group, once, with all its columns."""
+    """The document of least id of each group, once, with all its columns, whatever their names."""
     heads = classes(docs, recall).select(F.col("head.rep").alias("_id"), F.col("head.key").alias("_key")).distinct()
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.unhex(F.md5(text_or_empty()))})
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own, strict=True))
+    rows = docs.toDF(*own).withColumns({"_id": F.col(at["doc_id"]).cast("long"), "_key": F.unhex(F.md5(text_or_empty(at["text"])))})
     same = rows["_id"].eqNullSafe(heads["_id"]) & (rows["_key"] == heads["_key"])
     kept = rows.join(heads, same, "left_semi")
-    return kept.dropDuplicates(["_id", "_key"]).select(*[F.col(c) for c in docs.columns])
+    return kept.dropDuplicates(["_id", "_key"]).select(*[F.col(o).alias(c) for c, o in at.items()])
