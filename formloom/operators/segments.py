@@ -106,6 +106,84 @@ def match_segment_to_line(segments: DataFrame, lines: DataFrame, key: str) -> Da
     return done.unionByName(found)
 
 
+def line_groups(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """Key, group_no, line_no, line (from 0): blank lines and page headings part groups; figures and lone tags go.
+
+    Gaps and islands over a page's lines: a running count of breaks numbers the
+    groups, the last figure tag so far says whether a line is inside a figure.
+    """
+    lines = pages.select(key, F.posexplode(X.lines_of(F.coalesce(text, F.lit("")))).alias("at", "_line")).select(key, "at", X.trimmed("_line").alias("line"))
+    low = F.lower("line")
+    parts = (F.col("line") == "") | F.col("line").startswith("## Page")
+    tag = F.when(parts, None).when(low.startswith("<figure"), True).when(low.startswith("</figure"), False)
+    page = Window.partitionBy(key).orderBy("at")
+    so_far = page.rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumns({"_break": parts, "_tag": tag}).withColumns({
+        "_breaks": F.count(F.when(F.col("_break"), 1)).over(so_far), "_inside": F.coalesce(F.last("_tag", ignorenulls=True).over(so_far), F.lit(False)),
+    })
+    lone = F.col("line").startswith("<") & F.col("line").endswith(">")
+    kept = marked.filter(~F.col("_break") & F.col("_tag").isNull() & ~F.col("_inside") & ~lone)
+    group = F.dense_rank().over(Window.partitionBy(key).orderBy("_breaks")) - 1
+    return kept.select(key, group.alias("group_no"), (F.row_number().over(page) - 1).alias("line_no"), "line")
+
+
+SAME = 0.985
+
+
+def _review_lines(c: Column | str) -> Column:
+    """Lines that are shown side by side: no blank ones, page headings, figure tags or lone tags."""
+    low = F.lower
+    lines = F.transform(X.lines_of(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), X.trimmed)
+    return F.filter(lines, lambda x: (x != "") & ~x.startswith("## Page") & ~low(x).startswith("<figure") & ~low(x).startswith("</figure") & ~(x.startswith("<") & x.endswith(">")))
+
+
+def diff_rows(pages: DataFrame, key: str) -> DataFrame:
+    """Key, row_no, status, original, cleaned, selected, similarity of ``pages(key, original, cleaned, selected_source)``.
+
+    Both readings are stretched to the longer one's number of lines. A row is
+    missing if one side has nothing there, the same from a likeness of 0.985 on,
+    else changed.
+    """
+    sides = pages.select(key, "selected_source", _review_lines("original").alias("_o"), _review_lines("cleaned").alias("_c"))
+    sides = sides.withColumn("_n", F.greatest(F.size("_o"), F.size("_c"))).filter("_n > 0")
+    rows = sides.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+
+    def span(side: str) -> Column:
+        size = F.size(side)
+        start, end = (_rounded((F.col("row_no") + d) * size / F.col("_n")) for d in (0, 1))
+        return F.trim(F.array_join(F.slice(side, start + 1, F.greatest(start + 1, end) - start), " "))
+
+    rows = rows.select(key, "row_no", "selected_source", span("_o").alias("original"), span("_c").alias("cleaned")).filter("original <> '' or cleaned <> ''")
+    rows = rows.withColumn("similarity", C.bigram_jaccard("original", "cleaned"))
+    status = F.when((F.col("original") == "") | (F.col("cleaned") == ""), "missing").when(F.col("similarity") >= SAME, "same").otherwise("changed")
+    either = F.coalesce(F.nullif("cleaned", F.lit("")), F.col("original"))
+    selected = F.when(F.col("selected_source") == "original", F.col("original")).when(F.col("selected_source") == "cleaned", F.col("cleaned")).otherwise(either)
+    return rows.select(key, "row_no", status.alias("status"), "original", "cleaned", selected.alias("selected"), "similarity")
+
+
+def best_segment_for_value(values: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """``values(key, ..., value)`` with seg_no and bbox of the segment that shows the value best (NULL if none does).
+
+    A segment shows a value if one's text holds the other's; nearly as long is
+    better, further down and wider is a little worse, of equals the first. The
+    page's segments are one array in which the best is looked up. Values of
+    under three letters aren't looked for.
+    """
+    place = [F.get("bbox", F.lit(i)) for i in range(4)]
+    held = segments.filter(F.size("bbox") == 4).select(key, "seg_no", "bbox", place[1].alias("top"), (place[2] - place[0]).alias("width"), passage_key("text").alias("said")).filter("said <> ''")
+    pages = held.groupBy(key).agg(F.collect_list(F.struct("seg_no", "bbox", "top", "width", "said")).alias("_page"))
+    asked = values.withColumn("_target", passage_key(F.coalesce("value", F.lit("")))).join(pages, key, "left")
+    target = F.col("_target")
+
+    def scored(x: Column) -> Column:
+        sizes = F.least(F.length(target), F.length(x["said"])) / F.greatest(F.length(target), F.length(x["said"]))
+        return F.struct((sizes - x["top"] * 0.15 - x["width"] * 0.04).alias("score"), (-x["seg_no"]).alias("turn"), x["bbox"].alias("bbox"))
+
+    showing = F.filter("_page", lambda x: target.contains(x["said"]) | x["said"].contains(target))
+    best = F.when(F.length(target) >= 3, F.array_max(F.transform(showing, scored)))
+    return asked.withColumn("_best", best).select(*values.columns, (-F.col("_best.turn")).alias("seg_no"), F.col("_best.bbox").alias("bbox"))
+
+
 # ---- passages ----------------------------------------------------------------------------
 
 #: Growth from a seed: most segments, largest gaps, least overlaps and shares, as the review screen has them.

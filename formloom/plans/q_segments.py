@@ -149,3 +149,43 @@ _FIT = """(contains(w, s) OR (least(length(s), 14) >= 6 AND contains(w, left(s,
 def j18_unseeded(spark, sf):
     passages = _passages(spark, sf).withColumn("seed_no", F.lit(None).cast("int"))
     return S.passage_box(fx.segments(spark, sf).filter("page_number = 1").select("k", "seg_no", "text", "bbox"), passages, ["k"])
+
+
+# --- line groups, rows side by side, segments of values ---------------------------------------------
+
+#: Pages with headings, figures and lone tags around whole texts.
+GROUPED = """SELECT doc_id AS k, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN concat('## Page 1', chr(10), text, chr(10), chr(10), ' ', chr(10), 'end') WHEN 2 THEN concat('<Figure a>', chr(10), 'drawn', chr(10), '## Page 2', chr(10), 'in it', chr(10), '</figure>', chr(10), text)
+  WHEN 3 THEN concat(replace(text, chr(10), concat(chr(10), '<b>', chr(10))), chr(10), '<figure>', chr(10), lang) ELSE replace(text, '. ', concat('.', chr(10), chr(10))) END AS t FROM {documents}"""
+
+
+@query("W12_line_groups", "WITH p AS (" + GROUPED.replace("{documents}", "documents") + r"""), l AS (SELECT k, generate_subscripts(string_split(t, chr(10)), 1) AS n, trim(unnest(string_split(t, chr(10)))) AS line FROM p),
+ m AS (SELECT *, line = '' OR starts_with(line, '## Page') AS br, CASE WHEN line = '' OR starts_with(line, '## Page') THEN NULL WHEN starts_with(lower(line), '<figure') THEN 1 WHEN starts_with(lower(line), '</figure') THEN 0 END AS tag FROM l),
+ r AS (SELECT *, sum(br::INT) OVER w AS breaks, max(CASE WHEN tag = 1 THEN n END) OVER w AS opened, max(CASE WHEN tag = 0 THEN n END) OVER w AS closed FROM m WINDOW w AS (PARTITION BY k ORDER BY n)),
+ f AS (SELECT * FROM r WHERE NOT br AND tag IS NULL AND NOT (opened IS NOT NULL AND opened > coalesce(closed, 0)) AND NOT (starts_with(line, '<') AND ends_with(line, '>')))
+ SELECT k, CAST(dense_rank() OVER (PARTITION BY k ORDER BY breaks) - 1 AS INT) AS group_no, CAST(row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS INT) AS line_no, line FROM f""")
+def w12(spark, sf):
+    return S.line_groups(spark.sql(GROUPED, documents=table(spark, sf, "documents")), "k", "t")
+
+
+READ_TWICE = """SELECT doc_id AS k, text AS original, CASE WHEN doc_id % 11 = 5 THEN NULL ELSE CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), concat(chr(10), ' ', chr(10), 'and ')) WHEN 2 THEN reverse(text)
+  ELSE concat(text, chr(10), '<figure>', chr(10), 'extra ', source) END END AS cleaned, CASE doc_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'cleaned' ELSE NULL END AS selected_source FROM {documents}"""
+_SHOWN = "list_filter(list_transform(string_split(coalesce({}, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '## Page') AND NOT starts_with(lower(x), '<figure') AND NOT starts_with(lower(x), '</figure') AND NOT (starts_with(x, '<') AND ends_with(x, '>')))"
+_SPAN = "trim(array_to_string({0}[floor(i * len({0}) / n + 0.5)::BIGINT + 1:greatest(floor(i * len({0}) / n + 0.5)::BIGINT + 1, floor((i + 1) * len({0}) / n + 0.5)::BIGINT)], ' '))"
+
+
+@query("W15_diff_rows", "WITH p AS (" + READ_TWICE.replace("{documents}", "documents") + f"""), s AS (SELECT k, selected_source, {_SHOWN.format('original')} AS o, {_SHOWN.format('cleaned')} AS c FROM p),
+ n AS (SELECT *, greatest(len(o), len(c)) AS n FROM s), i AS (SELECT *, unnest(range(0, n)) AS i FROM n), x AS (SELECT k, selected_source, i, {_SPAN.format('o')} AS original, {_SPAN.format('c')} AS cleaned FROM i),
+ y AS (SELECT *, {_KEY.format('original')} AS a, {_KEY.format('cleaned')} AS b FROM x WHERE original <> '' OR cleaned <> ''), z AS (SELECT *, {_alike('a', 'b')} AS similarity FROM y)
+ SELECT k, CAST(i AS INT) AS row_no, CASE WHEN original = '' OR cleaned = '' THEN 'missing' WHEN similarity >= 0.985 THEN 'same' ELSE 'changed' END AS status, md5(original || chr(10) || cleaned) AS sides,
+  CASE selected_source WHEN 'original' THEN original WHEN 'cleaned' THEN cleaned ELSE coalesce(nullif(cleaned, ''), original) END AS selected, round(similarity, 9)::DOUBLE AS similarity FROM z""")
+def w15(spark, sf):
+    rows = S.diff_rows(spark.sql(READ_TWICE, documents=table(spark, sf, "documents")), "k")
+    return rows.select("k", "row_no", "status", F.md5(F.concat("original", F.lit("\n"), "cleaned")).alias("sides"), "selected", F.round("similarity", 9).alias("similarity"))
+
+
+@query("J16_best_segment", SEG + f""", vs AS (SELECT k, field, regexp_replace(lower(value), '{_MARKS}', '', 'g') AS w FROM lng), ps AS (SELECT *, regexp_replace(lower(text), '{_MARKS}', '', 'g') AS s FROM seg WHERE page_number = 1),
+ m AS (SELECT vs.k, field, seg_no, x1, y1, x2, y2, least(length(w), length(s)) / greatest(length(w), length(s)) - y1 * 0.15::DOUBLE - (x2 - x1) * 0.04::DOUBLE AS score FROM vs JOIN ps ON ps.k = vs.k AND s <> '' AND length(w) >= 3 AND (contains(w, s) OR contains(s, w))),
+ b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY k, field ORDER BY score DESC, seg_no, x1, y1, x2, y2) = 1)
+ SELECT vs.k, vs.field, seg_no FROM vs LEFT JOIN b ON b.k = vs.k AND b.field = vs.field""")
+def j16(spark, sf):
+    return S.best_segment_for_value(fx.form_values(spark, sf), fx.segments(spark, sf).filter("page_number = 1"), "k").select("k", "field", "seg_no")
