@@ -10,6 +10,7 @@ from formloom.operators.store import fingerprint
 
 #: Kinds of files that the inbox takes.
 INBOX_SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg")
+INBOX_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in INBOX_SUFFIXES) + "}"
 
 FILE = "file_id string, original_filename string, page_count int, status string, error_message string"
 RECORD = (
@@ -35,8 +36,7 @@ def scan_inbox(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     are digested in the task that reads it and don't travel. Spark skips files of
     no bytes, so those aren't listed.
     """
-    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in INBOX_SUFFIXES) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", INBOX_GLOB).option("recursiveFileLookup", str(recursive).lower()).load(path)
     found = files.select("path", _file_name(F.col("path")).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), fingerprint("content").alias("fingerprint"))
     return found.orderBy("name", "path")
 
