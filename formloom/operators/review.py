@@ -80,6 +80,39 @@ def field_needs_review(status: Column, alternatives: Column, issues: Column) ->
     return (F.coalesce(status, F.lit("")) == "needs_review") | (F.coalesce(alternatives, F.lit(0)) > 0) | (F.coalesce(issues, F.lit(0)) > 0)
 
 
+#: Fields that are read again in any case, and those that the aggressive mode adds.
+ALWAYS_READ, READ_MORE = ("age", "address"), ("personName", "motherName", "fatherName", "houseCode", "address")
+
+
+def select_fields_to_reread(values: DataFrame, alternatives: DataFrame, issues: DataFrame, mode: str = "selective") -> DataFrame:
+    """record_id, field, reason: the fields with a place on the page that another reader should read, by the first rule that holds.
+
+    ``values(record_id, field, value, source, review_status)``,
+    ``alternatives(record_id, field, n)``, ``issues(record_id, field)``. A field
+    that a record lacks is invalid; one that is empty in the source is never
+    read again. ``mode`` is off, selective or aggressive.
+    """
+    boxed = [f for f, _, box, _ in K.FIELD_TEMPLATES if box is not None]
+    key = ["record_id", "field"]
+    every = values.select("record_id").distinct().withColumn("field", F.explode(F.array(*map(F.lit, boxed if mode != "off" else []))))
+    names = values.filter(F.col("field").isin(*K.PARENT_NAMES)).groupBy("record_id").agg(
+        *[F.max(F.when(F.col("field") == f, X.compact(F.coalesce("value", F.lit(""))))).alias(f) for f in K.PARENT_NAMES])
+    rows = every.join(values.select(*key, "value", "source", "review_status"), key, "left")
+    rows = rows.join(alternatives.filter("n > 1").select(*key).distinct().withColumn("several", F.lit(True)), key, "left")
+    rows = rows.join(issues.select(*key).distinct().withColumn("issue", F.lit(True)), key, "left").join(names, "record_id", "left")
+    rows = FL.with_valid(rows.withColumn("v", X.trimmed(F.coalesce("value", F.lit("")))), "field", "v", "valid")
+    field, mother, father = F.col("field"), F.col(K.PARENT_NAMES[0]), F.col(K.PARENT_NAMES[1])
+    parent = field.isin(*K.PARENT_NAMES)
+    always = field.isin(*(ALWAYS_READ + READ_MORE if mode == "aggressive" else ALWAYS_READ))
+    reason = (
+        F.when(empty_in_source(), None).when(always, "always").when(~F.col("valid"), "invalid").when(F.col("review_status") == "needs_review", "needs_review")
+        .when(F.col("several"), "alternatives").when(F.col("issue"), "quality_issue").when(field.isin(*K.ID_FIELDS) & T.suspicious_id("v"), "suspicious_id")
+        .when(parent & (F.length(X.compact("v")) <= SHORT_NAME), "short_parent_name").when(parent & (mother != "") & (mother == father), "duplicate_parent_name")
+    )
+    # generated, so that the rules aren't repeated in a filter
+    return rows.select(*key, F.explode(F.array_compact(F.array(reason))).alias("reason"))
+
+
 def issues_by_field(issues: DataFrame) -> DataFrame:
     """The issue kinds of each field, in order of their names (there are a few kinds only)."""
     return issues.groupBy("record_id", "field").agg(F.array_sort(F.collect_set("issue")).alias("issues"))

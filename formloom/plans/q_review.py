@@ -364,3 +364,37 @@ def x04(spark, sf):
     current = fx.form_values(spark, sf).filter(F.col("field").isin(*K.NAME_FIELDS)).selectExpr("concat('P', CAST(k AS STRING)) AS record_id", "field", "value", "0L AS seq")
     both = candidates(spark, sf).select("record_id", "field", "value", "seq").unionByName(current)
     return V.merge_alternatives(both.withColumns({"source": F.lit(""), "reason": F.lit(""), "score": F.lit(0.0)})).select("record_id", "field", "compact", "seq")
+
+
+# --- work list for reading again -----------------------------------------------------------------
+
+_BOXED = ", ".join(f"('{f}')" for f, _, box, _ in K.FIELD_TEMPLATES if box is not None)
+
+
+def _reread_sql(mode: str) -> str:
+    always = "('age', 'address', 'personName', 'motherName', 'fatherName', 'houseCode')" if mode == "aggressive" else "('age', 'address')"
+    return REV + f""", base AS (SELECT r.record_id, q.field, rv.k, trim(coalesce(rv.value, '')) AS v, trim(coalesce(rv.value, '')) AS value, rv.source, rv.review_status FROM (SELECT DISTINCT record_id FROM rv) r CROSS JOIN (VALUES {_BOXED}) q(field)
+   LEFT JOIN rv ON rv.record_id = r.record_id AND rv.field = q.field),
+ nm AS (SELECT record_id, max(CASE WHEN field = 'motherName' THEN regexp_replace(v, '\\s', '', 'g') END) AS mn, max(CASE WHEN field = 'fatherName' THEN regexp_replace(v, '\\s', '', 'g') END) AS fn FROM base GROUP BY 1),
+ t AS (SELECT base.*, {VALID} AS valid, mn, fn, {DIG} AS d FROM base JOIN nm ON nm.record_id = base.record_id),
+ w AS (SELECT record_id, field, CASE WHEN source IN ('source_dash', 'source_blank') OR review_status = 'empty_in_source' THEN NULL WHEN field IN {always} THEN 'always' WHEN NOT valid THEN 'invalid' WHEN review_status = 'needs_review' THEN 'needs_review'
+   WHEN (k * 2 + length(field)) % 9 > 6 THEN 'alternatives' WHEN (k + length(field)) % 12 = 0 THEN 'quality_issue' WHEN field IN {IDS} AND length(d) = 13 AND (length(d) - length(replace(d, '0', '')) >= 8 OR contains(d, '00000')) THEN 'suspicious_id'
+   WHEN field IN ('motherName', 'fatherName') AND length(regexp_replace(v, '\\s', '', 'g')) <= 3 THEN 'short_parent_name' WHEN field IN ('motherName', 'fatherName') AND mn <> '' AND mn = fn THEN 'duplicate_parent_name' END AS reason FROM t)
+ SELECT * FROM w WHERE reason IS NOT NULL"""
+
+
+def _reread(spark, sf, mode):
+    rv = review_values(spark, sf)
+    alternatives = rv.selectExpr("record_id", "field", "CASE WHEN (k * 2 + length(field)) % 9 > 6 THEN 2 ELSE 1 END AS n")
+    issues = rv.select("record_id", "field", F.explode(F.expr("CASE WHEN (k + length(field)) % 12 = 0 THEN array(1, 2) ELSE array() END")))
+    return V.select_fields_to_reread(rv, alternatives, issues, mode)
+
+
+@query("P21_fields_to_reread", _reread_sql("selective"))
+def p21(spark, sf):
+    return _reread(spark, sf, "selective")
+
+
+@query("P21_fields_to_reread_aggressive", _reread_sql("aggressive"))
+def p21_aggressive(spark, sf):
+    return _reread(spark, sf, "aggressive")
