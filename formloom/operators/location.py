@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formloom.functions import address as A
 from formloom.functions import compare as C
+from formloom.functions import fields as FL
 from formloom.functions import text as X
 
 # fixed values: thresholds of the match
@@ -117,3 +118,26 @@ def validate_address(addresses: DataFrame, dim: DataFrame, key: str) -> DataFram
         F.when(F.col("found"), F.col("postal_code")).alias("postal_code"), "province", "district", "subdistrict", F.when(F.col("found"), F.col("confidence")).alias("confidence"),
         action.alias("action"), F.when(~F.col("exact"), "needs_review").alias("review_status"),
     )
+
+
+def repair_address_number(addresses: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """Key, value, previous_value, source, review_status: addresses whose number the raw page text says in full.
+
+    ``addresses(key, address, source)``, ``pages(key, text)``. Of the page's
+    lines that are the same address with a fuller number (a range, a part after
+    the stroke, more digits, another village number) the one with the longest
+    number counts, the first of equals. Other addresses stay as they are.
+    """
+    lines = pages.select(key, F.posexplode(X.lines_of(F.coalesce("text", F.lit("")))).alias("at", "_line"))
+    lines = lines.select(key, "at", X.norm_ws(F.regexp_replace("_line", r"^\s*#+\s*", "")).alias("_line"), F.lit("address").alias("_field"))
+    said = FL.with_clean(lines, "_field", "_line", "said").select(key, "at", "said")
+    met = addresses.select(key, "address").join(said, key)
+    fuller = A.house_number("said").isNotNull() & A.number_differs_same_tail("address", "said") & A.more_complete("said", "address")
+    rank = F.when(fuller, F.struct(F.length(A.house_number("said")), -F.col("at")))
+    best = met.groupBy(key, "address").agg(F.max_by("said", rank).alias("best"))
+    rows = addresses.join(best, [key, "address"], "left")
+    found = F.col("best").isNotNull()
+    return rows.select(
+        key, F.coalesce("best", "address").alias("value"), F.when(found, F.col("address")).alias("previous_value"),
+        F.when(found, "raw_ocr_address_line").otherwise(F.col("source")).alias("source"), F.when(found, "needs_review").alias("review_status"),
+    )

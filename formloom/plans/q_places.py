@@ -106,6 +106,20 @@ def h11(spark, sf):
     return found.select("k", "issue", "value", "postal_code", "action", "previous_value", F.round("confidence", 6).alias("confidence"))
 
 
+# the parser kept the first digit of the number only
+_HOUSE = r"regexp_extract(address, '^(\S+) ', 1)"
+
+
+@query("H12_repair_address_number", FRM + rf""", a AS (SELECT k, address, {_HOUSE} AS house, concat(left({_HOUSE}, 1), substr(address, length({_HOUSE}) + 1)) AS kept FROM frm)
+ SELECT k, CASE WHEN house <> left(house, 1) THEN address ELSE kept END AS value, CASE WHEN house <> left(house, 1) THEN kept END AS previous_value, CASE WHEN house <> left(house, 1) THEN 'raw_ocr_address_line' ELSE 'parser' END AS source FROM a""")
+def h12(spark, sf):
+    forms = fx.forms(spark, sf)
+    house = F.regexp_extract("address", r"^(\S+) ", 1)
+    short = F.concat(F.left(house, F.lit(1)), F.substr("address", F.length(house) + 1))
+    kept = forms.select("k", short.alias("address"), F.lit("parser").alias("source"))
+    return L.repair_address_number(kept, forms.select("k", "text"), "k").select("k", "value", "previous_value", "source")
+
+
 @query("F30_matching_ratio", FRM_R + f""", nm AS (SELECT DISTINCT person_name AS a, mother_name || father_name AS b FROM frm UNION SELECT DISTINCT person_name, father_name FROM frm), {ratio_sql('nm')}
  SELECT a, b, round(r, 9) AS r FROM ratio""")
 def f30(spark, sf):

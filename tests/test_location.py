@@ -38,3 +38,11 @@ def test_validate_address(spark):
     assert got[8][0][:2] == (None, "verified_location_reference")
     none = {r.k: (r.issue, r.action, r.value) for r in L.validate_address(addresses, dim.limit(0), "k").collect()}
     assert none[1] == ("address_reference_missing", None, rows[0][1]) and none[3][0] == "address_location_parse_failed"
+
+
+def test_repair_address_number(spark):
+    addresses = spark.createDataFrame([(1, "1 หมู่ 2 ต.ก", "p"), (2, "1 หมู่ 2 ต.ก", "p"), (3, None, "p"), (4, "12 หมู่ 2 ต.ก", None), (5, "7 หมู่ 2 ต.ก", "p")], "k long, address string, source string")
+    pages = spark.createDataFrame([(1, "# ที่อยู่ 12 หมู่ 2 ต.ก\n12/34 หมู่ 2 ต.ก\n12/35 หมู่ 2 ต.ก\n99 หมู่ 2 ต.ข"), (2, "ไม่มี\n\n1 หมู่ 2 ต.ก"), (3, "1 หมู่ 2"), (4, "1 หมู่ 2 ต.ก"), (5, None)], "k long, text string")
+    got = {r.k: (r.value, r.previous_value, r.source, r.review_status) for r in L.repair_address_number(addresses, pages, "k").collect()}
+    assert got[1] == ("12/34 หมู่ 2 ต.ก", "1 หมู่ 2 ต.ก", "raw_ocr_address_line", "needs_review")
+    assert got[2] == got[2][:1] + (None, "p", None) and got[3] == (None, None, "p", None) and got[4][0] == "12 หมู่ 2 ต.ก" and got[5][0] == "7 หมู่ 2 ต.ก"
