@@ -19,6 +19,8 @@ from formloom import constants as K
 from formloom.functions import text as X
 
 _ENDS = [*K.JUDGMENT_ENDS, *K.JUDGMENT_LOOSE_ENDS]
+#: Pages whose keys are broadcast.
+SENT_PAGES = 200_000
 #: Characters of earlier segments that a marker which ends in this one can start in.
 REACH = max(len("".join(w.split())) for w in _ENDS) - 1
 #: Lines at the top of a following page that say nothing: a sheet number or a lone item number.
@@ -67,6 +69,10 @@ def clip_passage(segments: DataFrame, keys: list[str]) -> DataFrame:
     (18 segments, 1400 characters). A clip without a start keyword is no hit.
     """
     rows = _usable(segments, keys)
+    # only pages with a keyword are sorted; their keys are sent to all tasks while they are few
+    asked = rows.groupBy(*keys).agg(F.max(_holds(F.col("compact"), K.JUDGMENT_KEYWORDS)).alias("_hit")).filter("_hit").select(*keys)
+    asked = F.broadcast(asked) if asked.limit(SENT_PAGES + 1).count() <= SENT_PAGES else asked
+    rows = rows.join(asked, keys, "left_semi")
     begun = F.max(_holds(F.col("compact"), K.JUDGMENT_KEYWORDS)).over(Window.partitionBy(*keys).orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("begun", begun).filter(F.col("begun") & ~_holds(F.col("compact"), K.JUDGMENT_NOISE))
     return _clipped(rows, keys).filter(_holds(X.compact_lower("text"), K.JUDGMENT_STARTS))
