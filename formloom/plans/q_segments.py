@@ -82,7 +82,8 @@ def _alike(a: str, b: str) -> str:
 
 def document_lines(spark, sf):
     """k, line_no, line: the lines of every document that aren't blank; numbered inside the row, without a shuffle."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    # a lambda of one argument: transform would hand F.trim the place as the characters to trim
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.posexplode(lines).alias("line_no", "line"))
 
 
