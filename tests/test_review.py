@@ -115,3 +115,9 @@ def test_rules(spark):
     line = spark.createDataFrame([('```\nx "y"\n```',), ("",), (None,)], "t string").select(X.single_line("t").alias("l")).collect()
     assert [r.l for r in line] == ['x "y"', "", None]
     assert len(K.REQUIRED_FIELDS) == 9
+
+
+def test_edit_ratio_in_bytes(spark):
+    pairs = [("éa", "ea"), ("ab", "ba"), ("กข", "คง"), ("", "a")]
+    df = spark.createDataFrame(pairs, "a string, b string").select(C.edit_ratio("a", "b").alias("r"), C.edit_ratio("a", "b", in_bytes=True).alias("s"))
+    assert [(r.r, r.s) for r in df.collect()] == [(0.5, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
