@@ -128,14 +128,19 @@ def repair_address_number(addresses: DataFrame, pages: DataFrame, key: str) -> D
     the stroke, more digits, another village number) the one with the longest
     number counts, the first of equals. Other addresses stay as they are.
     """
-    lines = pages.select(key, F.posexplode(X.lines_of(F.coalesce("text", F.lit("")))).alias("at", "_line"))
-    lines = lines.select(key, "at", X.norm_ws(F.regexp_replace("_line", r"^\s*#+\s*", "")).alias("_line"), F.lit("address").alias("_field"))
-    said = FL.with_clean(lines, "_field", "_line", "said").select(key, "at", "said")
-    met = addresses.select(key, "address").join(said, key)
-    fuller = A.house_number("said").isNotNull() & A.number_differs_same_tail("address", "said") & A.more_complete("said", "address")
-    rank = F.when(fuller, F.struct(F.length(A.house_number("said")), -F.col("at")))
-    best = met.groupBy(key, "address").agg(F.max_by("said", rank).alias("best"))
-    rows = addresses.join(best, [key, "address"], "left")
+    asked = addresses.groupBy(key, "address").agg(F.collect_list(F.struct("source")).alias("_sources"))
+    # whole pages meet their addresses, by merging: lines are many more than the size of their page says, none of them is sent around
+    met = asked.join(pages.select(key, "text").hint("merge"), key, "left")
+    lines = met.select(key, "address", "_sources", F.posexplode_outer(X.lines_of("text")).alias("at", "_line"))
+    lines = lines.withColumn("_line", X.norm_ws(F.regexp_replace("_line", r"^\s*#+\s*", ""))).withColumn("_field", F.lit("address"))
+    said = FL.with_clean(lines, "_field", "_line", "said")
+    fuller = A.number_differs_same_tail("address", "said") & A.more_complete("said", "address")
+    # most lines don't start with a number; the others are compared
+    rank = F.when(A.house_number("said").isNotNull(), F.when(fuller, F.struct(F.length(A.house_number("said")), -F.col("at"))))
+    # generated, because max_by would work it out several times a row
+    ranked = said.withColumn("_rank", F.explode(F.array(rank)))
+    best = ranked.groupBy(key, "address").agg(F.max_by("said", "_rank").alias("best"), F.first("_sources").alias("_sources"))
+    rows = best.select(key, "address", "best", F.explode("_sources").alias("_s")).select(key, "address", "best", "_s.source")
     found = F.col("best").isNotNull()
     return rows.select(
         key, F.coalesce("best", "address").alias("value"), F.when(found, F.col("address")).alias("previous_value"),

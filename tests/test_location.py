@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from formloom.functions import compare as C
 from formloom.operators import location as L
 
@@ -46,3 +48,13 @@ def test_repair_address_number(spark):
     got = {r.k: (r.value, r.previous_value, r.source, r.review_status) for r in L.repair_address_number(addresses, pages, "k").collect()}
     assert got[1] == ("12/34 หมู่ 2 ต.ก", "1 หมู่ 2 ต.ก", "raw_ocr_address_line", "needs_review")
     assert got[2] == got[2][:1] + (None, "p", None) and got[3] == (None, None, "p", None) and got[4][0] == "12 หมู่ 2 ต.ก" and got[5][0] == "7 หมู่ 2 ต.ก"
+
+
+def test_repair_address_number_sends_no_lines_around(spark):
+    addresses = spark.createDataFrame([(1, "1 หมู่ 2 ต.ก", "p"), (1, "1 หมู่ 2 ต.ก", "q"), (2, "5 หมู่ 2 ต.ก", "p")], "k long, address string, source string")
+    pages = spark.createDataFrame([(1, "12 หมู่ 2 ต.ก\n13 หมู่ 2 ต.ก")], "k long, text string")
+    fixed = L.repair_address_number(addresses, pages, "k")
+    assert "Broadcast" not in fixed._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.k, r.value, r.previous_value, r.source) for r in fixed.select("k", "value", F.coalesce("previous_value", F.lit("")).alias("previous_value"), "source").collect())
+    raw = "raw_ocr_address_line"
+    assert got == [(1, "12 หมู่ 2 ต.ก", "1 หมู่ 2 ต.ก", raw)] * 2 + [(2, "5 หมู่ 2 ต.ก", "", "p")]
