@@ -447,15 +447,22 @@ def select_records(records: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("outcome", outcome).withColumn("accepted", F.bool_and(F.col("outcome") == "ready").over(whole)).drop("_ready")
 
 
+def earliest(people: DataFrame, by: str) -> DataFrame:
+    """user_id, username, ord of the first staff row with each value of ``by``."""
+    first = people.groupBy(F.col(by).alias("_by")).agg(F.min_by(F.struct("user_id", "username", "ord"), "ord").alias("_p"))
+    return first.select("_p.*")
+
+
 def resolve_assignee(requests: DataFrame, staff: DataFrame, manager_id: str, manager_name: str) -> DataFrame:
     """First staff row equal by id or by name; the manager comes last.
 
     ``requests(request_id, req_id, req_name)``, ``staff(user_id, username, ord)``.
-    The OR condition runs as two equi joins; the earliest staff row wins.
+    The OR condition runs as two equi joins; the earliest staff row wins, so
+    only the earliest of each id and of each name is joined.
     """
     people = staff.select("user_id", "username", F.col("ord").cast("bigint").alias("ord"))
-    by_id = requests.filter(~is_blank("req_id")).join(people, F.col("req_id") == F.col("user_id"))
-    by_name = requests.filter(~is_blank("req_name")).join(people, F.col("req_name") == F.col("username"))
+    by_id = requests.filter(~is_blank("req_id")).join(earliest(people, "user_id"), F.col("req_id") == F.col("user_id"))
+    by_name = requests.filter(~is_blank("req_name")).join(earliest(people, "username"), F.col("req_name") == F.col("username"))
     uid, name = manager_id or manager_name, manager_name or manager_id
     self_hit = (F.col("req_id") == uid) | (F.col("req_name") == name)
     self_rows = requests.filter(self_hit).select(

@@ -105,3 +105,11 @@ def test_upsert_writes_nulls_and_replaces(spark):
     assert rows(R.upsert(now, new, "id")) == [("a", None, 1), ("b", "y", 2), ("c", "z", None)]
     assert rows(R.upsert(now, new, "id", insert=False)) == [("a", None, 1), ("b", "y", 2)]
     assert rows(R.upsert(now, new, "id", insert=False, replace=True)) == [("a", None, None), ("b", "y", 2)]
+
+
+def test_assignee_by_a_name_that_many_have(spark):
+    staff = spark.range(400).selectExpr("concat('u', id) AS user_id", "CASE WHEN id < 399 THEN 'same' END AS username", "1000 - id AS ord")
+    requests = spark.range(300).selectExpr("id AS request_id", "CASE WHEN id = 7 THEN 'u5' WHEN id = 8 THEN 'u399' END AS req_id", "'same' AS req_name")
+    assert [tuple(r) for r in R.earliest(staff.filter("username is not null"), "username").collect()] == [("u398", "same", 602)]
+    got = {r.request_id: (r.user_id, r.username) for r in R.resolve_assignee(requests, staff, "boss", "boss").collect()}
+    assert len(got) == 300 and got.pop(8) == ("u399", None) and set(got.values()) == {("u398", "same")}
