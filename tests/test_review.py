@@ -121,3 +121,12 @@ def test_edit_ratio_in_bytes(spark):
     pairs = [("éa", "ea"), ("ab", "ba"), ("กข", "คง"), ("", "a")]
     df = spark.createDataFrame(pairs, "a string, b string").select(C.edit_ratio("a", "b").alias("r"), C.edit_ratio("a", "b", in_bytes=True).alias("s"))
     assert [(r.r, r.s) for r in df.collect()] == [(0.5, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def test_unwrap_of_one_very_long_line(spark):
+    long = '"' + "ab {} <i> " * 40_000 + '"'
+    texts = ["```json\n{\"text\": " + long + "}\n```", "```\n```", "```x\n\na\n b\n```", "```\nonly```", "{\"page\": 1 \"text\": \"a\\nb\"}", "[1]", "<FIGURE>x</FIGURE>\ny", "{\"text\": \" \", \"result\": \"r\"}"]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.unwrap_response("t").alias("v")).collect()]
+    fences = spark.createDataFrame([("```x\n\na\n b\n```",), ("```\n```",), ("```\na```",)], "t string").select(X.unwrap_fence("t").alias("v"))
+    assert [r.v for r in fences.collect()] == ["a\n b", "", ""]
+    assert got == [long[1:-1].strip(), "```\n```", "```x\n\na\n b\n```", "```\nonly```", "a\nb", "[1]", "y", "r"]
