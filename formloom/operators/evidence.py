@@ -10,6 +10,7 @@ from formloom.functions import compare as C
 from formloom.functions import judgment as J
 from formloom.functions import text as X
 from formloom.operators.review import consensus_label, selection_reason
+from formloom.session import joined_within
 
 
 def case_consensus(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,7 +121,7 @@ def decision_map(fields: DataFrame, parsed: DataFrame, derived: DataFrame, crop:
     ]
     rows = fields.select(*key, _text("value").alias("selected_value"), _text("source").alias("selected_source"), _text("review_status").alias("selected_review_status"))
     for side in sides:
-        rows = rows.join(side, key, "left")
+        rows = joined_within(rows, side, *key)
     for name in ("derived", "crop", "vision"):
         rows = rows.withColumn(f"{name}_value", F.when(F.col(f"{name}_there"), F.coalesce(F.nullif(f"{name}_value", F.lit("")), F.col("selected_value"))))
     action = lambda n: _text(f"{n}_action")
