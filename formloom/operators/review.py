@@ -11,6 +11,7 @@ from formloom.functions import fields as FL
 from formloom.functions import text as X
 from formloom.functions import thai as T
 from formloom.operators.quality import actionable_reasons
+from formloom.session import joined_within
 
 PARENTS = (("motherName", "motherId"), ("fatherName", "fatherId"))
 SHORT_NAME = 3
@@ -97,9 +98,9 @@ def select_fields_to_reread(values: DataFrame, alternatives: DataFrame, issues:
     every = values.select("record_id").distinct().withColumn("field", F.explode(F.array(*map(F.lit, boxed if mode != "off" else []))))
     names = values.filter(F.col("field").isin(*K.PARENT_NAMES)).groupBy("record_id").agg(
         *[F.max(F.when(F.col("field") == f, X.compact(F.coalesce("value", F.lit(""))))).alias(f) for f in K.PARENT_NAMES])
-    rows = every.join(values.select(*key, "value", "source", "review_status"), key, "left")
-    rows = rows.join(alternatives.filter("n > 1").select(*key).distinct().withColumn("several", F.lit(True)), key, "left")
-    rows = rows.join(issues.select(*key).distinct().withColumn("issue", F.lit(True)), key, "left").join(names, "record_id", "left")
+    rows = joined_within(every, values.select(*key, "value", "source", "review_status"), *key)
+    rows = joined_within(rows, alternatives.filter("n > 1").select(*key).distinct().withColumn("several", F.lit(True)), *key)
+    rows = joined_within(rows, issues.select(*key).distinct().withColumn("issue", F.lit(True)), *key).join(names, "record_id", "left")
     rows = FL.with_valid(rows.withColumn("v", X.trimmed(F.coalesce("value", F.lit("")))), "field", "v", "valid")
     field, mother, father = F.col("field"), F.col(K.PARENT_NAMES[0]), F.col(K.PARENT_NAMES[1])
     parent = field.isin(*K.PARENT_NAMES)
