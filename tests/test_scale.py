@@ -4,7 +4,9 @@ import re
 
 import pytest
 import formloom.plans.catalog  # noqa: F401
+from formloom import constants as K
 from formloom.functions import thai as T
+from formloom.operators import forms
 from formloom.plans.registry import QUERIES
 from formloom.session import joined_within
 
@@ -43,3 +45,9 @@ def test_join_within_records_loses_and_doubles_nothing(spark):
     side = spark.createDataFrame([("a", "x", "p"), ("a", "x", "q"), ("b", "z", "s"), ("c", None, "t"), ("d", "x", "u")], "r string, f string, v string")
     got = {tuple(r) for r in joined_within(rows, side, "r", "f").collect()}
     assert got == {tuple(r) for r in rows.join(side, ["r", "f"], "left").collect()}
+
+
+def test_names_alone_ask_no_patterns_of_the_page(spark):
+    pages = spark.createDataFrame([("a", "x")], "k string, text string")
+    assert "{4,180}" not in _plan(forms.parse_person_text(pages, "k", fields=K.NAME_FIELDS))
+    assert "{4,180}" in _plan(forms.parse_person_text(pages, "k"))
