@@ -89,9 +89,18 @@ _RECORD_SOURCE = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 RECORDS_SQL = _select(RECORD_COLUMNS, _RECORD_SOURCE)
 
 
-def review_records(spark: SparkSession, sf: str) -> DataFrame:
+#: Order lines of one task where records are dealt by a key.
+LINES_A_TASK = 200_000
+
+
+def review_records(spark: SparkSession, sf: str, by: str | None = None) -> DataFrame:
+    """Review records; dealt by their column ``by`` before the other columns are made, so that groups of it don't move them."""
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    return _project(lines.join(orders, lines.l_orderkey == orders.o_orderkey), RECORD_COLUMNS)
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    if by is None:
+        return _project(rows, RECORD_COLUMNS)
+    keyed = rows.selectExpr("*", f"{dict(RECORD_COLUMNS)[by]} AS {by}")
+    return _project(dealt(keyed, by, LINES_A_TASK, counted=lines), [(a, by if a == by else e) for a, e in RECORD_COLUMNS])
 
 
 # --- uploaded files: one row per order; batches are customers ---------------

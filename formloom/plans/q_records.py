@@ -8,7 +8,7 @@ from formloom import fixtures as fx
 from formloom.functions import text as X
 from formloom.operators import records as R
 from formloom.plans.registry import query
-from formloom.session import table
+from formloom.session import dealt, table
 
 REC = f"WITH rec AS ({fx.RECORDS_SQL}) "
 FIL = f"WITH fil AS ({fx.FILES_SQL}) "
@@ -419,6 +419,8 @@ STATE_COLUMNS = [
     ("ocr_result", "CASE WHEN part_seq % 3 = 0 THEN concat('result ', CAST(part_seq AS STRING)) ELSE NULL END"),
     ("ocr_text", "concat('text ', record_id)"),
 ]
+STATE_ORDER = ["updated_at", "read_ms", "parse_ms", "validate_ms"]
+STATE_USED = ["ocr_status", "review_status", "assigned_to_user_id", "assigned_to_username", "save_btn", "part_seq"]
 STATE_EXTRA = ", ".join(f"{e} AS {a}" for a, e in STATE_COLUMNS)
 
 
@@ -446,7 +448,10 @@ STATE_EXTRA = ", ".join(f"{e} AS {a}" for a, e in STATE_COLUMNS)
  UNION ALL SELECT record_id, seq, action, 'record not found', NULL, NULL, NULL FROM act WHERE record_id NOT IN (SELECT record_id FROM rec)""")
 def h17(spark, sf):
     # a record id that the tables hold twice counts in its latest state, as its actions count once
-    rec = R.latest_state(fx.review_records(spark, sf), ["record_id"], ["updated_at", "read_ms", "parse_ms", "validate_ms"]).selectExpr("*", *[f"{e} AS {a}" for a, e in STATE_COLUMNS])
-    lines = table(spark, sf, "lineitem").selectExpr("*", "explode(sequence(1, 4)) AS step", f"{LINE_ID} AS record_id")
-    done = R.apply_actions(rec, lines.selectExpr(*[f"{e} AS {a}" for a, e in ACT_COLUMNS]).distinct())
+    rec = fx.review_records(spark, sf, by="record_id").select("record_id", *STATE_ORDER, *STATE_USED)
+    rec = R.latest_state(rec, ["record_id"], STATE_ORDER).selectExpr("*", *[f"{e} AS {a}" for a, e in STATE_COLUMNS])
+    lines = table(spark, sf, "lineitem")
+    keyed = lines.selectExpr("*", f"{LINE_ID} AS record_id").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", f"{ACT_COLUMNS[0][1]} AS record_id")
+    steps = dealt(keyed, "record_id", fx.LINES_A_TASK, counted=lines).selectExpr("*", "explode(sequence(1, 4)) AS step")
+    done = R.apply_actions(rec, steps.selectExpr("record_id", *[f"{e} AS {a}" for a, e in ACT_COLUMNS[1:]]).distinct())
     return done.withColumn("assigned_to_user_id", F.when(F.col("reason").isNull(), F.coalesce("assigned_to_user_id", F.lit(""))))

@@ -40,6 +40,15 @@ def test_review_fields_stay_where_their_record_is(spark, name):
     assert len(re.findall("REPARTITION_BY_NUM", _plan(QUERIES[name](spark, SF)))) == len(exchanges)
 
 
+@pytest.mark.parametrize(("name", "key", "times"), [("H17_apply_actions", "record_id", 2)])
+def test_review_records_are_dealt_once(spark, name, key, times):
+    plan = _plan(QUERIES[name](spark, SF))
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+, \d+\), REPARTITION_BY_NUM", plan) == [key] * times
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE", plan)
+    # what is left meets orders, or is the few rows found out about a batch
+    assert all(re.match(r"[lo]_orderkey#", e) or re.fullmatch(r"batch_id#\d+, \d+", e) for e in moved)
+
+
 def test_join_within_records_loses_and_doubles_nothing(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "x", 3), ("b", "x", 4), ("c", None, 5)], "r string, f string, n int")
     side = spark.createDataFrame([("a", "x", "p"), ("a", "x", "q"), ("b", "z", "s"), ("c", None, "t"), ("d", "x", "u")], "r string, f string, v string")
