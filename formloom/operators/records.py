@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from formloom import constants as K
 from formloom.functions import text as X
 from formloom.operators.ranking import latest, numbered, sum_before
-from formloom.session import checkpointed
+from formloom.session import checkpointed, joined_within
 
 # --- predicates ---------------------------------------------------------------
 
@@ -372,6 +372,10 @@ def record_number(batch: Column, position: Column) -> Column:
     )
 
 
+#: Rows of a batch up to which one task numbers it whole; larger ones are cut.
+BATCH_ROWS = 20_000
+
+
 def record_numbers(records: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
     """Keep the first use of a given number per batch, rewrite blanks and repeats.
 
@@ -379,8 +383,25 @@ def record_numbers(records: DataFrame, order: Sequence[str], bucket: Column) ->
     equal the number of an earlier position only if it spells that position, so
     each row depends on one earlier row at most; such rows look up whether it
     was rewritten, and chains of them are followed until none is open.
+
+    Batches are numbered whole in one task, so rows dealt by batch stay where
+    they are; those of over ``BATCH_ROWS`` rows are cut at ``bucket``.
     """
-    placed = numbered(records, ["batch_id"], order, bucket, "pos").withColumn("given", F.coalesce(X.trimmed("record_no"), F.lit("")))
+    large = checkpointed(records.groupBy("batch_id").count().filter(F.col("count") > BATCH_ROWS).select("batch_id"))
+    if not large.limit(1).count():
+        return _renumbered(_numbered_whole(records, order), whole=True)
+    small = _numbered_whole(records.join(F.broadcast(large), "batch_id", "left_anti"), order)
+    cut = numbered(records.join(F.broadcast(large), "batch_id", "left_semi"), ["batch_id"], order, bucket, "pos")
+    return _renumbered(small, whole=True).unionByName(_renumbered(cut, whole=False))
+
+
+def _numbered_whole(records: DataFrame, order: Sequence[str]) -> DataFrame:
+    return records.withColumn("pos", F.row_number().over(Window.partitionBy("batch_id").orderBy(*order)).cast("bigint"))
+
+
+def _renumbered(placed: DataFrame, whole: bool) -> DataFrame:
+    """W01 from the positions on; ``whole``: a batch is in one task, and what was found out about it joins it there."""
+    placed = placed.withColumn("given", F.coalesce(X.trimmed("record_no"), F.lit("")))
     blank = F.col("given") == ""
     # blank numbers never meet: each is a group of its own
     same = Window.partitionBy("batch_id", "given", F.when(blank, F.col("pos")))
@@ -388,17 +409,23 @@ def record_numbers(records: DataFrame, order: Sequence[str], bucket: Column) ->
     links = (F.col("given") == record_number(F.col("batch_id"), spelled)) & (spelled < F.col("pos"))
     placed = placed.withColumn("_new", blank | (F.min("pos").over(same) < F.col("pos")))
     placed = placed.withColumn("_at", F.when(~F.col("_new") & links, spelled))
-    open_ = placed.filter("_at is not null").select("batch_id", "pos", "_at")
-    told = placed.select("batch_id", F.col("pos").alias("_at"), F.col("_new").alias("_hit"), F.col("_at").alias("_next"))
+    # a linked row is also put at the position it spells, where it sees the row that has it
+    asked = placed.select("batch_id", "pos", "_new", "_at", F.explode(F.array_compact(F.array("pos", "_at"))).alias("_slot"))
+    own = F.col("_slot") == F.col("pos")
+    there = F.max(F.when(own, F.struct("_new", "_at"))).over(Window.partitionBy("batch_id", "_slot"))
+    seen = asked.withColumn("_there", there).filter(~own & F.col("_there").isNotNull())
+    seen = checkpointed(seen.select("batch_id", "pos", "_at", F.col("_there._new").alias("_hit"), F.col("_there._at").isNotNull().alias("_more")))
+    # the row of a chain that isn't its end is linked itself
+    told = seen.select("batch_id", F.col("pos").alias("_from"), "_at", "_hit", "_more")
     taken = None
-    while open_.limit(1).count():
-        seen = checkpointed(open_.join(told, ["batch_id", "_at"]))
+    while seen.limit(1).count():
         hits = seen.filter("_hit").select("batch_id", "pos", F.lit(True).alias("_taken"))
         taken = hits if taken is None else taken.unionByName(hits)
-        open_ = seen.filter(~F.col("_hit") & F.col("_next").isNotNull()).select("batch_id", "pos", F.col("_next").alias("_at"))
+        open_ = seen.filter(~F.col("_hit") & F.col("_more")).select("batch_id", "pos", F.col("_at").alias("_from"))
+        seen = checkpointed(open_.join(told, ["batch_id", "_from"]).drop("_from"))
     new = F.col("_new")
     if taken is not None:
-        placed = placed.join(taken, ["batch_id", "pos"], "left")
+        placed = joined_within(placed, taken, "batch_id", "pos") if whole else placed.join(taken, ["batch_id", "pos"], "left")
         new = new | F.coalesce("_taken", F.lit(False))
     number = F.when(new, record_number(F.col("batch_id"), F.col("pos"))).otherwise(F.col("given"))
     return placed.withColumn("record_no", number).drop("given", "_new", "_at", "_taken")

@@ -251,7 +251,7 @@ ORDER_SQL = "file_seq, page_number, part_seq, staff_seq"
    FROM walk JOIN gen g ON g.batch_id = walk.batch_id AND g.pos = walk.pos + 1)
  SELECT record_id, pos, no AS record_no FROM walk""")
 def w01(spark, sf):
-    numbered = R.record_numbers(fx.review_records(spark, sf), ORDER, F.floor(F.col("file_seq") / 4096))
+    numbered = R.record_numbers(fx.review_records(spark, sf, by="batch_id"), ORDER, F.floor(F.col("file_seq") / 4096))
     return numbered.select("record_id", "pos", "record_no")
 
 

@@ -41,6 +41,22 @@ def test_numbers_given_and_made(spark):
     assert got == want and got["r2"] == "TR-B-0002" and got["r3"] == "TR-B-0003"
 
 
+@pytest.mark.parametrize("limit", [20_000, 10, 0])
+def test_numbers_of_batches_that_are_cut(spark, monkeypatch, limit):
+    monkeypatch.setattr(R, "BATCH_ROWS", limit)
+    # chains: number i spells i - 3, so each row depends on the third before it
+    spells = lambda b, i: "" if i in (1, 12) else f"TR-{b}-{i - 3:04d}" if i % 2 and i > 3 else f" x{i % 5}" if i % 7 else None
+    rows = [(f"{b}{i}", b, spells(b, i), i, "succeeded", "unassigned", None, None) for b, n in (("A", 17), ("B", 9), ("C", 1)) for i in range(1, n + 1)]
+    got = {r.record_id: (r.pos, r.record_no) for r in R.record_numbers(records(spark, rows).repartition(3), ["pos_key"], F.floor(F.col("pos_key") / 4)).collect()}
+    want, seen = {}, set()
+    for rid, b, no, i, *_ in rows:
+        no = (no or "").strip()
+        no = f"TR-{b}-{i:04d}" if not no or (b, no) in seen else no
+        seen.add((b, no))
+        want[rid] = (i, no)
+    assert got == want
+
+
 def test_natural_order_of_long_digit_runs(spark):
     names = ["a9.pdf", "a10.pdf", "a010.pdf", "a" + "9" * 25 + ".pdf", "a1" + "0" * 25 + ".pdf"]
     df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "f string, p int").withColumn("key", R.natural_key("f", F.lit(1)))

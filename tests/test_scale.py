@@ -40,7 +40,7 @@ def test_review_fields_stay_where_their_record_is(spark, name):
     assert len(re.findall("REPARTITION_BY_NUM", _plan(QUERIES[name](spark, SF)))) == len(exchanges)
 
 
-@pytest.mark.parametrize(("name", "key", "times"), [("H17_apply_actions", "record_id", 2)])
+@pytest.mark.parametrize(("name", "key", "times"), [("H17_apply_actions", "record_id", 2), ("W01_record_numbers", "batch_id", 1)])
 def test_review_records_are_dealt_once(spark, name, key, times):
     plan = _plan(QUERIES[name](spark, SF))
     assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+, \d+\), REPARTITION_BY_NUM", plan) == [key] * times
