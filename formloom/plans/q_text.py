@@ -258,9 +258,9 @@ def f53(spark, sf):
  SELECT doc_id, CAST(n AS INT) AS n, w <> '' AND s <> '' AND (contains(w, s) OR (least(length(s), 14) >= 6 AND contains(w, left(s, 14))) OR (least(length(s), 12) >= 6 AND contains(w, right(s, 12)))
    OR (length(s) >= 10 AND len(list_filter(range(1, length(s) - 3, 2), lambda i: contains(w, substr(s, i, 5)))) / len(range(1, length(s) - 3, 2)) >= 0.18)) AS hit FROM c""")
 def f54(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    n = F.col("n") + 1
-    w = (F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.upper("line"), F.lit("zz")))
-         .otherwise(F.concat(F.substring("line", 1, 20), "text")))
-    s = F.when(n % 2 == 0, F.col("line")).otherwise(F.reverse("line"))
-    return lines.select("doc_id", n.cast("int").alias("n"), C.line_in_passage(w, s).alias("hit"))
+    kind = F.col("doc_id") % 3
+    own = lambda x: F.when(kind == 1, F.concat(F.upper(x), F.lit("zz"))).when(kind == 2, F.substring(x, 1, 20))
+    said = lambda x, i: F.when(i % 2 == 1, x).otherwise(F.reverse(x))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("n"), own(x).alias("own"), said(x, i).alias("line")))
+    pages = table(spark, sf, "documents").select("doc_id", F.when(kind != 1, F.col("text")).alias("passage"), lines.alias("lines"))
+    return C.lines_in_passage(pages, "doc_id", "passage", "lines")

@@ -1,10 +1,12 @@
 """What keeps the larger queries within their limits: rows stay where their form is, and texts are looked at once."""
 
+import random
 import re
 
 import pytest
 import formloom.plans.catalog  # noqa: F401
 from formloom import constants as K
+from formloom.functions import compare as C
 from formloom.functions import thai as T
 from formloom.operators import forms
 from formloom.plans.registry import QUERIES
@@ -49,6 +51,35 @@ def test_review_records_are_dealt_once(spark, name, key, times):
     assert all(re.match(r"[lo]_orderkey#", e) or re.fullmatch(r"batch_id#\d+, \d+", e) for e in moved)
 
 
+def test_runs_of_a_passage_are_made_once(spark, tmp_path):
+    # 3,000 lines against their whole text: a pass over the text for every run of every line would take hours
+    text = "\n".join(f"line {i} of the {i * 7919 % 1000} words" + "x" * (i % 40) for i in range(3000))
+    spark.createDataFrame([(0, text), (1, text), (2, text), (3, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["F54_line_in_passage"](spark, str(tmp_path)).groupBy("doc_id").agg({"n": "count"}).collect()
+    assert {r[0]: r[1] for r in got} == {0: 3000, 1: 3000, 2: 3000}
+
+
+def test_lines_belong_as_by_plain_search():
+    rng = random.Random(3)
+    for _ in range(3000):
+        own, passage = ("".join(rng.choices("abc", k=rng.choice([0, 0, 3, 9]))) for _ in range(2))
+        passage += "".join(rng.choices("abc", k=rng.choice([0, 20, 60])))
+        at, n = rng.randrange(len(own + passage) + 1), rng.choice([0, 2, 5, 6, 9, 13, 20])
+        line = rng.choice([(own + passage)[at : at + n], "".join(rng.choices("abcd", k=n)), (own + passage)[at : at + 5] + "dd" * n])
+        w, s = own + passage, line
+        parts = [s[i : i + 5] for i in range(0, len(s) - 4, 2)]
+        want = bool(w and s) and (s in w or (len(s) >= 6 and (s[:14] in w or s[-12:] in w)) or (len(s) >= 10 and sum(p in w for p in parts) / len(parts) >= 0.18))
+        assert C.belongs(line, passage, C.runs(passage), own) == want, (own, passage, line)
+
+
+@pytest.mark.parametrize("name", ["J18_passage_box", "J18_passage_box_unseeded"])
+def test_pages_meet_as_arrays(spark, name):
+    # one row a page: no window or row for each pair of a segment and a line, and nothing worked out twice
+    plan = _plan(QUERIES[name](spark, SF))
+    assert plan.count("MapInArrow") == 1 and "Exchange hashpartitioning(k#" not in plan or name == "J14_align_segments"
+    assert not re.search(r"hashpartitioning\([^)]*(seg_no|line_no)", plan)
+
+
 def test_join_within_records_loses_and_doubles_nothing(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "x", 3), ("b", "x", 4), ("c", None, 5)], "r string, f string, n int")
     side = spark.createDataFrame([("a", "x", "p"), ("a", "x", "q"), ("b", "z", "s"), ("c", None, "t"), ("d", "x", "u")], "r string, f string, v string")
