@@ -1,11 +1,16 @@
 """What keeps the larger queries within their limits: rows stay where their form is, and texts are looked at once."""
 
+import contextlib
+import io
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
+
 import formloom.plans.catalog  # noqa: F401
 from formloom import constants as K
+from formloom import fixtures as fx
 from formloom.functions import compare as C
 from formloom.functions import thai as T
 from formloom.operators import forms
@@ -91,3 +96,36 @@ def test_names_alone_ask_no_patterns_of_the_page(spark):
     pages = spark.createDataFrame([("a", "x")], "k string, text string")
     assert "{4,180}" not in _plan(forms.parse_person_text(pages, "k", fields=K.NAME_FIELDS))
     assert "{4,180}" in _plan(forms.parse_person_text(pages, "k"))
+
+
+def _largest_method(df):
+    spark, out = df.sparkSession, io.StringIO()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(out):
+            df.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())))
+
+
+def test_forms_are_made_by_code_that_is_compiled(spark):
+    # the JVM leaves methods of over 8,000 bytes to its interpreter
+    assert _largest_method(fx.forms(spark, SF)) < 8000
+    assert _largest_method(fx.forms(spark, SF, record_id=True).select("record_id", "text")) < 8000
+
+
+def test_dates_and_ids_of_odd_texts(spark):
+    rng = random.Random(5)
+    parts = ["วันที่", "วันที่ ", "เดือน", " เดือน ", "พ.ศ.", " พ.ศ. ", "มกราคม", "มีนาคม", "3", "12", "๑๒", "123", "2560", "๒๕๖๐", "25601", " ", "\n", " ", "x", "_",
+             "1-1020-30400-50-6", "๑-1020-3040-5-6", "1-1020-30400-50-61", "-", "😀"]
+    texts = ["".join(rng.choices(parts, k=rng.choice([1, 6, 14]))) for _ in range(3000)]
+    texts += ["วันที่" + "3 เดือน มกราคม พ.ศ. 2560" + t for t in texts[:200]] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    every = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    dates = F.array_distinct(F.transform(every(T.DATE), T.plain_date))
+    ids = F.array_distinct(every(rf"{T.WORD_LEFT}{K.PERSON_ID}{T.WORD_RIGHT}"))
+    got = rows.select(T.thai_dates("t").alias("a"), dates.alias("b"), T.id_values("t").alias("c"), ids.alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)
+    assert sum(bool(r.a) for r in got) > 200 and sum(bool(r.c) for r in got) > 200
