@@ -67,13 +67,15 @@ def pick_best_candidate(candidates: DataFrame, keys: list[str], page: str = "pag
     rows = candidates.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("kind", F.when(F.col("source") == "original", "original").otherwise("cleaned"))
     rows = rows.withColumn("lines", X.candidate_lines("text"))
     rows = rows.withColumn("score", X.text_quality(F.col("text"), F.col("lines")))
-    rows = rows.withColumn("series", X.compact("text").rlike(K.LATIN_CASE_SERIES)).withColumn("blocks", F.size("lines")).drop("lines")
+    # only the first page asks for a series, and none is without a stroke
+    series = F.when((F.col(page) == 1) & F.col("text").contains("/"), X.compact("text").rlike(K.LATIN_CASE_SERIES)).otherwise(False)
+    rows = rows.withColumn("series", series).withColumn("blocks", F.size("lines")).drop("lines")
     order = F.struct("score", -F.col("seq"))
     one = F.struct("kind", "source", "model", "text", "score", "series", "blocks")
-    of = lambda kind: F.max_by(one, F.when(F.col("kind") == kind, order))
+    of = lambda kind, what: F.max_by(what, F.when(F.col("kind") == kind, order))
     label = F.concat_ws(":", "source", "model")
     scores = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "seq", label.alias("label"))))
-    pages = rows.groupBy(*keys, page).agg(F.max_by(one, order).alias("top"), of("original").alias("o"), of("cleaned").alias("c"), scores.alias("scores"))
+    pages = rows.groupBy(*keys, page).agg(F.max_by(one, order).alias("top"), of("original", one).alias("o"), of("cleaned", F.struct("score", "series")).alias("c"), scores.alias("scores"))
     kept = (F.col(page) == 1) & F.coalesce(F.col("o.series"), F.lit(False)) & ~F.coalesce(F.col("c.series"), F.lit(False))
     pages = pages.withColumn("kept", F.coalesce(kept, F.lit(False))).withColumn("s", F.when(F.col("kept"), F.col("o")).otherwise(F.col("top")))
     told = [

@@ -12,6 +12,7 @@ import formloom.plans.catalog  # noqa: F401
 from formloom import constants as K
 from formloom import fixtures as fx
 from formloom.functions import compare as C
+from formloom.functions import text as X
 from formloom.functions import thai as T
 from formloom.operators import forms
 from formloom.plans.registry import QUERIES
@@ -129,3 +130,32 @@ def test_dates_and_ids_of_odd_texts(spark):
     got = rows.select(T.thai_dates("t").alias("a"), dates.alias("b"), T.id_values("t").alias("c"), ids.alias("d")).collect()
     assert all(r.a == r.b and r.c == r.d for r in got)
     assert sum(bool(r.a) for r in got) > 200 and sum(bool(r.c) for r in got) > 200
+
+
+def test_lines_of_odd_texts(spark):
+    """Trimming, usable lines and the line that stands there again and again, as by the patterns that look at every character."""
+    rng = random.Random(7)
+    ends = ["\n", "\n", "\r\n", "\r", "\x0b", "\x85", " ", "\n\n"]
+    words = ["a", "long line here", "LONG  line here", "x y", "  ", "　", "​", "## Page 2", "<b>", "</figure", "<FIGURE x", "</Figure>", "a > b", "สำหรับเรียกดูเท่านั้น", "�", "😀😀"]
+    texts = ["".join(rng.choice(words) + rng.choice(ends[: rng.choice([1, 8])]) for _ in range(rng.choice([1, 7, 15]))) for _ in range(1500)]
+    texts += ["\n".join(["the same line"] * n + [f"other line {i}" for i in range(m)]) for n in (5, 6, 9) for m in (0, 4, 11, 12, 30)] + [None, "", "\n"]
+    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    lines = F.filter(F.transform(X.lines_of(F.regexp_replace("t", K.FIGURE_BLOCK, "")), trim), lambda x: (x != "") & ~x.startswith("## Page")
+                     & ~F.lower(x).startswith("</figure") & ~(x.startswith("<") & x.endswith(">")))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("lines", X.candidate_lines("t"))
+    got = rows.select("t", "lines", lines.alias("want"), X.repeats_one_line(F.col("lines")).alias("again"), X.trimmed("t").alias("trimmed"), trim("t").alias("trim")).collect()
+    for r in got:
+        assert r.lines == r.want and r.trimmed == r.trim
+        usable = [u for u in (re.sub(r"\s", "", x).lower() for x in r.lines or ()) if len(u) >= 8]
+        top = max([(usable.count(u), u) for u in usable], default=(0, ""))
+        stamp = any(usable.count(u) == top[0] and all(p in u for p in K.STAMP_PHRASE) for u in usable)
+        if r.t is None:
+            assert r.again is None
+        elif not stamp:
+            assert r.again == (len(r.lines) >= 6 and len(usable) >= 6 and top[0] >= 6 and top[0] / len(usable) >= 0.35), r.t
+    assert 5 < sum(bool(r.again) for r in got) < len(got) - 5
+
+
+def test_trimming_asks_no_pattern(spark):
+    # W03 trims each line of five readings of every page
+    assert "regexp" not in _plan(spark.createDataFrame([("x",)], "t string").select(X.trimmed("t")))
