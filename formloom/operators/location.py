@@ -9,9 +9,12 @@ from formloom.functions import address as A
 from formloom.functions import compare as C
 from formloom.functions import fields as FL
 from formloom.functions import text as X
+from formloom.session import checkpointed
 
 # fixed values: thresholds of the match
 GOOD, NEAR_BEST, SURE, RESCUE, LEAD = 0.82, 0.02, 0.96, 0.70, 0.20
+#: Distinct read places that are broadcast to their addresses; more are joined by shuffles.
+SENT_PLACES = 100_000
 
 
 def location_dim(provinces: DataFrame, districts: DataFrame, subdistricts: DataFrame) -> DataFrame:
@@ -56,8 +59,17 @@ def best_location(addresses: DataFrame, dim: DataFrame) -> DataFrame:
     SURE, it is at least RESCUE and leads the second by LEAD, and the pool has
     one postal code; it then counts as GOOD. ``addresses`` has ``p, d, s``.
     """
-    places = dim.withColumns({"pk": A.location_key("province"), "dk": A.location_key("district"), "sk": A.location_key("subdistrict")})
-    asked = addresses.select("p", "d", "s").distinct()
+    return addresses.join(_located(addresses, dim), ["p", "d", "s"], "left")
+
+
+def _located(addresses: DataFrame, dim: DataFrame) -> DataFrame:
+    """What is found for each distinct place that was read.
+
+    The places and the reference are asked for several times, so both are kept:
+    the addresses are read and the reference is put together once.
+    """
+    places = checkpointed(dim.withColumns({"pk": A.location_key("province"), "dk": A.location_key("district"), "sk": A.location_key("subdistrict")}))
+    asked = checkpointed(addresses.select("p", "d", "s").distinct())
     keyed = asked.withColumns({"ap": A.location_key("p"), "ad": A.location_key("d"), "as": A.location_key("s")}).distinct()
     names = keyed.select("ap").distinct().filter("ap <> ''")
     provinces = _best(_alike(names, places.select("pk").distinct(), "ap", "pk", []), ["ap"]).select("ap", "pk", F.col("score").alias("p_score"))
@@ -76,7 +88,7 @@ def best_location(addresses: DataFrame, dim: DataFrame) -> DataFrame:
     picked = pool.select(
         "p", "d", "s", *[F.when(found, F.col(c)).alias(c) for c in ("province", "district", "subdistrict", "postal_code")],
         "p_score", "d_score", s_score.alias("s_score"), gap.alias("lead"), F.when(found, F.least("p_score", "d_score", s_score)).alias("confidence"))
-    return addresses.join(picked, ["p", "d", "s"], "left")
+    return F.broadcast(picked) if asked.count() <= SENT_PLACES else picked
 
 
 #: Issues of an address, and what is done with each.
@@ -105,7 +117,7 @@ def validate_address(addresses: DataFrame, dim: DataFrame, key: str) -> DataFram
         action = F.when(F.col("p").isNull(), "flagged_location_reference")
         return rows.select(key, issue.alias("issue"), F.col("address").alias("value"), none.alias("previous_value"), *names, F.lit(None).cast("double").alias("confidence"),
                            action.alias("action"), F.when(F.col("p").isNull(), "needs_review").alias("review_status"))
-    met = best_location(rows.filter("p is not null").select("p", "d", "s").distinct(), dim)
+    met = _located(rows.filter("p is not null"), dim)
     joined = rows.join(met, ["p", "d", "s"], "left").withColumn("found", F.col("subdistrict").isNotNull())
     same = lambda a, b: A.location_key(a) == A.location_key(b)
     joined = joined.withColumn("exact", F.col("found") & same("p", "province") & same("d", "district") & same("s", "subdistrict"))

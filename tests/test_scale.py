@@ -15,6 +15,7 @@ from formloom.functions import compare as C
 from formloom.functions import text as X
 from formloom.functions import thai as T
 from formloom.operators import forms
+from formloom.operators import location as L
 from formloom.plans.registry import QUERIES
 from formloom.session import joined_within
 
@@ -159,3 +160,14 @@ def test_lines_of_odd_texts(spark):
 def test_trimming_asks_no_pattern(spark):
     # W03 trims each line of five readings of every page
     assert "regexp" not in _plan(spark.createDataFrame([("x",)], "t string").select(X.trimmed("t")))
+
+
+def test_places_are_looked_up_once(spark):
+    # the addresses are read for their distinct places and for the answer, not for every step of the search
+    dim = spark.createDataFrame([(1, 11, "นครเมฆ", "เมืองเหนือ", "บ้านสวน", "10110", 1)], "province_code int, district_code int, province string, district string, subdistrict string, postal_code string, seq int")
+    rows = [(1, "9 หมู่ 3 ต.บ้านสวน อ.เมืองเหนือ จ.นครเมฆ"), (2, "9 หมู่ 3  ต. บ้านสวนๆ อ.เมืองเหนือ จ.นครเมฆ "), (3, "9 หมู่ 3"), (4, "อ.เมืองเหนือ ต.บ้านสวน"), (5, " "), (6, None)]
+    found = L.validate_address(spark.createDataFrame(rows, "k int, address string"), dim, "k")
+    assert _plan(found).count("Scan ExistingRDD[k#") == 1
+    got = {r.k: (r.issue, r.value) for r in found.collect()}
+    right = "9 หมู่ 3 ต.บ้านสวน อ.เมืองเหนือ จ.นครเมฆ"
+    assert got == {1: (None, right), 2: ("address_location_corrected", right), 3: ("address_location_parse_failed", rows[2][1]), 4: ("address_location_parse_failed", rows[3][1])}
