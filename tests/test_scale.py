@@ -12,6 +12,7 @@ import formloom.plans.catalog  # noqa: F401
 from formloom import constants as K
 from formloom import fixtures as fx
 from formloom.functions import compare as C
+from formloom.functions import fields as FL
 from formloom.functions import text as X
 from formloom.functions import thai as T
 from formloom.operators import forms
@@ -171,3 +172,29 @@ def test_places_are_looked_up_once(spark):
     got = {r.k: (r.issue, r.value) for r in found.collect()}
     right = "9 หมู่ 3 ต.บ้านสวน อ.เมืองเหนือ จ.นครเมฆ"
     assert got == {1: (None, right), 2: ("address_location_corrected", right), 3: ("address_location_parse_failed", rows[2][1]), 4: ("address_location_parse_failed", rows[3][1])}
+
+
+def test_person_text_is_read_where_its_page_is_made(spark):
+    df = QUERIES["H02_person_text"](spark, SF)
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\), (\w+)", _plan(df))
+    assert moved and all(how == "REPARTITION_BY_NUM" for _, how in moved)
+    assert _largest_method(QUERIES["H02_person_text"](spark, SF)) < 8000
+
+
+def test_names_of_several_words_in_one_line(spark):
+    lines = ["นายใจดี ทุ่งเมฆ ชาย ไทย", "1-1020-30000-00-1 สมใจ  งาม\u00a0ตา - จีน", "3 มกราคม 2500 45 ก\\ ๕ข ค"]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "k int, text string")
+    told = forms.page_lines(df, "k").withColumn("free", F.lit(None).cast("string"))
+    got = [(r.kind, r.value) for r in forms._entities(told, "k").orderBy("place").collect()]
+    assert got == [("name", "นายใจดี ทุ่งเมฆ"), ("gender", "ชาย"), ("nationality", "ไทย"), ("id", "1-1020-30000-00-1"), ("name", "สมใจ งาม ตา"), ("dash", "-"), ("nationality", "จีน"),
+                   ("date", "3 มกราคม 2500"), ("age", "45"), ("name", "ก\\"), ("other", "๕ข"), ("name", "ค")]
+
+
+def test_clean_and_valid_of_odd_values(spark):
+    rows = [("personName", "<td>นาย&nbsp;ก\u2003ข</td>", "นาย ก ข", True), ("personName", "## ชื่อ ดี", "ดี", True), ("motherName", "tD ก", "tD ก", False), ("motherName", "ดีร์อ", "ดีร่อ", True),
+            ("houseCode", "1001 - 000037+1", "1001-000037-1", True), ("address", "- 1 - 2 หมู่ 3 .", "1-2 หมู่ 3", True), ("birthDate", " 3\tพวภาคม 2500", "3 พฤษภาคม 2500", True),
+            ("updateDate", "Update Date 3 มกราคม 2500", "3 มกราคม 2500", True), ("age", "อายุ 131", "131", False), ("postalCode", "x 10๑10", "10110", True), ("unknown", "ID a", "ID a", True),
+            ("fatherName", "ก ต.ข", "ก ต.ข", False), ("fatherName", "ก ชาย", "ก ชาย", False), ("fatherName", None, None, False), ("remark", "ก Update Date ข", "ก", True)]
+    df = spark.createDataFrame([(i, f, v) for i, (f, v, _, _) in enumerate(rows)], "i int, field string, value string")
+    got = FL.with_valid(FL.with_clean(df, "field", "value", "c"), "field", "c", "ok").orderBy("i").collect()
+    assert [(r.c, r.ok) for r in got] == [(c, ok) for _, _, c, ok in rows]
