@@ -15,6 +15,8 @@ from formloom.functions import compare as C
 from formloom.functions import fields as FL
 from formloom.functions import text as X
 from formloom.functions import thai as T
+from formloom.operators import boxes as B
+from formloom.operators import build as BU
 from formloom.operators import forms
 from formloom.operators import location as L
 from formloom.plans.registry import QUERIES
@@ -198,3 +200,26 @@ def test_clean_and_valid_of_odd_values(spark):
     df = spark.createDataFrame([(i, f, v) for i, (f, v, _, _) in enumerate(rows)], "i int, field string, value string")
     got = FL.with_valid(FL.with_clean(df, "field", "value", "c"), "field", "c", "ok").orderBy("i").collect()
     assert [(r.c, r.ok) for r in got] == [(c, ok) for _, _, c, ok in rows]
+
+
+def test_review_is_built_where_its_form_is(spark):
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#[^)]*\), (\w+)", _plan(QUERIES["H01_build_review"](spark, SF)))
+    # only the few boxes move besides
+    assert {k for k, how in moved if how == "REPARTITION_BY_NUM"} == {"o_orderkey"}
+    assert {k for k, how in moved if how == "ENSURE_REQUIREMENTS"} <= {"parent"}
+
+
+def test_slots_and_rows_in_one_pass(spark):
+    segments = fx.segments(spark, SF)
+    both = B.segments_in_slots_and_rows(segments, ["k"])
+    for reading, one in (("slot", B.segments_in_slot), ("row", B.segments_in_parent_row)):
+        want = one(segments, ["k"]).select("k", "field", "text")
+        got = both.filter(F.col("reading") == reading).select("k", "field", "text")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
+
+
+def test_build_review_of_a_form_without_a_key(spark):
+    pages = spark.createDataFrame([(None, 1, "อายุ 20"), (1, 1, "อายุ 30")], "k long, page_number int, text string")
+    segments = spark.createDataFrame([(None, 1, 0, "5", [0.35, 0.33, 0.4, 0.35]), (2, 1, 0, "5", [0.35, 0.33, 0.4, 0.35])], "k long, page_number int, seg_no int, text string, bbox array<double>")
+    got = {(r.k, r.field): r.value for r in BU.build_review(pages, segments, "k").collect()}
+    assert len(got) == 40 and got[None, "age"] is None and got[1, "age"] == "30"
