@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formloom import constants as K
 from formloom.functions import address as A
 from formloom.functions import compare as C
 from formloom.functions import fields as FL
@@ -143,12 +144,14 @@ def repair_address_number(addresses: DataFrame, pages: DataFrame, key: str) -> D
     asked = addresses.groupBy(key, "address").agg(F.collect_list(F.struct("source")).alias("_sources"))
     # whole pages meet their addresses, by merging: lines are many more than the size of their page says, none of them is sent around
     met = asked.join(pages.select(key, "text").hint("merge"), key, "left")
-    lines = met.select(key, "address", "_sources", F.posexplode_outer(X.lines_of("text")).alias("at", "_line"))
+    # a line whose cleaned text may start with a number does so itself, or has markup or a label that cleaning takes away
+    may = "|".join((rf"^[\s#:.\-{X.SPACES}]*[0-9๐-๙]", "[<&]", *K.FIELD_LABEL_NOISE["address"]))
+    numbered = F.filter(X.lines_of("text"), lambda x: x.rlike(may))
+    met = A.with_numbers(met, "address", "_now_").withColumn("_lines", numbered).drop("text")
+    lines = met.select("*", F.posexplode_outer("_lines").alias("at", "_line")).drop("_lines")
     lines = lines.withColumn("_line", X.norm_ws(F.regexp_replace("_line", r"^\s*#+\s*", ""))).withColumn("_field", F.lit("address"))
-    said = FL.with_clean(lines, "_field", "_line", "said")
-    fuller = A.number_differs_same_tail("address", "said") & A.more_complete("said", "address")
-    # most lines don't start with a number; the others are compared
-    rank = F.when(A.house_number("said").isNotNull(), F.when(fuller, F.struct(F.length(A.house_number("said")), -F.col("at"))))
+    said = A.with_numbers(FL.with_clean(lines, "_field", "_line", "said"), "said", "_said_", numbered_only=True)
+    rank = F.when(F.col("_said_house").isNotNull(), F.when(A.fuller_number("_now_", "_said_"), F.struct(F.length("_said_house"), -F.col("at"))))
     # generated, because max_by would work it out several times a row
     ranked = said.withColumn("_rank", F.explode(F.array(rank)))
     best = ranked.groupBy(key, "address").agg(F.max_by("said", "_rank").alias("best"), F.first("_sources").alias("_sources"))

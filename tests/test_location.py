@@ -58,3 +58,13 @@ def test_repair_address_number_sends_no_lines_around(spark):
     got = sorted((r.k, r.value, r.previous_value, r.source) for r in fixed.select("k", "value", F.coalesce("previous_value", F.lit("")).alias("previous_value"), "source").collect())
     raw = "raw_ocr_address_line"
     assert got == [(1, "12 หมู่ 2 ต.ก", "1 หมู่ 2 ต.ก", raw)] * 2 + [(2, "5 หมู่ 2 ต.ก", "", "p")]
+
+
+def test_repair_address_number_of_odd_lines(spark):
+    addresses = [(1, "1 หมู่ 2 ต.ก", "a"), (2, "หมู่ 2 ต.ก", "a"), (3, "9 ต.ข", "a"), (4, None, "a"), (5, "", "a"), (6, "1 ต.ค", "a"), (6, "1 ต.ค", "b"), (7, "3 ต.ง", "a")]
+    pages = [(1, "x\n## ที่อยู่ : 1/5 หมู่ 2 ต.ก\n19 หมู่ 2 ต.ก"), (2, "5 หมู่ 3 ต.ก"), (3, "<td>9-11 ต.ข</td>\nไม่ 99 ต.ข"), (4, "12 ต.ค"), (5, "12 ต.ค"), (6, "&#49;2 ต.ค\n\u00a0.13 ต.ค"), (7, None)]
+    got = L.repair_address_number(spark.createDataFrame(addresses, "k int, address string, source string"), spark.createDataFrame(pages, "k int, text string"), "k")
+    assert sorted((r.k, r.value, r.source) for r in got.filter("k not in (4, 5)").collect()) == [
+        (1, "1/5 หมู่ 2 ต.ก", "raw_ocr_address_line"), (2, "5 หมู่ 3 ต.ก", "raw_ocr_address_line"), (3, "9-11 ต.ข", "raw_ocr_address_line"), (6, "12 ต.ค", "raw_ocr_address_line"),
+        (6, "12 ต.ค", "raw_ocr_address_line"), (7, "3 ต.ง", "a")]
+    assert sorted((r.k, r.value, r.source) for r in got.filter("k in (4, 5)").collect()) == [(4, None, "a"), (5, "", "a")]

@@ -223,3 +223,8 @@ def test_build_review_of_a_form_without_a_key(spark):
     segments = spark.createDataFrame([(None, 1, 0, "5", [0.35, 0.33, 0.4, 0.35]), (2, 1, 0, "5", [0.35, 0.33, 0.4, 0.35])], "k long, page_number int, seg_no int, text string, bbox array<double>")
     got = {(r.k, r.field): r.value for r in BU.build_review(pages, segments, "k").collect()}
     assert len(got) == 40 and got[None, "age"] is None and got[1, "age"] == "30"
+
+
+@pytest.mark.parametrize("name", ["A16_name_alternatives", "H05_rows", "H12_repair_address_number"])
+def test_form_queries_are_compiled(spark, name):
+    assert _largest_method(QUERIES[name](spark, SF)) < 8000
