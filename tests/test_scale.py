@@ -228,3 +228,9 @@ def test_build_review_of_a_form_without_a_key(spark):
 @pytest.mark.parametrize("name", ["A16_name_alternatives", "H05_rows", "H12_repair_address_number"])
 def test_form_queries_are_compiled(spark, name):
     assert _largest_method(QUERIES[name](spark, SF)) < 8000
+
+
+def test_pages_of_one_key_are_read_as_one(spark):
+    page = "นายใจดี ทุ่งเมฆ ชาย\n3 มกราคม 2500\nละมุน - ไทย\nดำรง - จีน\n9 หมู่ 1 ต.ก อ.ข จ.ค"
+    got = dict(map(tuple, forms.parse_person_text(spark.createDataFrame([(1, page), (1, page)], "k int, text string"), "k").select("field", "value").collect()))
+    assert got["personName"] == "นายใจดี นายใจดี ทุ่งเมฆ ทุ่งเมฆ" and got["address"] == "9 หมู่ 1 ต.ก อ.ข จ.ค"
